@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, toxicity
+from . import fingerprints, langid, mixing, neighbours, packing, toxicity
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_langid": langid.op4_langid,
+    "op5_fingerprint": fingerprints.op5_fingerprint,
     "op7_mix": mixing.op7_mix,
     "op10_toxicity": toxicity.op10_toxicity,
 }
