@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, mixing, neighbours, packing, toxicity
+from . import fingerprints, langid, mixing, nearcopies, neighbours, packing, toxicity
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_langid": langid.op4_langid,
     "op5_fingerprint": fingerprints.op5_fingerprint,
     "op7_mix": mixing.op7_mix,
+    "op8_near_copies": nearcopies.op8_near_copies,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
