@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, mixing, nearcopies, neighbours, packing, toxicity
+from . import fingerprints, langid, licences, mixing, nearcopies, neighbours, packing, private, sharding, toxicity
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
+    "op2_shards": sharding.op2_shards,
     "op3_neighbours": neighbours.op3_neighbours,
     "op4_langid": langid.op4_langid,
     "op5_fingerprint": fingerprints.op5_fingerprint,
+    "op6_licences": licences.op6_licences,
     "op7_mix": mixing.op7_mix,
     "op8_near_copies": nearcopies.op8_near_copies,
+    "op9_private": private.op9_private,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL = {"op7_mix": mixing.OP7_SQL}
+ORACLE_SQL = {"op2_shards": sharding.OP2_SQL, "op7_mix": mixing.OP7_SQL}
