@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("profile_queries",)
+MODULES: tuple[str, ...] = ("profile_queries", "drift_queries")
 
 
 def _modules():
