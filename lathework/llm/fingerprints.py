@@ -1,7 +1,7 @@
 """Operator 5: document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text is a sequence of units: up to four letters or digits of a word, or a
-run of other characters. Its k-mers (``KMER`` units in a row) are numbered by
+A text is a sequence of units: up to four letters or digits with the other
+characters before them; what follows the last letter is a unit too. Its k-mers (``KMER`` units in a row) are numbered by
 occurrence, so that a repeated k-mer counts as often as it occurs. For each of
 ``SLOTS`` orders of their hashes, the ``PICK`` least numbered k-mers are put
 back into text order, and the tuple is hashed: one slot of the signature.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import docs, small, store
 
 KMER, PICK, SLOTS = 3, 2, 64
-UNITS = r"[\p{L}\p{M}\p{N}]{1,4}|[^\p{L}\p{M}\p{N}]+"
+UNITS = r"[^\p{L}\p{M}\p{N}]*+[\p{L}\p{M}\p{N}]{1,4}|[^\p{L}\p{M}\p{N}]+"
 #: Low bits hold a place in the text, high bits the hash.
 PLACE = (1 << 24) - 1
 #: Documents that a run of neighbours holds; cells of equal documents before equal widths.
