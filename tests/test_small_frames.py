@@ -57,7 +57,7 @@ def test_measures_by_hand(spark):
     assert measures.scores(df, F.col("t") == "dog", "s").first()["auc"] == pytest.approx(1.0)
     ties = spark.createDataFrame([(1, 0.5), (0, 0.5)], "y int, s double")
     assert measures.scores(ties, F.col("y") == 1, "s").first()["auc"] == pytest.approx(0.5)
-    reg = spark.createDataFrame(list(zip([1.0, 2, 3, 4, 5], [1.1, 2.2, 2.8, 4.1, 4.9])), "t double, p double")
+    reg = spark.createDataFrame(list(zip([1.0, 2.0, 3.0, 4.0, 5.0], [1.1, 2.2, 2.8, 4.1, 4.9])), "t double, p double")
     r = measures.regression(reg, "t", "p").first()
     assert r["mse"] == pytest.approx(0.022)
     assert r["rsq"] == pytest.approx(1 - 0.11 / 10)
