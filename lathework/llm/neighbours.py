@@ -7,9 +7,9 @@ opened next. How many leaves a query visits is calibrated: for a bounded set of
 queries the true neighbours are found by brute force over all rows, and the
 number of visits is widened until the wanted recall is reached.
 
-Leaves are split into blocks of about ``BLOCK`` rows, and the visits of a leaf
-into blocks of ``VISITS``, so that a leaf that holds a third of all rows is
-searched by many tasks. Distances are summed one component after another in
+Neighbouring leaves share a block of about ``BLOCK`` rows, in which a query
+looks at the leaves it visits only; a larger leaf, one that holds a third of
+all rows, is split into many blocks, and so are a block's queries. Distances are summed one component after another in
 double precision on the original vectors.
 
 Cases: rows with null id, and vectors that are null, zero, hold a null or a
@@ -37,7 +37,7 @@ K = 10
 SAMPLE = 20_000
 SAMPLE_VALUES = 8_000_000
 BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 512, 16
-CALIBRATION, RECALL = 100, 0.97
+CALIBRATION, RECALL = 100, 0.95
 BLOCK, VISITS = 4096, 4096
 
 
@@ -125,20 +125,43 @@ def grow(sample: np.ndarray, leaf_sample: int, branches: int = BRANCHES) -> Tree
 
 
 def nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int, more: tuple[str, ...] = ()) -> pd.DataFrame:
-    """Each query's k nearest of ``rows``; both have id and vector columns."""
+    """Each query's k nearest of ``rows``; both have id and vector columns. A
+    query with ``leaves`` looks at the rows of those leaves only."""
     x, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+    visited = "leaves" in queries
+    leaf, names = np.unique(rows["leaf"].to_numpy(), return_inverse=True)[::-1] if visited else (None, None)
     out = []
-    step = max(1, 65_536 // max(1, len(x)))
-    for at in range(0, len(queries), step):
-        part = queries.iloc[at : at + step]
-        d = exact(np.stack(part["q"].to_numpy()), x)
-        for query, row in zip(part["query_id"].to_numpy(), d, strict=True):
-            row = np.where(ids == query, np.inf, row)
-            near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1])
-            near = near[np.lexsort((ids[near], row[near]))][:k]
-            near = near[np.isfinite(row[near])]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near], "score": row[near], **{m: rows[m].to_numpy()[near] for m in more}}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score", *more])
+    for i, (query, q) in enumerate(zip(queries["query_id"].to_numpy(), queries["q"], strict=True)):
+        look = np.arange(len(x))
+        if visited:
+            look = np.flatnonzero(np.isin(names, queries["leaves"].iloc[i])[leaf])
+        d = exact(x[look], np.asarray(q, float)[None])[:, 0]
+        d[ids[look] == query] = np.inf
+        if not len(d):
+            continue
+        least = min(k, len(d)) - 1
+        near = np.flatnonzero(d <= np.partition(d, least)[least])
+        near = near[np.lexsort((ids[look[near]], d[near]))][:k]
+        near = near[np.isfinite(d[near])]
+        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[look[near]], "score": d[near], **{m: rows[m].to_numpy()[look[near]] for m in more}}))
+    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "vec_id", "score", *more)})
+
+
+def blocks(rows_of: dict[int, int], asked_of: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(leaf, block, row_blocks, query_blocks) of the visited leaves: neighbours in
+    the tree (their numbers are close) share a block of about BLOCK rows; a
+    larger leaf is a block of its own, which is split."""
+    out, block, held = [], 0, 0
+    for leaf in sorted(asked_of):
+        n = rows_of[leaf]
+        if held and held + n > BLOCK:
+            block, held = block + 1, 0
+        out.append((leaf, block, -(-n // BLOCK), n))
+        held += n
+    asked: dict[int, int] = {}
+    for leaf, b, _, _ in out:
+        asked[b] = asked.get(b, 0) + asked_of[leaf]
+    return [(leaf, b, row_blocks, -(-asked[b] // (VISITS * 8))) for leaf, b, row_blocks, _ in out]
 
 
 def vectors(table: DataFrame) -> DataFrame:
@@ -222,19 +245,23 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, recall: float = REC
             yield pd.DataFrame(out, columns=["query_id", "leaf"])
 
     routed = store(queries.mapInPandas(route, "query_id long, leaf long"), "visits")
+    # At most a row a leaf, as many as the sample has rows.
     asked_of = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    plan = [(leaf, -(-n_rows // BLOCK), -(-asked_of[leaf] // VISITS)) for leaf, n_rows in rows_of.items() if leaf in asked_of]
-    blocks = F.broadcast(spark.createDataFrame(plan or [(-1, 1, 1)], "leaf long, row_blocks int, query_blocks int"))
+    dealt_leaves = blocks(rows_of, asked_of) or [(-1, -1, 1, 1)]
+
+    def plan() -> DataFrame:
+        return F.broadcast(spark.createDataFrame(dealt_leaves, "leaf long, block long, row_blocks int, query_blocks int"))
 
     def dealt(ids: str, own: str, other: str):
         mine = F.pmod(F.xxhash64(F.lit("block"), ids), own).cast("int")
         return mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1))
 
     mine, every = dealt("vec_id", "row_blocks", "query_blocks")
-    left = index.join(blocks, "leaf").withColumn("row_block", mine).withColumn("query_block", every)
+    left = index.join(plan(), "leaf").withColumn("row_block", mine).withColumn("query_block", every)
+    keys = ["block", "row_block", "query_block"]
+    right = routed.join(plan(), "leaf").groupBy("query_id", "block", "row_blocks", "query_blocks").agg(F.collect_list("leaf").alias("leaves"))
     mine, every = dealt("query_id", "query_blocks", "row_blocks")
-    right = routed.join(blocks, "leaf").withColumn("query_block", mine).withColumn("row_block", every).join(queries, "query_id")
-    keys = ["leaf", "row_block", "query_block"]
+    right = right.withColumn("query_block", mine).withColumn("row_block", every).join(queries, "query_id")
 
     def look(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
@@ -242,8 +269,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, recall: float = REC
         return nearest(queries, rows, k)
 
     found = (
-        left.select(*keys, "vec_id", "v").groupBy(*keys)
-        .cogroup(right.select(*keys, "query_id", "q").groupBy(*keys))
+        left.select(*keys, "vec_id", "leaf", "v").groupBy(*keys)
+        .cogroup(right.select(*keys, "query_id", "leaves", "q").groupBy(*keys))
         .applyInPandas(look, "query_id long, vec_id long, score double")
     )
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
