@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL = {"op2_shards": sharding.OP2_SQL, "op7_mix": mixing.OP7_SQL}
+ORACLE_SQL = {"op2_shards": sharding.OP2_SQL, "op7_mix": mixing.OP7_SQL, "op8_near_copies": nearcopies.OP8_SQL}
