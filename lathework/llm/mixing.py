@@ -70,19 +70,22 @@ def mix(
     max_copies: int = MAX_COPIES,
     seed: int = SEED,
     importance: str | None = None,
+    row_id: str | None = None,
 ) -> DataFrame:
     """Copies of every document in the mix.
 
     ``table`` has doc_id, text, source and, optionally, a non-negative
     ``importance`` column that makes inclusion unequal inside a source (its
-    mean, weighted by words, counts as 1). Returns one row per input row:
-    doc_id, size, source_size, target, copies, taken."""
+    mean, weighted by words, counts as 1). ``row_id`` names a column that tells
+    rows of one id apart, in a stored table. Returns one row per input row:
+    doc_id, row, size, source_size, target, copies, taken."""
     spark = table.sparkSession
     weight = F.coalesce(F.col(importance).cast("double"), F.lit(1.0)) if importance else F.lit(1.0)
     sized = store(
         table.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u"), weight.alias("imp")
-        ).withColumn("row", F.monotonically_increasing_id()),
+            "doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u"), weight.alias("imp"),
+            (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row"),
+        ),
         "sized",
     )
     per = source_targets(sized, weights, max_copies)
@@ -158,8 +161,8 @@ def repeat(table: DataFrame, **options) -> DataFrame:
     takes it. The rows are numbered once, in a stored table, so that equal ids
     stay apart."""
     numbered = store(table.withColumn("_lw_row", F.monotonically_increasing_id()), "numbered")
-    named = numbered.select(F.col("_lw_row").alias("doc_id"), "text", "source")
-    counts = mix(named, **options).select(F.col("doc_id").alias("_lw_row"), F.col("copies").cast("int").alias("_lw_copies"))
+    counts = mix(numbered.select("doc_id", "text", "source", "_lw_row"), row_id="_lw_row", **options)
+    counts = counts.select(F.col("row").alias("_lw_row"), F.col("copies").cast("int").alias("_lw_copies"))
     out = numbered.join(counts.filter("_lw_copies > 0"), "_lw_row")
     out = out.withColumn("_lw_copy", F.explode(F.sequence(F.lit(1), F.col("_lw_copies"))))
     return out.select(*[F.col(f"`{c}`") for c in table.columns])
