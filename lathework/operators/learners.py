@@ -86,3 +86,40 @@ def resample(learner: str, task: Task, folds: int = 5, seed: int = 0, **params)
         one = model.predict(rows.filter(F.col("fold") == k)).withColumn("fold", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def benchmark(tasks: dict[str, Task], learners: dict[str, dict[str, Any]], folds: int = 5, seed: int = 0) -> DataFrame:
+    """(task, learner, fold, measure, score, error) of every pair: accuracy for
+    classes, rmse for numbers. A pair that fails is a row with its error and no
+    score; the others still run."""
+    from .measures import accuracy, regression
+
+    spark = next(iter(tasks.values())).df.sparkSession
+    rows: list[tuple] = []
+    for name, task in tasks.items():
+        for learner, params in learners.items():
+            try:
+                pred = resample(learner, task, folds, seed, **params)
+                kind = learner.partition(".")[0]
+                found = accuracy(pred, "truth", "response", ["fold"]) if kind == "classif" else regression(pred, "truth", "response", ["fold"])
+                measure = "acc" if kind == "classif" else "rmse"
+                rows += [(name, learner, r["fold"], measure, float(r[measure]), None) for r in found.collect()]  # a row a fold
+            except Exception as e:  # noqa: BLE001  reported as a row
+                rows.append((name, learner, None, None, None, str(e).splitlines()[0][:200]))
+    return spark.createDataFrame(rows, "task string, learner string, fold int, measure string, score double, error string")
+
+
+def pca(df: DataFrame, columns: list[str], k: int, whiten: bool = False) -> DataFrame:
+    """PC1 to PCk in place of ``columns``: centred first, unit variance if ``whiten``.
+    Signs are as the solver gives them."""
+    from pyspark.ml.feature import PCA
+
+    mean = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centred = df.withColumns({c: F.col(c) - F.lit(mean[c]) for c in columns})
+    rows = VectorAssembler(inputCols=columns, outputCol="_v").transform(centred)
+    out = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).transform(rows).withColumn("_p", vector_to_array("_p"))
+    out = out.select(*[c for c in df.columns if c not in columns], *[F.get("_p", F.lit(i)).alias(f"PC{i + 1}") for i in range(k)])
+    if whiten:
+        std = out.agg(*[F.stddev_samp(f"PC{i + 1}").alias(f"PC{i + 1}") for i in range(k)]).first()
+        out = out.withColumns({c: F.col(c) / F.lit(std[c] or 1.0) for c in (f"PC{i + 1}" for i in range(k))})
+    return out

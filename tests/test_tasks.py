@@ -46,3 +46,20 @@ def test_learners(task):
     fitted = learners.train("regr.lm", regr)
     assert measures.regression(fitted.predict(regr.df), "truth", "response").first()["rmse"] < 1e-6
     assert learners.train("cluster.kmeans", regr.with_df(regr.df.drop("y"))).predict(regr.df.drop("y")).select("response").distinct().count() == 3
+
+
+def test_benchmark_isolates_errors(task):
+    scores = learners.benchmark({"t": task.select(["x", "z"])}, {"classif.tree": {}, "classif.gbt": {"maxIter": -5}}, 2).collect()
+    assert sorted(r["fold"] for r in scores if r["learner"] == "classif.tree") == [0, 1]
+    bad = [r for r in scores if r["learner"] == "classif.gbt"]
+    assert len(bad) == 1 and bad[0]["score"] is None and bad[0]["error"]
+
+
+def test_pca_keeps_variance(spark):
+    df = spark.range(100).select("id", F.col("id").cast("double").alias("a"), (2.0 * F.col("id") + F.col("id") % 3).alias("b"))
+    out = learners.pca(df, ["a", "b"], 2)
+    before = df.agg(F.var_samp("a") + F.var_samp("b")).first()[0]
+    v1, v2 = out.agg(F.var_samp("PC1"), F.var_samp("PC2")).first()
+    assert v1 + v2 == pytest.approx(before) and v1 > v2
+    white = learners.pca(df, ["a", "b"], 2, whiten=True).agg(F.stddev_samp("PC1"), F.avg("PC1")).first()
+    assert (white[0], white[1]) == (pytest.approx(1.0), pytest.approx(0.0, abs=1e-9))
