@@ -38,7 +38,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 SURE = 0.4
 EPOCHS, RATE, RIDGE = 300, 0.1, 4e-4
-CACHE = 200_000
+#: Words whose features are kept at hand, and features counted before they are sent on.
+CACHE, HOLD = 100_000, 150_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -93,7 +94,7 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for positive, text in zip(part["positive"], part["text"], strict=True):
             counts[bool(positive)].update({f for w in distinct_words(text) for f in word_features(w)})
-            if sum(map(len, counts.values())) > 500_000:
+            if sum(map(len, counts.values())) > HOLD:
                 yield rows()
     yield rows()
 
