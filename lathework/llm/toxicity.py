@@ -4,7 +4,9 @@ A linear model over a document's distinct words and word beginnings is trained
 in numpy from confirmed toxic documents and unlabelled text. The risk estimator
 is corrected by the class prior: the negative risk of the unlabelled text less
 that of the positives, kept from falling below zero (the step then goes the
-other way), after Kiryo et al. 2017.
+other way), after Kiryo et al. 2017. Then the intercept is set so that the mean score
+of the unlabelled documents is the prior, which keeps documents without a
+telling feature under it however few the labels are.
 
 The training sample is bounded: at most about ``POSITIVES`` toxic and
 ``UNLABELLED`` unlabelled documents, chosen by a hash of the id. Its features'
@@ -141,6 +143,12 @@ def fit(rows: list[tuple[bool, list[int]]], features: list[str], prior: float) -
         grad = np.append(np.bincount(idx, weights=g[row], minlength=len(features)), g.sum()) + RIDGE * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    # The intercept is set so that the unlabelled documents' mean score is the prior.
+    z = (np.bincount(row, weights=w[idx], minlength=len(rows)))[~y]
+    low, high = -30.0, 30.0
+    for _ in range(60 if len(z) else 0):
+        w[-1] = (low + high) / 2
+        low, high = (w[-1], high) if sig(z + w[-1]).mean() < prior else (low, w[-1])
     return Model({f: float(x) for f, x in zip(features, w[:-1], strict=True) if abs(x) > 1e-3}, float(w[-1]))
 
 
