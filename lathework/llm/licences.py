@@ -1,16 +1,19 @@
 """Operator 6: licence scans by a trained paragraph classifier.
 
-Paragraphs are lines. A softmax regression over sparse word n-grams (one to
-three words) names the licence family of a paragraph or ``unknown``. It is
-trained in numpy on variations of the notices below (words dropped, doubled or
+Paragraphs are lines; a notice may run over several of them, up to a blank one.
+Runs of words that hold enough of the n-grams (one to three words) of a notice
+are looked for across lines; a softmax regression over sparse n-grams names the
+licence family of a run or ``unknown``, so that a line may name several. What no
+run takes of a line is judged as a whole. The regression is trained in numpy on variations of the notices below (words dropped, doubled or
 replaced, foreign words around them) and, for the unknown class, on a bounded
 sample of the corpus' own paragraphs. The probability that a family needs is
 calibrated on variations kept aside: the least one at which no more than
-``FALSE_SHARE`` of the unknown ones pass. A prediction counts if the paragraph
-also holds enough of the n-grams of one of the family's notices.
+``FALSE_SHARE`` of the unknown ones pass. A prediction counts if the text judged
+also holds enough of the n-grams of one of the family's notices. A notice is
+reported with the line it begins in.
 
 Cases: null and empty texts have no paragraphs and an empty list of families;
-a paragraph is judged whole, however long; repeated rows are judged alike; an
+a paragraph has no greatest length; repeated rows are judged alike; an
 empty table gives an empty result; more columns are ignored.
 """
 
@@ -72,25 +75,94 @@ class Classifier:
     def __init__(self, vocabulary: list[str], families: list[str], weights: np.ndarray, least: float) -> None:
         self.at = {g: i for i, g in enumerate(vocabulary)}
         self.families, self.weights, self.least = families, weights, least
-        self.notices = {f: [ngrams(tokens(t)) for t in NOTICES[f]] for f in families[:-1]}
+        #: family number, n-grams and greatest length of a run, by notice
+        self.notices = [(k, ngrams(tokens(t)), 2 * len(tokens(t)) + 4) for k, f in enumerate(families[:-1]) for t in NOTICES[f]]
 
     def probabilities(self, grams: set[str]) -> np.ndarray:
         z = self.weights[[self.at[g] for g in sorted(grams)]].sum(axis=0) + self.weights[-1]
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def judge(self, paragraph: str) -> tuple[str, float]:
-        """The family, or unknown, and its probability."""
-        grams = ngrams(tokens(paragraph), self.at)
+    def judge(self, grams: set[str]) -> tuple[str, float]:
+        """The family, or unknown, of n-grams of the vocabulary and its probability."""
         if not grams:
             return UNKNOWN, 1.0
         p = self.probabilities(grams)
         k = int(p.argmax())
         if k == len(self.families) - 1 or p[k] < self.least:
             return UNKNOWN, float(p[-1])
-        held = max(len(grams & own) / len(own) for own in self.notices[self.families[k]])
+        held = max(len(grams & own) / len(own) for at, own, _ in self.notices if at == k)
         return (self.families[k], float(p[k])) if held >= CONTAINED else (UNKNOWN, float(p[-1]))
 
+    def runs(self, words: list[str], own: set[str], longest: int) -> list[tuple[float, int, int]]:
+        """(share, start, end) of the runs that hold enough of a notice's n-grams,
+        each the shortest one from its start; the best of those that overlap."""
+        ends = [[(n, g) for n in range(1, 4) if n <= e + 1 and (g := " ".join(words[e - n + 1 : e + 1])) in own] if w in own else [] for e, w in enumerate(words)]
+        found = []
+        for s in range(len(words)):
+            if not ends[s]:
+                continue
+            held, end = set(), s
+            for e in range(s, min(s + longest, len(words))):
+                more = {g for n, g in ends[e] if e - n + 1 >= s} - held
+                if more:
+                    held |= more
+                    end = e
+            if len(held) >= CONTAINED * len(own):
+                found.append((len(held) / len(own), s, end + 1))
+        return apart(sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])))
+
+    def block(self, lines: list[list[str]]) -> list[tuple[int, str, float]]:
+        """(line, family, probability) of the notices in lines of words without a
+        blank one between them."""
+        words = [w for line in lines for w in line]
+        grams = ngrams(words, self.at)
+        hold = [x for x in self.notices if len(grams & x[1]) >= CONTAINED * len(x[1])]
+        if not hold:
+            return []
+        found = []
+        for k, own, longest in hold:
+            for share, s, e in self.runs(words, own, longest):
+                family, p = self.judge(ngrams(words[s:e], self.at))
+                if family == self.families[k]:
+                    found.append((share * p, s, e, family, p))
+        taken = apart(sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])))
+        left = list(words)
+        for _, s, e, _, _ in taken:
+            left[s:e] = [""] * (e - s)
+        out, at = [], 0
+        for i, line in enumerate(lines):
+            out += [(i, family, p) for _, s, _, family, p in taken if at <= s < at + len(line)]
+            family, p = self.judge(ngrams(left[at : at + len(line)], self.at))
+            if family != UNKNOWN:
+                out.append((i, family, p))
+            at += len(line)
+        best = {}
+        for i, family, p in out:
+            best[i, family] = max(p, best.get((i, family), 0.0))
+        return [(i, family, p) for (i, family), p in sorted(best.items())]
+
+    def document(self, text: str | None) -> tuple[int, list[tuple[int, str, float]]]:
+        """The number of paragraphs, and number, family and probability of notices."""
+        n, found, lines = 0, [], []
+        for line in [*(text or "").split("\n"), ""]:
+            if line.strip():
+                lines.append(tokens(line))
+            elif lines:
+                found += [(n + i, family, p) for i, family, p in self.block(lines)]
+                n, lines = n + len(lines), []
+        return n, found
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of (_, start, end, ...), the first ones that don't overlap."""
+    out, used = [], set()
+    for x in found:
+        if used.isdisjoint(range(x[1], x[2])):
+            used.update(range(x[1], x[2]))
+            out.append(x)
+    return out
+
 
 def vary(words: list[str], noise: list[str], rng) -> list[str]:
     """A variation of a notice: up to a tenth of its words changed, noise around it."""
@@ -164,10 +236,8 @@ def scan(table: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                paragraphs = [p for p in (text or "").split("\n") if p.strip()]
-                found = [(i, *model.judge(p)) for i, p in enumerate(paragraphs)]
-                found = [x for x in found if x[1] != UNKNOWN]
-                out.append((doc_id, len(paragraphs), sorted({x[1] for x in found}), [{"paragraph": i, "family": f, "score": s} for i, f, s in found]))
+                n, found = model.document(text)
+                out.append((doc_id, n, sorted({x[1] for x in found}), [{"paragraph": i, "family": f, "score": s} for i, f, s in found]))
             yield pd.DataFrame(out, columns=["doc_id", "n_paragraphs", "families", "paragraphs"])
 
     return table.select("doc_id", "text").mapInPandas(

@@ -120,6 +120,19 @@ def test_licences(documents):
     assert not any(got[i]["families"] for i in [*range(120), 502])
 
 
+def test_licences_wrapped_and_dual(documents):
+    isc = "Copyright someone\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"
+    nc = "Text here\nThis work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
+    rows = texts(120)
+    rows += [(600, isc, "en", "a"), (601, nc, "en", "a"), (602, "You may use it under the MIT License or the Apache License, Version 2.0.", "en", "a")]
+    rows += [(603, "All rights reserved.\nsomething else\nAll rights reserved.\n\nLicensed under the\nMIT License", "en", "a"), (604, "Licensed under the Apache\n\nLicense in another paragraph", "en", "a")]
+    got = {r["doc_id"]: r for r in licences.scan(documents(rows)).collect()}
+    assert {i: list(got[i]["families"]) for i in range(600, 605)} == {600: ["isc"], 601: ["cc-by-nc"], 602: ["apache", "mit"], 603: ["mit", "proprietary"], 604: []}
+    assert [x["paragraph"] for x in got[600]["paragraphs"]] == [1] and [x["paragraph"] for x in got[603]["paragraphs"]] == [0, 2, 3]
+    assert got[603]["n_paragraphs"] == 5
+    assert not any(got[i]["families"] for i in range(120))
+
+
 def test_licences_odd_rows(odd, documents):
     assert licences.scan(odd).count() == 10
     assert licences.scan(documents([])).count() == 0
