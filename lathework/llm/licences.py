@@ -5,10 +5,13 @@ Runs of words that hold enough of the n-grams (one to three words) of a notice
 are looked for across lines; a softmax regression over sparse n-grams names the
 licence family of a run or ``unknown``, so that a line may name several. What no
 run takes of a line is judged as a whole. The regression is trained in numpy on variations of the notices below (words dropped, doubled or
-replaced, foreign words around them) and, for the unknown class, on a bounded
-sample of the corpus' own paragraphs. The probability that a family needs is
-calibrated on variations kept aside: the least one at which no more than
-``FALSE_SHARE`` of the unknown ones pass. A prediction counts if the text judged
+replaced, foreign words around them) and, for the unknown class, on a sample of
+the corpus' own paragraphs: at most ``2 * BACKGROUND``, taken by a hash of id,
+number and text, with all n-grams of a paragraph and its first ``HEAD`` words.
+The probability that a family needs is calibrated on all paragraphs of the
+corpus, whose scores Spark counts: the least one, in steps of 1 / ``STEPS`` of
+log odds, at which no more than ``FALSE_SHARE`` of the unknown paragraphs (those
+with less than half of any notice) pass. A prediction counts if the text judged
 also holds enough of the n-grams of one of the family's notices. A notice is
 reported with the line it begins in.
 
@@ -20,6 +23,7 @@ empty table gives an empty result; more columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +53,10 @@ UNKNOWN = "unknown"
 VARIATIONS, BACKGROUND = 60, 4_000
 EPOCHS, RATE, RIDGE = 200, 0.5, 1e-4
 FALSE_SHARE, CONTAINED = 0.001, 0.6
+#: A paragraph with this share of a notice isn't taken as unknown.
+PLAIN = 0.5
+#: Words of a sampled paragraph that reach the driver; steps of a unit of log odds, and the most steps.
+HEAD, STEPS, TOP = 20, 100, 3000
 
 TOKENS = re.compile(r"[^\W_]+")
 
@@ -94,6 +102,21 @@ class Classifier:
         held = max(len(grams & own) / len(own) for at, own, _ in self.notices if at == k)
         return (self.families[k], float(p[k])) if held >= CONTAINED else (UNKNOWN, float(p[-1]))
 
+    def holds(self, grams: set[str]) -> float:
+        """The largest share of a notice's n-grams."""
+        return max(len(grams & own) / len(own) for _, own, _ in self.notices)
+
+    def step(self, paragraph: str) -> int | None:
+        """The step of log odds of a paragraph's best family, -1 under 0, None if
+        the paragraph isn't taken as unknown."""
+        grams = ngrams(tokens(paragraph), self.at)
+        if self.holds(grams) >= PLAIN:
+            return None
+        best = float(self.probabilities(grams)[:-1].max()) if grams else 0.0
+        if best < 0.5:
+            return -1
+        return TOP if best >= 1 else min(TOP, int(np.log(best / (1 - best)) * STEPS))
+
     def runs(self, words: list[str], own: set[str], longest: int) -> list[tuple[float, int, int]]:
         """(share, start, end) of the runs that hold enough of a notice's n-grams,
         each the shortest one from its start; the best of those that overlap."""
@@ -174,61 +197,93 @@ def vary(words: list[str], noise: list[str], rng) -> list[str]:
     return pick() + out + pick()
 
 
-def train(paragraphs: list[str]) -> Classifier:
-    """From the notices and paragraphs of the corpus (taken as unknown unless
-    they hold most of a notice)."""
+def vocabulary() -> list[str]:
+    return sorted(set().union(*(ngrams(tokens(t)) for ts in NOTICES.values() for t in ts)))
+
+
+def train(own: list[tuple[list[int], list[str]]]) -> Classifier:
+    """From the notices and (n-grams, first words) of unknown paragraphs; lets all pass."""
     rng = np.random.default_rng(6)
-    families = [*sorted(NOTICES), UNKNOWN]
-    known = [ngrams(tokens(t)) for ts in NOTICES.values() for t in ts]
-    own = [tokens(p) for p in paragraphs]
-    plain = [w for w in own if w and max(len(ngrams(w) & k) / len(k) for k in known) < 0.5] or [["0"]]
-    noise = sorted({x for w in plain for x in w})
+    families, words = [*sorted(NOTICES), UNKNOWN], vocabulary()
+    at = {g: i for i, g in enumerate(words)}
+    own = own or [([at["0"]], ["0"])]
+    noise = sorted({x for _, head in own for x in head}) or ["0"]
     rows = [(vary(tokens(t), noise, rng), k) for k, f in enumerate(families[:-1]) for t in NOTICES[f] for _ in range(VARIATIONS)]
     # unknown too: plain paragraphs, and scattered words of the notices among them
     stock = sorted({x for ts in NOTICES.values() for t in ts for x in tokens(t)})
-    rows += [(w, len(families) - 1) for w in plain]
-    rows += [([*w[:10], *(stock[i] for i in rng.integers(len(stock), size=3)), *w[10:20]], len(families) - 1) for w in plain[: len(plain) // 2]]
-    vocabulary = sorted(set().union(*known))
-    at = {g: i for i, g in enumerate(vocabulary)}
-    found = [sorted(at[g] for g in ngrams(w, at)) for w, _ in rows]
-    y = np.array([k for _, k in rows])
-    test = rng.random(len(rows)) < 0.25
-    idx = np.concatenate([np.asarray(f, np.int64) for f in found]) if found else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-    weights, balance = np.zeros((len(vocabulary) + 1, len(families))), 1 / np.maximum(1, np.bincount(y[~test], minlength=len(families)))[y]
-    balance[test] = 0
+    rows += [([*w[:10], *(stock[i] for i in rng.integers(len(stock), size=3)), *w[10:]], len(families) - 1) for _, w in own[: len(own) // 2]]
+    found = [sorted(at[g] for g in ngrams(w, at)) for w, _ in rows] + [sorted(g) for g, _ in own]
+    y = np.array([k for _, k in rows] + [len(families) - 1] * len(own))
+    idx = np.concatenate([np.asarray(f, np.int64) for f in found])
+    row = np.repeat(np.arange(len(y)), [len(f) for f in found])
+    weights, balance = np.zeros((len(words) + 1, len(families))), 1 / np.maximum(1, np.bincount(y, minlength=len(families)))[y]
     balance /= balance.sum()
 
     def predict(w: np.ndarray) -> np.ndarray:
-        z = np.stack([np.bincount(row, weights=w[idx, k], minlength=len(rows)) for k in range(len(families))], axis=1) + w[-1]
+        z = np.stack([np.bincount(row, weights=w[idx, k], minlength=len(y)) for k in range(len(families))], axis=1) + w[-1]
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, EPOCHS + 1):
         g = predict(weights)
-        g[np.arange(len(rows)), y] -= 1
+        g[np.arange(len(y)), y] -= 1
         g *= balance[:, None]
-        grad = np.stack([np.bincount(idx, weights=g[row, k], minlength=len(vocabulary)) for k in range(len(families))], axis=1)
+        grad = np.stack([np.bincount(idx, weights=g[row, k], minlength=len(words)) for k in range(len(families))], axis=1)
         grad = np.vstack([grad, g.sum(axis=0)]) + RIDGE * weights
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         weights = weights - RATE * 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    p = predict(weights)[test]
-    best, truth = p[:, :-1].max(axis=1), y[test]
-    false = np.sort(best[truth == len(families) - 1])[::-1]
-    allowed = int(len(false) * FALSE_SHARE)
-    least = float(false[allowed]) if len(false) > allowed else 0.5
-    return Classifier(vocabulary, families, weights, max(0.5, least))
+    return Classifier(words, families, weights, 0.0)
+
+
+def background(table: DataFrame) -> list[tuple[list[int], list[str]]]:
+    """(n-grams, first words) of a sample of the unknown paragraphs."""
+    lines = table.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "p")).filter(F.col("p").rlike(r"\S"))
+    lines = lines.select("p", F.pmod(F.xxhash64(F.lit("licence"), "doc_id", "at", "p"), F.lit(1 << 40)).alias("h"))
+    share = min(1.0, 2 * BACKGROUND / max(1, lines.count()))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = vocabulary()
+        model = Classifier(words, [*sorted(NOTICES), UNKNOWN], np.zeros((len(words) + 1, len(NOTICES) + 1)), 0.0)
+        for batch in batches:
+            out = []
+            for p, h in zip(batch["p"], batch["h"], strict=True):
+                own = tokens(p)
+                grams = ngrams(own, model.at)
+                if own and model.holds(grams) < PLAIN:
+                    out.append((h, sorted(model.at[g] for g in grams), [w[:40] for w in own[:HEAD]]))
+            yield pd.DataFrame(out, columns=["h", "grams", "head"])
+
+    few = lines.filter(F.col("h") < int(share * (1 << 40))).mapInPandas(digest, "h long, grams array<int>, head array<string>")
+    return [(r["grams"], r["head"]) for r in few.orderBy("h", "grams", "head").limit(2 * BACKGROUND).collect()]
+
+
+def calibrate(table: DataFrame, model: Classifier) -> float:
+    """The least probability that no more than ``FALSE_SHARE`` of all unknown
+    paragraphs reach, 0.5 at least."""
+    parts = table.sparkSession.sparkContext.broadcast((sorted(model.at, key=model.at.get), model.families, model.weights, model.least))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Classifier(*parts.value)
+        for batch in batches:
+            steps = Counter(model.step(p) for text in batch["text"] for p in (text or "").split("\n") if p.strip())
+            steps.pop(None, None)
+            yield pd.DataFrame(sorted(steps.items()), columns=["step", "n"])
+
+    steps = {r["step"]: r["n"] for r in table.select("text").mapInPandas(count, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    allowed, passed = int(sum(steps.values()) * FALSE_SHARE), 0
+    for step in sorted((x for x in steps if x >= 0), reverse=True):
+        passed += steps[step]
+        if passed > allowed:
+            return float("inf") if step == TOP else float(1 / (1 + np.exp(-(step + 1) / STEPS)))
+    return 0.5
 
 
 def scan(table: DataFrame) -> DataFrame:
     """(doc_id, n_paragraphs, families, paragraphs): the families found, sorted,
     and the numbers, families and probabilities of the paragraphs they are in."""
-    n = table.count()
-    share = min(1.0, 2 * BACKGROUND / max(1, n))
-    few = table.filter(F.pmod(F.xxhash64(F.lit("licence"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    lines = few.filter("text is not null").select(F.element_at(F.split("text", "\n"), 1).substr(1, 2000).alias("p"))
-    model = train([r[0] for r in lines.limit(2 * BACKGROUND).collect()])
+    model = train(background(table))
+    model.least = calibrate(table, model)
     parts = table.sparkSession.sparkContext.broadcast((sorted(model.at, key=model.at.get), model.families, model.weights, model.least))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

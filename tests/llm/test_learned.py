@@ -133,6 +133,27 @@ def test_licences_wrapped_and_dual(documents):
     assert not any(got[i]["families"] for i in range(120))
 
 
+def test_licences_learn_from_all_paragraphs(documents, monkeypatch):
+    bodies = ["we grant permission to use and copy this work for any purpose", "the general terms of the public software license " * 300]
+    rows = [(i, f"\nTitle{i}\n\n{bodies[i % 2]}\nclosing", "en", "a") for i in range(200)]
+    rows += [(1000, "Released under the MIT License.", "en", "a")]
+    df, seen = documents(rows), []
+    monkeypatch.setattr(licences, "train", lambda own, f=licences.train: seen.extend(own) or f(own))
+    got = {r["doc_id"]: list(r["families"]) for r in licences.scan(df).collect()}
+    assert got.pop(1000) == ["mit"] and not any(got.values())
+    assert len(seen) == 600  # all paragraphs but the notice
+    heads = {" ".join(h) for _, h in seen}
+    assert bodies[0] in heads and "closing" in heads and all(len(h) <= licences.HEAD for _, h in seen)
+    # the threshold counts every paragraph: few documents score high, and most not at all
+    model = licences.Classifier(licences.vocabulary(), [*sorted(licences.NOTICES), "unknown"], np.zeros((len(licences.vocabulary()) + 1, len(licences.NOTICES) + 1)), 0.0)
+    model.weights[model.at["copy"], 3] = 6.0
+    p = float(model.probabilities({"copy"})[3])
+    least = licences.calibrate(df, model)
+    assert p < least < p + 0.001
+    monkeypatch.setattr(licences, "FALSE_SHARE", 0.5)
+    assert licences.calibrate(df, model) == 0.5
+
+
 def test_licences_odd_rows(odd, documents):
     assert licences.scan(odd).count() == 10
     assert licences.scan(documents([])).count() == 0
