@@ -129,6 +129,16 @@ def _(spark, d):
     return FS.get_features({"orders": (a, ["n_orders"]), "accounts": (b, ["c_acctbal"])}, "o_custkey", ids, "1998-01-01")
 
 
+@C.add(
+    "latest_features_whole",
+    f"WITH s AS ({_SNAP}), a AS (SELECT o_custkey, count(*) AS n_orders FROM s WHERE ts = TIMESTAMP '1997-01-01' GROUP BY 1), b AS (SELECT c_custkey AS o_custkey, c_acctbal FROM customer) SELECT o_custkey, n_orders, c_acctbal FROM a FULL JOIN b USING (o_custkey)",
+)
+def _(spark, d):
+    a = _snapshots(spark, d).groupBy("o_custkey", "_timestamp").agg(F.count("*").alias("n_orders"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", F.lit("1996-06-01").cast("timestamp").alias("_timestamp"))
+    return FS.get_features({"orders": (a, ["n_orders"]), "accounts": (b, ["c_acctbal"])}, "o_custkey", None, "1998-01-01")
+
+
 @C.add("historical_features", f"WITH s AS ({_SNAP}) SELECT o_custkey, count(*) AS n_orders, CAST(NULL AS DOUBLE) AS c_acctbal FROM s WHERE ts = TIMESTAMP '1999-01-01' GROUP BY 1 UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer")
 def _(spark, d):
     a = _snapshots(spark, d).groupBy("o_custkey", "_timestamp").agg(F.count("*").alias("n_orders"))

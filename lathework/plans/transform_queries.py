@@ -64,6 +64,11 @@ def _(spark, d):
     return T.label_encode(p.drop("p_size"), "p_brand", fit=p.filter("p_partkey % 50 <> 0 and p_size < 5"))
 
 
+@C.add("label_encode_whole", "WITH k AS (SELECT p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL)) SELECT p_partkey, coalesce(code, -1) AS p_brand FROM part LEFT JOIN k USING (p_brand)")
+def _(spark, d):
+    return T.label_encode(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand")
+
+
 @C.add("target_encode", "WITH g AS (SELECT avg(p_retailprice) AS g FROM part), k AS (SELECT p_brand, avg(p_retailprice) AS m, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, round(CASE WHEN n >= 75 THEN (n * m + 10.0::DOUBLE * g) / (n + 10.0::DOUBLE) ELSE g END, 6) AS p_brand FROM part JOIN k USING (p_brand), g")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")

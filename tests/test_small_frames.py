@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from lathework.operators import drift, feature_store, measures, models, ordered, profile, resample, scores, timeseries, transform
+from lathework.plans import registry
 from lathework.sources import readers
 
+from .conftest import DATA
+
 
 def rows(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
@@ -158,3 +162,13 @@ def test_readers(spark, tmp_path):
     assert readers.unique_key(df, "id") and not readers.unique_key(df.union(df), "id")
     with pytest.raises(ValueError):
         readers.read(spark, "x.pickle")
+
+
+def test_whole_tables_are_queried(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("needs the driver's tables")
+    queries = registry.queries()
+    customers = spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey")
+    got = queries["latest_features_whole"](spark, DATA)
+    assert customers.join(got, F.col("c_custkey") == F.col("o_custkey"), "left_anti").count() == 0
+    assert queries["label_encode_whole"](spark, DATA).filter("p_brand < 0").count() == 0
