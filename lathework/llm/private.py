@@ -10,11 +10,12 @@ kind and no base span and no better addition overlaps it.
 
 The trees learn from weak labels: a candidate is positive if it is a base
 span. Spark counts candidates and positives by feature values over all
-documents; boosting runs on that table of distinct feature values (at most
-``COMBINATIONS`` rows reach the driver). Trees and thresholds become one column
-expression, so that scoring is a projection. Thresholds are calibrated on the
-documents whose crc32 leaves 2: the least score whose additions would be right
-``PRECISION`` of the time by weak label.
+documents; boosting runs on that table of distinct feature values (the commonest
+ones, at most ``COMBINATIONS`` rows, reach the driver). Trees and thresholds
+become one column expression, so that scoring is a projection. Thresholds are
+calibrated on all candidates of the documents whose crc32 leaves 2, which Spark
+scores and counts: the least score (in steps of ``STEP``) whose additions would
+be right ``PRECISION`` of the time by weak label.
 
 Start positions come from the lengths between matches. Repetitions in the
 patterns are possessive, which matches the same strings (what follows them
@@ -55,6 +56,8 @@ FEATURES = ("kind", "digits", "size", "groups", "plus", "dots", "luhn", "octets"
 COMBINATIONS = 20_000
 ROUNDS, DEPTH, SHRINK, LEAST = 40, 3, 0.3, 2.0
 PRECISION = 0.9
+#: Scores are counted in such steps.
+STEP = 1e-3
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -206,23 +209,25 @@ class Boosted:
 
 
 def train(df: DataFrame) -> tuple[Boosted, dict[int, float]]:
-    """Trees and each kind's threshold, from the candidates of all documents."""
+    """Trees from the commonest feature rows; each kind's threshold from all
+    candidates, counted by fold, kind and score in steps of ``STEP``."""
     fold = held_out(F.col("doc_id")).alias("fold")
-    each = df.select(fold, F.explode("candidates").alias("c")).groupBy("fold", *[F.col(f"c.{f}").alias(f"f_{f}") for f in FEATURES])
-    counts = each.agg(F.count("*").alias("n"), F.sum(F.col("c.is_base").cast("long")).alias("pos"))
-    counts = counts.orderBy(F.desc("n"), "fold", *[f"f_{f}" for f in FEATURES]).limit(COMBINATIONS)
-    rows = [(r["fold"], (tuple(r[f"f_{f}"] for f in FEATURES), float(r["n"]), float(r["pos"]))) for r in counts.collect()]
+    each = df.select(fold, F.explode("candidates").alias("c")).groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
+    every = store(each.agg(F.count("*").alias("n"), F.sum(F.col("c.is_base").cast("long")).alias("pos")), "counts")
+    counts = every.orderBy(F.desc("n"), "fold", *FEATURES).limit(COMBINATIONS)
+    rows = [(r["fold"], (tuple(r[f] for f in FEATURES), float(r["n"]), float(r["pos"]))) for r in counts.collect()]
     rows.sort(key=lambda x: (x[0], x[1][0]))
     model = Boosted().fit([r for fold, r in rows if not fold])
-    checked = [r for fold, r in rows if fold] or [r for _, r in rows]
+    step = F.floor(F.expr(model.sql("c")) / F.lit(STEP)).alias("step")
+    scored = every.select("fold", "kind", "n", "pos", F.struct(*FEATURES).alias("c")).groupBy("fold", "kind", step).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()
+    checked = [r for r in scored if r["fold"]] or scored
     thresholds = {}
     for kind in range(len(KINDS)):
-        own = sorted(((model.score(r[0]), r[1], r[2]) for r in checked if r[0][0] == kind), reverse=True)
-        n = right = 0.0
-        for s, count, pos in own:
-            n, right = n + count, right + pos
-            if pos / count >= PRECISION and right / n >= PRECISION:
-                thresholds[kind] = s - 1e-9
+        n = right = 0
+        for r in sorted((r for r in checked if r["kind"] == kind), key=lambda r: -r["step"]):
+            n, right = n + r["n"], right + r["pos"]
+            if r["pos"] / r["n"] >= PRECISION and right / n >= PRECISION:
+                thresholds[kind] = r["step"] * STEP - 1e-9
     return model, thresholds
 
 

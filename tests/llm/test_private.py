@@ -56,6 +56,16 @@ def test_boosting_adds_what_a_failed_run_hides(documents):
     assert got[1001] == ""
 
 
+def test_thresholds_count_all_candidates(documents, monkeypatch):
+    monkeypatch.setattr(private, "COMBINATIONS", 2)
+    rows = [(i, f"call +1 (319) 555-{1000 + i} now", "en", "a") for i in range(100)]
+    df = private.with_candidates(private.with_base(documents(rows)))
+    assert 3 in private.train(df)[1]
+    rare = [f"ring {'555-1234 ' * (i % 3 + 1)}{'(0)' * (i % 4)} {10**(i % 7) + 1000000}{'-12' * (i % 5)} or" for i in range(300)]
+    df = private.with_candidates(private.with_base(documents(rows + [(1000 + i, x, "en", "a") for i, x in enumerate(rare)])))
+    assert 3 not in private.train(df)[1]
+
+
 def test_redact(documents):
     df = documents([(1, "a a@b.co and 10.0.0.1!", "en", "a"), (2, "clean", "en", "a"), (3, None, None, None)])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in private.redact(df).collect()}
