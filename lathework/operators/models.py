@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .scores import unpivot
 
+#: Test rows of one block of nearest neighbours, which is broadcast.
+BLOCK = 2000
+
 
 def featureless_classif(train: DataFrame, label: str) -> DataFrame:
     """(label, prior, is_mode): class shares; the mode, the least label on a tie."""
@@ -62,14 +65,19 @@ def simple_linear(train: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
 
 def knn(train: DataFrame, test: DataFrame, row_id: str, features: Sequence[str], target: str, k: int = 5, classify: bool = True) -> DataFrame:
     """k nearest training rows by euclidean distance, ties by id: the majority label
-    (least on a tie) or the mean. A block of ``test`` (collected, a stated and
-    bounded set) is compared with every training row, of which each task keeps
-    its k best, so that no pair is shuffled that can't matter."""
+    (least on a tie) or the mean. ``test`` goes in blocks of about ``BLOCK`` rows
+    by hash, a block at a time broadcast to every training row, of which each
+    task keeps its k best, so that no pair is shuffled that can't matter."""
     asked = test.select(F.col(row_id).alias("_q"), *[F.col(f).alias(f"_q_{f}") for f in features])
+    blocks = max(1, -(-asked.count() // BLOCK))
     d2 = sum((F.pow(F.col(f) - F.col(f"_q_{f}"), F.lit(2)) for f in features), F.lit(0.0))
-    near = train.select(row_id, *features, target).join(F.broadcast(asked)).select("_q", row_id, target, F.sqrt(d2).alias("d"))  # caller bounds test
     w = Window.partitionBy("_q").orderBy("d", row_id)
-    best = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    best = None
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
+        near = train.select(row_id, *features, target).join(F.broadcast(part)).select("_q", row_id, target, F.sqrt(d2).alias("d"))
+        one = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        best = one if best is None else best.unionByName(one)
     if not classify:
         return best.groupBy(F.col("_q").alias(row_id)).agg(F.avg(target).alias("response"))
     votes = best.groupBy("_q", F.col(target).alias("_l")).agg(F.count("*").alias("_n"))

@@ -172,3 +172,13 @@ def test_whole_tables_are_queried(spark):
     got = queries["latest_features_whole"](spark, DATA)
     assert customers.join(got, F.col("c_custkey") == F.col("o_custkey"), "left_anti").count() == 0
     assert queries["label_encode_whole"](spark, DATA).filter("p_brand < 0").count() == 0
+
+
+def test_knn_broadcasts_blocks(spark, monkeypatch):
+    train = spark.createDataFrame([(i, float(i % 17), float(i % 5), i % 3) for i in range(60)], "id long, x double, y double, lab long")
+    test = spark.createDataFrame([(100 + i, i / 3, i / 7) for i in range(40)], "id long, x double, y double")
+    whole = rows(models.knn(train, test, "id", ["x", "y"], "lab"), "id", "response")
+    monkeypatch.setattr(models, "BLOCK", 10, raising=False)
+    cut = models.knn(train, test, "id", ["x", "y"], "lab")
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join") == 4
+    assert rows(cut, "id", "response") == whole and len(whole) == 40
