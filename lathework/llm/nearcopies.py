@@ -22,8 +22,9 @@ Components are found by alternating large-star and small-star steps.
 
 Cases: null, empty or blank text has an empty set and is linked with nothing;
 fewer than five words are one shingle; a null id is linked with nothing, has
-no component and is kept; rows that repeat an id share its component; an empty
-table gives an empty result; more columns are ignored.
+no component and is kept; rows that repeat an id share a component if their
+texts do, and ``keep_first`` tells them apart; an empty table gives an empty
+result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -210,9 +211,18 @@ def near_copies(table: DataFrame) -> DataFrame:
 
 
 def keep_first(table: DataFrame) -> DataFrame:
-    """The rows of ``table`` that are kept: one document of each group."""
-    gone = near_copies(table).filter("not kept").select(F.col("doc_id").alias("_lw_gone")).distinct()
-    return table.join(gone, F.col("doc_id") == F.col("_lw_gone"), "left_anti")
+    """The rows of ``table`` that are kept: of each group the one with the least
+    id (rows without id all stay). Rows are numbered once, in a stored table, so
+    that equal ids stay apart."""
+    numbered = store(table.withColumn("_lw_row", F.monotonically_increasing_id()), "numbered")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("_lw_row")).alias("doc_id")
+    found = near_copies(numbered.select(own, "text"))
+    rest = store(found.filter("not kept").select(F.col("doc_id").alias("_lw_row"), F.col("component_id").alias("_lw_group")), "rest")
+    members = rest.unionByName(rest.select(F.col("_lw_group").alias("_lw_row"), "_lw_group").distinct())
+    members = members.join(numbered.select("_lw_row", "doc_id"), "_lw_row")
+    first = members.groupBy("_lw_group").agg(F.min(F.struct("doc_id", "_lw_row"))["_lw_row"].alias("_lw_first"))
+    gone = members.join(first, "_lw_group").filter("_lw_row != _lw_first").select("_lw_row")
+    return numbered.join(gone, "_lw_row", "left_anti").select(*[F.col(f"`{c}`") for c in table.columns])
 
 
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

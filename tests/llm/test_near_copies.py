@@ -82,3 +82,10 @@ def test_odd_rows(odd, documents):
     kept = nearcopies.keep_first(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id = 2").count() == 0 and kept.filter("doc_id = 1").count() == 1
     assert nearcopies.near_copies(documents([])).count() == 0
+
+
+def test_keep_first_tells_rows_of_one_id_apart(documents):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    df = documents([(5, a, "en", "late"), (5, b, "en", "unique"), (1, a, "en", "early"), (7, c, "en", "twice"), (7, c, "en", "twice"), (None, a, "en", "no id")])
+    kept = [(r["doc_id"], r["source"]) for r in nearcopies.keep_first(df).collect()]
+    assert sorted(kept, key=repr) == [(1, "early"), (5, "unique"), (7, "twice"), (None, "no id")]
