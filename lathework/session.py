@@ -1,7 +1,9 @@
-"""Session builder with the settings that queries assume."""
+"""Session builder with the settings that queries assume, and the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +14,18 @@ def session(name: str = "lathework", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"} | conf
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
+    session. A local session without one gets a temporary folder (tests); a
+    cluster without one is an error, as each executor would write to its own disk."""
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lathework-"))
+        conf = context.getCheckpointDir()
+    return conf.rstrip("/")
