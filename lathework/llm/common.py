@@ -4,13 +4,17 @@ small joins and the word pattern of the contract."""
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: A word: a run of characters other than space, tab, line feed, vertical tab,
 #: form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,28 +22,58 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest number of rows a table may have to be broadcast without a size hint.
 BROADCAST_ROWS = 20_000
 
+#: Rows of one key that a task of a salted join takes.
+HOT = 10_000
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session, or a temporary folder where that is unset (tests only)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lathework-"))
-        conf = context.getCheckpointDir()
-    return conf.rstrip("/")
+#: Folders written inside an open ``scratch`` block, innermost block last.
+_scratch: list[list[str]] = []
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and the reread
-    table has real size statistics and prunes columns."""
+    table has real size statistics and prunes columns. Inside ``scratch`` the
+    table is removed when the block ends, unless it is ``lasting``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lathework-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/lathework-{uuid.uuid4().hex}"
+    if _scratch and not lasting:
+        _scratch[-1].append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were stored inside the block, for jobs whose
+    result is a ``lasting`` table."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def salted(many: DataFrame, few: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on ``key``, of which ``few`` has one row a value, without sending a
+    frequent value's rows to one task.
+
+    ``counts`` is (key, _n), rows of ``many`` by value. A value with more than
+    ``HOT`` rows has a row of ``few`` for each ``HOT`` of them, and its rows are
+    dealt over these; there are at most rows / HOT such values."""
+    hot = counts.filter(F.col("_n") > HOT).select(F.col(key), F.ceil(F.col("_n") / HOT).cast("int").alias("_salts"))
+    n_hot = hot.count()
+    if not n_hot:
+        return many.join(few, key, how)
+    hot = small(hot, n_hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    # The salt is a hash of the row, so that a task that runs again deals alike.
+    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), salts).cast("int")).drop("_salts")
+    right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,6 +97,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def by_text(table: DataFrame, run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], schema: str, out: str = "_out") -> DataFrame:
+    """Adds the struct ``out`` that ``run`` gives for batches of texts. Only texts
+    reach Python: every other column stays in the JVM as it is."""
+    return table.withColumn(out, F.pandas_udf(run, schema)("text"))
+
+
 def docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,15 +1,19 @@
 """Operator 1: best-fit packing by hierarchical residual packing.
 
 Partitions tokenise their documents and pack the pieces best-fit, longest
-first. Bins that are nearly full are emitted; the others rise through a merge
-tree as rigid items. Every node of the tree packs the bins of ``FAN`` children
-best-fit again and emits what is nearly full now, up to the root. What a node
-passes on is bounded: the ``CARRY`` emptiest bins, as the fullest are the ones
-that later rounds can least improve; the rest are emitted as they are.
+first, in blocks of ``LOCAL`` pieces. Bins that are nearly full are emitted; the
+others rise through a merge tree as rigid items. Every node of the tree packs
+the bins of ``FAN`` children best-fit again and emits what is nearly full now, up
+to the root. No bin is cut off: where more bins rise than ``NODE`` a node, there
+are as many nodes as that takes, and the bins are dealt over them by hash, which
+gives every node the same mix of rooms. The tree ends with the node that holds all
+open bins, or when a round over several nodes joins fewer than ``GAIN`` of them,
+as the bins then are too full for each other.
 
 Cases: null text is an empty document, which is one piece, its end mark;
-repeated rows are documents of their own; an empty table gives no sequence;
-more columns are ignored.
+repeated rows and rows without id are documents of their own (ids travel as
+text, as a null beside them would turn numbers into floats); an empty table
+gives no sequence; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs, portable, store
+from .common import docs, portable, scratch, store
 
 CAPACITY = 2048
 END = 0
@@ -33,12 +37,15 @@ VOCABULARY = "byte_bpe_50k"
 SPECIAL = {"<|endoftext|>": 50256}
 #: Free tokens up to which a bin counts as nearly full.
 SLACK = 8
-#: Children of a node of the merge tree; bins that a node may pass on; pieces a local pass holds.
-FAN, CARRY, LOCAL = 16, 4096, 60_000
+#: Children of a node of the merge tree; bins that a node holds; pieces a local pass holds.
+FAN, NODE, LOCAL = 16, 50_000, 60_000
+#: Share of the open bins that a round over several nodes must join for another to follow, and most rounds.
+GAIN, ROUNDS = 0.02, 24
 #: Long texts are tokenised in runs of about so many characters.
 RUN = 1 << 16
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -99,34 +106,32 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def tokenised(parts: Iterator[pd.DataFrame], ids, capacity: int) -> Iterator[list[tuple]]:
-    """Rows of PIECES, a document at a time."""
+def tokenised(parts: Iterator[pd.DataFrame], vocabulary: str, capacity: int) -> Iterator[tuple[np.ndarray, list[tuple]]]:
+    """Token ids and rows of PIECES, a document at a time."""
+    ids = tokenizer(vocabulary)
     for part in parts:
         for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
             own = ids(text or "")
-            yield [(doc_id, k, s, n, zlib.crc32(own[s : s + n].astype("<u4").tobytes())) for k, (s, n) in enumerate(cut(len(own), capacity))]
+            yield own, [(doc_id, k, s, n, zlib.crc32(own[s : s + n].astype("<u4").tobytes())) for k, (s, n) in enumerate(cut(len(own), capacity))]
+
+
+def _texts(table: DataFrame) -> DataFrame:
+    return table.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
 def pieces(table: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents; ``with_ids`` adds their token ids."""
 
     def run(parts):
-        ids = tokenizer(vocabulary)
-        for part in parts:
-            rows = []
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                own = ids(text or "")
-                rows += [
-                    (doc_id, k, s, n, zlib.crc32(own[s : s + n].astype("<u4").tobytes()), own[s : s + n].tolist())
-                    for k, (s, n) in enumerate(cut(len(own), capacity))
-                ]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            yield out if with_ids else out.drop(columns="ids")
-
-    return table.select("doc_id", "text").mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
-
-
-def _packed(rows: pd.DataFrame, unit: np.ndarray, base: np.ndarray, capacity: int, first_id: int, root: bool, slack: int, carry: int):
+        for own, rows in tokenised(parts, vocabulary, capacity):
+            out = pd.DataFrame(rows, columns=NAMES)
+            yield out.assign(ids=[own[s : s + n].tolist() for _, _, s, n, _ in rows]) if with_ids else out
+
+    out = _texts(table).mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return out.withColumn("doc_id", F.col("doc_id").cast(table.schema["doc_id"].dataType))
+
+
+def _packed(rows: pd.DataFrame, unit: np.ndarray, base: np.ndarray, capacity: int, first_id: int, root: bool, slack: int):
     """One best-fit round over units (pieces, or bins of pieces). ``base`` is a
     row's offset in its unit. Adds sequence_id, offset and open to ``rows``."""
     ids, unit = np.unique(unit, return_inverse=True)
@@ -134,36 +139,27 @@ def _packed(rows: pd.DataFrame, unit: np.ndarray, base: np.ndarray, capacity: in
     where, offset = best_fit(load, capacity)
     filled = np.bincount(where, weights=load).astype(np.int64) if len(load) else np.empty(0, np.int64)
     rising = (capacity - filled > slack) & (not root)
-    if rising.sum() > carry:
-        emptiest = np.argsort(filled, kind="stable")[:carry]
-        rising &= np.isin(np.arange(len(filled)), emptiest)
-    rows = rows.copy()
-    rows["sequence_id"] = first_id + where[unit]
-    rows["offset"] = offset[unit] + base
-    rows["open"] = rising[where[unit]]
-    return rows
+    return rows.assign(sequence_id=first_id + where[unit], offset=offset[unit] + base, open=rising[where[unit]])
 
 
 PACKED = PIECES + ", sequence_id long, offset long, open boolean"
 
 
-def pack(table: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, slack: int = SLACK, carry: int = CARRY) -> DataFrame:
+def pack(table: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, slack: int = SLACK, node_bins: int = NODE) -> DataFrame:
     """PIECES of all documents with sequence_id and offset. Numbers of
     sequences are (round, node, bin) in one long."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def number(level: int, node: int, block: int = 0) -> int:
         return (level << 58) | (node << 32) | (block << 20)
 
     def local(parts):
-        ids = tokenizer(vocabulary)
         node, block, held = TaskContext.get().partitionId(), 0, []
 
         def done():
-            rows = pd.DataFrame(held, columns=names)
-            return _packed(rows, np.arange(len(rows)), np.zeros(len(rows), np.int64), capacity, number(0, node, block), False, slack, carry).assign(node=node)
+            rows = pd.DataFrame(held, columns=NAMES)
+            return _packed(rows, np.arange(len(rows)), np.zeros(len(rows), np.int64), capacity, number(0, node, block), False, slack).assign(node=node)
 
-        for own in tokenised(parts, ids, capacity):
+        for _, own in tokenised(parts, vocabulary, capacity):
             held += own
             if len(held) >= LOCAL:
                 yield done()
@@ -174,30 +170,36 @@ def pack(table: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULAR
     def merger(level: int, root: bool):
         def merge(key, rows):
             rows = rows.sort_values(["sequence_id", "offset"], kind="stable")
-            got = _packed(rows[names], rows["sequence_id"].to_numpy(), rows["offset"].to_numpy(), capacity, number(level, int(key[0])), root, slack, carry)
+            got = _packed(rows[NAMES], rows["sequence_id"].to_numpy(), rows["offset"].to_numpy(), capacity, number(level, int(key[0])), root, slack)
             return got.assign(node=int(key[0]))
 
         return merge
 
-    level, out = 0, []
-    now = store(table.select("doc_id", "text").mapInPandas(local, PACKED + ", node long"), "packed-0")
-    nodes = (now.filter("open").agg(F.max("node")).first()[0] or 0) + 1
+    level, before, out = 0, 0, []
+    now = store(_texts(table).mapInPandas(local, PACKED + ", node long"), "packed-0")
     while True:
         out.append(now.filter("not open"))
         rising = now.filter("open")
-        if rising.isEmpty():
+        # A bin is open as a whole, and its piece at offset 0 stands for it.
+        bins, last = rising.filter("offset = 0").agg(F.count("*"), F.max("node")).first()
+        if not bins:
             break
-        level, nodes = level + 1, -(-nodes // FAN)
-        up = rising.withColumn("node", F.expr(f"node div {FAN}"))
-        now = store(up.groupBy("node").applyInPandas(merger(level, nodes == 1), PACKED + ", node long"), f"packed-{level}")
+        tree = -(-(last + 1) // FAN)
+        nodes = max(tree, -(-bins // node_bins))
+        root = nodes == 1 or (nodes > tree and level > 0 and bins > (1 - GAIN) * before) or level == ROUNDS
+        level, before = level + 1, bins
+        at = F.expr(f"node div {FAN}") if nodes == tree else F.pmod(F.xxhash64("sequence_id"), F.lit(nodes))
+        up = rising.withColumn("node", at)
+        now = store(up.groupBy("node").applyInPandas(merger(level, root), PACKED + ", node long"), f"packed-{level}")
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
-    return result.drop("open", "node")
+    return result.drop("open", "node").withColumn("doc_id", F.col("doc_id").cast(table.schema["doc_id"].dataType))
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(docs(spark, sf_dir))
+    with scratch(spark):
+        return store(pack(docs(spark, sf_dir)), "packed", lasting=True)
 
 
 portable(__name__)

@@ -87,13 +87,32 @@ def test_odd_rows(odd):
     assert sum(r["doc_id"] == 2 for r in got) == 2
 
 
-def test_bounded_carry_loses_nothing(documents):
+def test_more_bins_than_a_node_holds(documents):
+    """No bin is cut off: nodes multiply instead, and the packing stays as good."""
+    texts = {i: " ".join(f"w{(i * 31 + j) % 500}" for j in range(3 + (i * 7919) % 90)) for i in range(400)}
+    df = documents([(i, t, "en", "a") for i, t in texts.items()]).repartition(40)
+    whole, dealt = (packing.pack(df, capacity=256, node_bins=n).collect() for n in (10_000, 60))
+    for got in (whole, dealt):
+        check(got, texts, 256)
+        assert {r["doc_id"] for r in got} == set(texts)
+    sequences = [len({r["sequence_id"] for r in got}) for got in (whole, dealt)]
+    assert sequences[1] <= 1.1 * sequences[0]
+
+
+def test_bins_too_full_for_each_other_end_the_tree(documents):
     texts = {i: "x " * (100 + i) for i in range(60)}
-    got = packing.pack(documents([(i, t, "en", "a") for i, t in texts.items()]).repartition(20), capacity=200, carry=2).collect()
+    got = packing.pack(documents([(i, t, "en", "a") for i, t in texts.items()]).repartition(6), capacity=200, node_bins=20).collect()
     check(got, texts, 200)
     assert {r["doc_id"] for r in got} == set(texts)
 
 
+def test_wide_ids_beside_a_null(documents):
+    wide = [9007199254740993, -9100000000000000000, 9100000000000000000, None]
+    df = documents([(i, f"text {i}", "en", "a") for i in wide])
+    assert {r["doc_id"] for r in packing.pack(df).collect()} == set(wide)
+    assert {r["doc_id"] for r in packing.pieces(df).collect()} == set(wide)
+
+
 def test_empty(documents):
     assert packing.pack(documents([])).count() == 0
     assert packing.pieces(documents([(1, "a b", "en", "a")]), with_ids=True).first()["ids"] == reference_ids("a b")
