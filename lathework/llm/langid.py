@@ -9,23 +9,28 @@ difference for n-grams that a language's profile doesn't have.
 Profiles are counted over every training document, summed inside partitions
 before the shuffle; only ``PROFILE`` n-grams a language reach the driver.
 
-Cases: null text, or text without a letter, is ``und`` with score 0; without a
-single training document every text is ``und``; equal distances go to the
-language that sorts first; rows with null lang train nothing; repeated rows are
-counted and predicted as often as they appear; more columns are ignored.
+Letters are Unicode's categories L and M, so that marks stay in their words;
+every other character is a blank.
+
+Cases: null text, or text without a letter (category L), is ``und`` with score
+0; without a single training document every text is ``und``; equal distances go
+to the language that sorts first; rows with null lang train nothing; null ids
+count as training rows by the crc32 of an empty text; repeated rows are counted and
+predicted as often as they appear; ids never leave the JVM; more columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs, held_out, portable
+from .common import by_text, docs, held_out, portable
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -34,14 +39,15 @@ SHARPNESS = 40.0
 #: N-grams held before a partition's counts are summed, and distinct ones before they are sent on.
 HOLD, FLUSH = 4_000_000, 1_000_000
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 BLANK = 32
 
 
 def grams(text: str | None) -> np.ndarray:
     """All n-grams of a text as integers of 21 bits a code point; empty without letters."""
-    body = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not body:
+    body = NOT_LETTERS.sub(" ", (text or "").lower()).strip(" ")
+    if not LETTER.search(body):
         return np.empty(0, np.int64)
     c = np.frombuffer(f" {body} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     two = (c[:-1] << 21) | c[1:]
@@ -128,13 +134,12 @@ def predict(table: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
         odds = np.exp(-SHARPNESS * (mean - mean.min()))
         return langs[int(mean.argmin())], float(odds.max() / odds.sum())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = [guess(x) for x in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out]})
+            yield pd.DataFrame([guess(x) for x in part], columns=["lang_pred", "score"])
 
-    asked = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return asked.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    asked = by_text(table.select("doc_id", "text"), run, "lang_pred string, score double")
+    return asked.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_out.lang_pred", "_out.score")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
