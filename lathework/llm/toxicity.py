@@ -8,16 +8,25 @@ other way), after Kiryo et al. 2017. Then the intercept is set so that the mean
 of the unlabelled documents is the prior, which keeps documents without a
 telling feature under it however few the labels are.
 
+The class prior is the share of positives among labelled documents. Where only
+positives are labelled it is estimated: unlabelled documents hold a feature at
+least as often as the prior times its share of the positives, so the prior is at
+most the least ratio of the two shares, taken over features of many positives
+with a standard error for caution. A caller may also give it. It never exceeds
+``MOST_PRIOR``.
+
 The training sample is bounded: at most about ``POSITIVES`` toxic and
 ``UNLABELLED`` unlabelled documents, chosen by a hash of the id. Its features'
 document counts are summed by Spark; only features whose documents are surely toxic more
-often than the prior says (a confidence bound) are kept, so that what reaches the driver is a
-few indices a document. Every document is scored.
+often than the prior says (a confidence bound) are kept, the ``FEATURES`` most
+frequent of them at most (the model's size, a bound like the sample's), so that what
+reaches the driver is a few indices a document. Every document is scored.
 
 Cases: null or empty text scores the model's intercept; without a positive
 label all scores are 0; a document labelled more than once is toxic if any
-label says so; null labels are ignored; repeated rows are scored alike; more
-columns are ignored.
+label says so; null labels and labels without id are ignored; repeated rows and
+rows without id are scored like any other; ids and further columns never leave
+the JVM; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +41,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs, held_out, portable, store
+from .common import by_text, docs, held_out, portable, store
 
 POSITIVES, UNLABELLED = 4_000, 16_000
 FEATURES = 20_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+#: Largest class prior, and the share of positives that a feature needs to bound it.
+MOST_PRIOR, COMMON = 0.9, 0.02
 SURE = 0.4
 EPOCHS, RATE, RIDGE = 300, 0.1, 4e-4
 #: Words whose features are kept at hand, and features counted before they are sent on.
@@ -101,8 +112,9 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield rows()
 
 
-def sample(table: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[DataFrame, float]:
-    """(positive, text) rows to learn from, and the class prior among the labelled."""
+def sample(table: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[DataFrame, float | None]:
+    """(positive, text) rows to learn from, and the class prior among the labelled:
+    0 without positives, None where nothing else is labelled."""
     marks = (
         labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("positive"))
@@ -119,7 +131,7 @@ def sample(table: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
     learn = table.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     toxic = learn.join(chosen, "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
     rest = learn.filter(part(unlabelled / max(1, table.count()))).select(F.lit(False).alias("positive"), "text")
-    return toxic.unionByName(rest), n_pos / n
+    return toxic.unionByName(rest), n_pos / n if n_pos < n else None
 
 
 def fit(rows: list[tuple[bool, list[int]]], features: list[str], prior: float) -> Model:
@@ -152,9 +164,21 @@ def fit(rows: list[tuple[bool, list[int]]], features: list[str], prior: float) -
     return Model({f: float(x) for f, x in zip(features, w[:-1], strict=True) if abs(x) > 1e-3}, float(w[-1]))
 
 
-def train(table: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    rows, prior = sample(table, labels, positives, unlabelled)
-    if not prior:
+def least_ratio(df: DataFrame, n_pos: int, n_unl: int) -> float:
+    """The class prior's estimate from (p, u), a feature's positives and unlabelled."""
+    share_p = (F.col("p") - F.sqrt("p")) / n_pos
+    share_u = (F.col("u") + F.sqrt("u") + 1) / max(1, n_unl)
+    bound = df.filter(F.col("p") >= max(10.0, COMMON * n_pos)).agg(F.min(share_u / share_p)).first()[0]
+    return MOST_PRIOR if bound is None else float(bound)
+
+
+def train(
+    table: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None
+) -> Model | None:
+    """A model, or None without positives. ``prior`` is the share of toxic
+    documents among the unlabelled ones, if known."""
+    rows, among = sample(table, labels, positives, unlabelled)
+    if among == 0:
         return None
     rows = store(rows, "toxicity-sample")
     n_pos = rows.filter("positive").count()
@@ -165,6 +189,9 @@ def train(table: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlab
         rows.mapInPandas(_counts, "positive boolean, feature string, n long").groupBy("feature")
         .agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), F.col("n")).otherwise(0)).alias("u"))
     )
+    if prior is None:
+        prior = least_ratio(df, n_pos, n_unl) if among is None else among
+    prior = min(prior, MOST_PRIOR)
     # Cautious share of toxic documents among those with the feature, a
     # standard error off either count.
     sure = prior * (F.col("p") - F.sqrt("p")) / n_pos / ((F.col("u") + F.sqrt("u") + 1) / max(1, n_unl))
@@ -181,34 +208,29 @@ def train(table: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlab
     return fit([(r[0], list(r[1])) for r in encoded], features, prior)
 
 
-def score(table: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of (doc_id, text)."""
+def _scores(table: DataFrame, model: Model | None) -> DataFrame:
+    """``table`` with its texts' scores in ``_out.score``."""
     shared = table.sparkSession.sparkContext.broadcast((model.weights, model.bias) if model else None)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value) if shared.value else None
         find = Finder(model.weights if model else {})
         for part in parts:
-            s = [model.score(find(x)) if model else 0.0 for x in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "score": s, "predicted": [int(x >= THRESHOLD) for x in s]})
+            yield pd.DataFrame({"score": [model.score(find(x)) if model else 0.0 for x in part]}, dtype=float)
 
-    asked = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return asked.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return by_text(table, run, "score double")
 
 
-def keep_clean(table: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``table`` that the model doesn't reject, all columns kept."""
-    model = train(table, labels)
-    shared = table.sparkSession.sparkContext.broadcast((model.weights, model.bias) if model else None)
-    schema = table.schema
+def score(table: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of (doc_id, text)."""
+    asked = _scores(table.select("doc_id", "text"), model)
+    out = asked.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_out.score")
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*shared.value) if shared.value else None
-        find = Finder(model.weights if model else {})
-        for part in parts:
-            yield part[[not model or model.score(find(x)) < THRESHOLD for x in part["text"]]]
 
-    return table.mapInPandas(run, schema)
+def keep_clean(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``table`` that the model doesn't reject, all columns as they are."""
+    return _scores(table, train(table, labels)).filter(F.col("_out.score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in table.columns])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
