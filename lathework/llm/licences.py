@@ -16,8 +16,9 @@ also holds enough of the n-grams of one of the family's notices. A notice is
 reported with the line it begins in.
 
 Cases: null and empty texts have no paragraphs and an empty list of families;
-a paragraph has no greatest length; repeated rows are judged alike; an
-empty table gives an empty result; more columns are ignored.
+a paragraph has no greatest length; repeated rows and rows without id are
+judged like any other (ids never leave the JVM); an empty table gives an empty
+result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs, portable
+from .common import by_text, docs, portable
 
 #: Usual wordings of licence notices.
 NOTICES = {
@@ -286,18 +287,17 @@ def scan(table: DataFrame) -> DataFrame:
     model.least = calibrate(table, model)
     parts = table.sparkSession.sparkContext.broadcast((sorted(model.at, key=model.at.get), model.families, model.weights, model.least))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Classifier(*parts.value)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch:
                 n, found = model.document(text)
-                out.append((doc_id, n, sorted({x[1] for x in found}), [{"paragraph": i, "family": f, "score": s} for i, f, s in found]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_paragraphs", "families", "paragraphs"])
+                out.append((n, sorted({x[1] for x in found}), [{"paragraph": i, "family": f, "score": s} for i, f, s in found]))
+            yield pd.DataFrame(out, columns=["n_paragraphs", "families", "paragraphs"])
 
-    return table.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_paragraphs long, families array<string>, paragraphs array<struct<paragraph: int, family: string, score: double>>"
-    )
+    found = by_text(table.select("doc_id", "text"), run, "n_paragraphs long, families array<string>, paragraphs array<struct<paragraph: int, family: string, score: double>>")
+    return found.select("doc_id", "_out.*")
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,51 @@ def test_language_odd_rows(odd, documents):
     assert langid.predict(documents([]), langid.train(documents([]))).count() == 0
 
 
+WIDE = [9007199254740993, -9100000000000000000, 9100000000000000000, None]
+
+
+def test_ids_stay_as_they_are(spark, documents):
+    df = documents([(i, f"the house {i}", "en", "a") for i in WIDE])
+    some = spark.createDataFrame([(WIDE[0], 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in langid.predict(df, langid.train(df)).collect()} == set(WIDE)
+    assert {r["doc_id"] for r in toxicity.score(df, toxicity.train(df, some)).collect()} == set(WIDE)
+    assert {r["doc_id"] for r in licences.scan(df).collect()} == set(WIDE)
+
+
+def test_numerals_are_no_letters(documents):
+    texts = {1: "\u00bd \u00b2 \u2167", 2: "the house", 3: "\u0915\u093f\u0924\u093e\u092c", 4: "\u0301", 5: "12 _ !"}
+    df = documents([(i, t, "en", "a") for i, t in texts.items()])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, langid.train(df.filter("doc_id = 2"))).collect()}
+    assert [got[i] for i in (1, 4, 5)] == [("und", 0.0)] * 3 and got[2][0] == got[3][0] == "en"
+    assert len(langid.grams(texts[3])) == 5 + 6 + 5  # one word: the vowel signs don't cut it
+
+
+def profile_by_hand(text, size):
+    from collections import Counter
+    from unicodedata import category
+
+    letters = "".join(c if category(c)[0] in "LM" else " " for c in text.lower())
+    if not any(category(c)[0] == "L" for c in letters):
+        return []
+    body = " " + " ".join(letters.split(" ")).strip() + " "
+    while "  " in body:
+        body = body.replace("  ", " ")
+    grams = Counter(g for n in (1, 2, 3) for g in (body[i : i + n] for i in range(len(body) - n + 1)) if g != " " and not (n == 3 and g[1] == " "))
+    return sorted(grams, key=lambda g: (-grams[g], sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))))[:size]
+
+
+def test_predictions_against_brute_force(documents, odd):
+    """Out-of-place distances by hand, for every document."""
+    rows = texts(80) + [(900, "\u00e9t\u00e9 \u00bd le", "fr", "a"), (901, None, None, "a"), (902, "?!", "de", "a")]
+    df = documents(rows)
+    size, profiles = langid.PROFILE, langid.train(df.filter("doc_id < 50"))
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    for r in langid.predict(df, profiles).collect():
+        own = [code(g) for g in profile_by_hand(dict((i, t) for i, t, _, _ in rows)[r["doc_id"]] or "", size)]
+        apart = {k: sum(abs(v.index(g) - i) if g in v else size for i, g in enumerate(own)) for k, v in profiles.items()}
+        assert r["lang_pred"] == (min(apart, key=lambda k: (apart[k], k)) if own else "und")
+
+
 def toxic_rows(n, seed=2):
     rng = random.Random(seed)
     stock = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rt", "sk", "l")]
@@ -105,6 +150,37 @@ def test_toxicity_odd_rows(spark, odd, documents):
     assert toxicity.score(documents([]), toxicity.train(documents([]), some)).count() == 0
 
 
+def test_positives_only(labelled):
+    """Without a labelled negative the prior is estimated, and clean documents stay."""
+    df, labels, bad = labelled
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.train(df, labels.filter("toxic = 1"))).collect()}
+    clean = [p for i, p in got.items() if i not in bad]
+    assert sum(clean) <= 0.03 * len(clean)
+    assert sum(got[i] for i in bad) >= 0.9 * len(bad)
+    assert toxicity.keep_clean(df, labels.filter("toxic = 1")).count() >= 0.95 * len(clean)
+    few = toxicity.train(df, labels.filter("toxic = 1"), prior=0.15)
+    assert few.score(set()) < toxicity.THRESHOLD
+
+
+def test_scores_against_brute_force(labelled):
+    df, labels, _ = labelled
+    model = toxicity.train(df, labels)
+    for r in toxicity.score(df, model).join(df.select("doc_id", "text"), "doc_id").collect():
+        found = {f for w in toxicity.WORDS.findall(r["text"].lower()) for f in [w + "$", *(w[:k] for k in toxicity.PREFIXES if len(w) >= k)]}
+        z = model.bias + sum(model.weights[f] for f in found if f in model.weights)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_clean_rows_keep_every_column(spark):
+    wide = 9007199254740993
+    df = spark.createDataFrame([(wide, "a b", float("nan"), wide), (None, None, 1.0, None)], "doc_id long, text string, x double, y long")
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, toxic int")
+    got = toxicity.keep_clean(df, labels)
+    assert got.schema == df.schema
+    rows = {r["y"]: r for r in got.collect()}
+    assert set(rows) == {wide, None} and rows[wide]["x"] != rows[wide]["x"] and rows[wide]["doc_id"] == wide
+
+
 def test_nnpu_separates_without_negatives():
     rows = [(True, [0])] * 50 + [(False, [0])] * 20 + [(False, [1])] * 180
     model = toxicity.fit(rows, ["bad", "plain"], 0.1)
