@@ -7,15 +7,26 @@ inclusion probability in a Pareto order sample: documents are ranked by the
 random odds u/(1-u) over the inclusion odds l/(1-l), and the first ones that
 fill the rest of the source's target are taken.
 
+A source's documents differ in their inclusion probability only through
+``importance``; without it, all of a source have the same, so that the order
+within a source is that of u alone and a document's expected words are its size
+times the source's rate. Size, in words, takes the place of the fixed number of
+documents: the sample ends where the words of the ranked documents fill the
+target, and actual inclusion differs from the nominal one by the closing document.
+
 The cut is found without sorting a source in one task. Ranks fall into
-``BINS`` bins, whose words are summed per source; only the bin in which the
-target falls is ordered row by row. One closing document, the one whose size
+``BINS`` times ``BINS`` bins, whose words are summed per source; the coarse bin in
+which the target falls, then the fine one, are found over ``BINS`` sums each, and
+only that fine bin is ordered row by row. One closing document, the one whose size
 is nearest to what is left, ends the sample where that brings the source
 nearer to its target.
 
 Cases: null text has size 0; null source is a group of its own, last; null ids
-hash as the empty text; repeated rows are documents of their own; an empty
-table gives an empty result; more columns are ignored.
+hash as the empty text; rows that repeat an id have one u and are ranked by a hash
+of their text, so that reruns agree in whatever order rows arrive (rows alike in id
+and text are interchangeable; they are told apart by row number); an empty table
+gives an empty result; more columns are ignored. All rows of one id stand in one
+fine bin: an id that a third of all rows repeat is ordered in one task.
 """
 
 from __future__ import annotations
@@ -23,12 +34,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs, small, store, word_count
+from .common import docs, scratch, small, store, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = 7
-BINS = 1 << 14
+BINS = 1 << 7
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -84,6 +95,7 @@ def mix(
     sized = store(
         table.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u"), weight.alias("imp"),
+            F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
             (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row"),
         ),
         "sized",
@@ -110,7 +122,7 @@ def mix(
             .withColumn("whole", F.floor("want").cast("long"))
             .withColumn("lam", F.col("want") - F.col("whole"))
             .withColumn("q", F.when(F.col("lam") > 0, odds))
-            .withColumn("bin", F.floor((1 - 1 / (1 + F.col("q"))) * BINS).cast("long"))
+            .withColumn("bin", F.floor((1 - 1 / (1 + F.col("q"))) * (BINS * BINS)).cast("long"))
         )
 
     bins = planned(sized, per).groupBy("source", "bin").agg(
@@ -118,28 +130,35 @@ def mix(
     )
     bins = store(bins, "bins")
     rest = bins.groupBy("source").agg(F.sum("certain").alias("certain"))
-    run = Window.partitionBy("source").orderBy("bin")
     rest = per.join(rest.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).select(
         "source", "source_size", "target", "imp_mean", (F.col("target") - F.col("certain")).alias("rest")
     )
-    upto = bins.filter("bin is not null").withColumn("upto", F.sum("words").over(run))
-    cut = (
-        with_source(upto, rest)
-        .filter(F.col("upto") > F.col("rest"))
-        .groupBy("source")
-        .agg(F.min("bin").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before_cut"))
-    )
+
+    def first_over(sums: DataFrame, limits: DataFrame, at: str, left: str) -> DataFrame:
+        """(source, at, before) of each source's first bin whose words exceed ``left``; BINS rows a source."""
+        run = Window.partitionBy("source").orderBy(at)
+        over = with_source(sums.withColumn("upto", F.sum("words").over(run)), limits).filter(F.col("upto") > F.col(left))
+        return over.groupBy("source").agg(F.min(at).alias(at), F.min_by(F.col("upto") - F.col("words"), at).alias("before"))
+
+    drawn_bins = bins.filter("bin is not null").withColumn("coarse", F.expr(f"bin div {BINS}"))
+    coarse = first_over(drawn_bins.groupBy("source", "coarse").agg(F.sum("words").alias("words")), rest.select("source", "rest"), "coarse", "rest")
+    coarse = coarse.withColumnsRenamed({"coarse": "cut_coarse", "before": "before_coarse", "source": "s2"})
+    inner = store(rest.select("source", "rest").join(coarse, F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "coarse")
+    inner = inner.withColumn("left", F.col("rest") - F.col("before_coarse"))
+    fine = with_source(drawn_bins, inner.select("source", "cut_coarse")).filter("coarse = cut_coarse").select("source", "bin", "words")
+    cut = first_over(fine, inner.select("source", "left"), "bin", "left").withColumnsRenamed({"bin": "cut", "source": "s3"})
+    cut = inner.select("source", "before_coarse").join(cut, F.col("source").eqNullSafe(F.col("s3"))).select("source", "cut", (F.col("before") + F.col("before_coarse")).alias("before_cut"))
     plan = rest.join(cut.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
     plan = store(plan, "plan")
 
     rows = planned(sized, plan)
     inside = rows.filter(F.col("bin") == F.col("cut"))
-    ordered = Window.partitionBy("source").orderBy("q", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy("source").orderBy("q", "doc_id", "th", "row").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("sampled", F.sum("size").over(ordered) + F.col("before_cut") <= F.col("rest"))
     outside = rows.filter(~F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))).withColumn(
         "sampled", F.col("bin").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
     )
-    keep = ["doc_id", "row", "source", "size", "source_size", "target", "rest", "whole", "bin", "q", "sampled"]
+    keep = ["doc_id", "row", "th", "source", "size", "source_size", "target", "rest", "whole", "bin", "q", "sampled"]
     drawn = store(inside.select(keep).unionByName(outside.select(keep)), "drawn")
 
     gaps = drawn.groupBy("source").agg(
@@ -149,7 +168,7 @@ def mix(
     spare = with_source(drawn.filter(~F.col("sampled") & F.col("bin").isNotNull() & (F.col("size") > 0)), gaps)
     spare = spare.withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter(F.col("off") < F.abs(F.col("gap")))
     closing = store(
-        spare.groupBy("source").agg(F.min_by("row", F.struct("off", "q", "doc_id", "row")).alias("closing")), "closing"
+        spare.groupBy("source").agg(F.min_by("row", F.struct("off", "q", "doc_id", "th", "row")).alias("closing")), "closing"
     )
     out = with_source(drawn, closing)
     copies = F.col("whole") + (F.col("sampled") | F.coalesce(F.col("row") == F.col("closing"), F.lit(False))).cast("long")
@@ -169,7 +188,9 @@ def repeat(table: DataFrame, **options) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(docs(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    with scratch(spark):
+        mixed = mix(docs(spark, sf_dir).select("doc_id", "text", "source"))
+        return store(mixed.select("doc_id", "size", "source_size", "target", "taken"), "mixed", lasting=True)
 
 
 OP7_SQL = r"""

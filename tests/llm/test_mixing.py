@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lathework.llm import mixing
 
@@ -67,6 +68,16 @@ def test_repeat_keeps_columns(documents):
     assert out.count() > 0 and sum(counts.values()) == pytest.approx(out.count(), abs=2)
 
 
+def test_reruns_agree_on_repeated_ids(documents):
+    rows = [(i % 40, " ".join(["w"] * (1 + i % 7)) + f" x{i}", "en", "ab"[i % 2]) for i in range(400)]
+    taken = []
+    for parts in (3, 8):
+        df = documents(rows).repartition(parts, "text")
+        got = mixing.mix(df).select("row", "copies").join(df.withColumn("row", F.monotonically_increasing_id()).select("row", "text"), "row")
+        taken.append(sorted((r["text"], r["copies"]) for r in got.collect()))
+    assert taken[0] == taken[1]
+
+
 def test_odd_rows(odd, documents):
     got = mixing.mix(odd).collect()
     assert len(got) == 10
