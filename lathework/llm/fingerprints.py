@@ -26,8 +26,10 @@ from .common import docs, small, store
 
 KMER, PICK, SLOTS = 3, 2, 64
 UNITS = r"[^\p{L}\p{M}\p{N}]*+[\p{L}\p{M}\p{N}]{1,4}|[^\p{L}\p{M}\p{N}]+"
-#: Low bits hold a place in the text, high bits the hash.
-PLACE = (1 << 24) - 1
+#: Low bits hold a place in the text, high bits the hash. A text of Spark's
+#: greatest length (2 GB) has fewer units than that.
+BITS = 31
+PLACE = (1 << BITS) - 1
 #: Documents that a run of neighbours holds; cells of equal documents before equal widths.
 RUN, CELLS = 4000, 256
 
@@ -48,12 +50,12 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
                 f"(xxhash64({', '.join(f'get(_u, i + {k})' for k in range(KMER))}) & ~{PLACE}L) | (i & {PLACE}L)))"
             ),
         ),
-        ("_s", F.expr(f"filter(sequence(0, size(_p) - 1), i -> i = 0 or shiftright(get(_p, i), 24) != shiftright(get(_p, i - 1), 24))")),
+        ("_s", F.expr(f"filter(sequence(0, size(_p) - 1), i -> i = 0 or shiftright(get(_p, i), {BITS}) != shiftright(get(_p, i - 1), {BITS}))")),
         (
             "_z",
             F.expr(
                 "sort_array(flatten(transform(_s, (s, r) -> transform(slice(_p, s + 1, coalesce(get(_s, r + 1), size(_p)) - s), (x, j) -> "
-                f"(xxhash64(shiftright(x, 24), j) & ~{PLACE}L) | (x & {PLACE}L)))))"
+                f"(xxhash64(shiftright(x, {BITS}), j) & ~{PLACE}L) | (x & {PLACE}L)))))"
             ),
         ),
         ("_m", F.expr(f"sort_array(concat(_z, transform(array({marks}), j -> shiftleft(j, {span}))))")),
@@ -62,7 +64,7 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
             out,  # the tuple in text order: sorted by place, then hashed
             F.expr(
                 f"transform(_b, (b, j) -> cast(shiftright(xxhash64(transform(array_sort(transform(sequence(0, {PICK - 1}), "
-                f"t -> named_struct('at', get(_z, (b - j + t) % size(_z)) & {PLACE}L, 'h', shiftright(get(_z, (b - j + t) % size(_z)), 24)))), "
+                f"t -> named_struct('at', get(_z, (b - j + t) % size(_z)) & {PLACE}L, 'h', shiftright(get(_z, (b - j + t) % size(_z)), {BITS})))), "
                 "x -> x.h)), 32) as int))"
             ),
         ),
@@ -93,7 +95,8 @@ def runs(table: DataFrame):
     cell = F.size(F.filter(lows, lambda x: x <= F.col("doc_id"))) - 1
     cell = F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.coalesce(cell, F.lit(0))))
     low, high = F.get(lows, cell), F.get(lows, cell + 1)
-    part = (F.col("doc_id") - low).cast("double") * widths / F.greatest(F.lit(1), high - low)
+    at, low, high = (c.cast("double") for c in (F.col("doc_id"), low, high))  # ids may be as far apart as longs are
+    part = (at - low) * widths / F.greatest(F.lit(1.0), high - low)
     part = F.greatest(F.lit(0), F.least(F.lit(widths - 1), F.coalesce(F.floor(part), F.lit(0)))).cast("long")
     return cell.cast("long") * widths + part
 

@@ -23,6 +23,41 @@ def test_edited_texts_over_many_runs(documents, monkeypatch):
     assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == edited(rows)
 
 
+def test_wide_ids(documents, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUN", 3)
+    rows = [(i * 910_000_000_000_000_000, f"text {i}") for i in range(-10, 11)] + [(9223372036854775807, "last"), (-9223372036854775808, "first")]
+    got = fingerprints.fingerprints(documents([(k, t, "en", "a") for k, t in rows])).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == edited(rows)
+
+
+def test_signature_against_brute_force(spark, documents):
+    """The tuple of every slot, worked out by hand from hashes that Spark gives."""
+    import regex
+    from pyspark.sql import functions as F
+
+    text = "one two, three four five six one two three! " * 3
+    units = regex.findall(fingerprints.UNITS, text)
+    n, keep = max(1, len(units) - fingerprints.KMER + 1), ~fingerprints.PLACE
+    grams = [tuple(units[i : i + fingerprints.KMER]) for i in range(n)]
+    hashed = [r[0] for r in spark.createDataFrame([(i, *g) for i, g in enumerate(grams)], "i int, a string, b string, c string").orderBy("i").select(F.xxhash64("a", "b", "c")).collect()]
+    seen, marked = {}, []
+    for at, h in enumerate(hashed):
+        high = h >> fingerprints.BITS
+        marked.append((high, seen.get(high, 0), at))
+        seen[high] = seen.get(high, 0) + 1
+    again = [r[0] for r in spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(marked)], "i int, a long, b int").orderBy("i").select(F.xxhash64("a", "b")).collect()]
+    circle = sorted((h & keep) | at for h, (_, _, at) in zip(again, marked))
+    slots = []
+    for j in range(fingerprints.SLOTS):
+        mark = (j - fingerprints.SLOTS // 2) << (64 - fingerprints.SLOTS.bit_length() + 1)
+        first = sum(x < mark for x in circle)
+        took = [circle[(first + t) % len(circle)] for t in range(fingerprints.PICK)]
+        slots.append([x >> fingerprints.BITS for x in sorted(took, key=lambda x: x & fingerprints.PLACE)])
+    want = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(slots)], "i int, s array<long>").orderBy("i").select(F.shiftright(F.xxhash64("s"), 32).cast("int")).collect()]
+    got = fingerprints.fingerprints(documents([(1, text, "en", "a")])).first()["fingerprint"]
+    assert got == "".join(f"{w & 0xFFFFFFFF:08x}".upper() for w in want)
+
+
 def test_likeness(documents):
     words = [f"{a}{b}" for a in ("red", "green", "blue", "fast", "slow") for b in range(60)]
     base = " ".join(words)
