@@ -57,23 +57,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def salted(many: DataFrame, few: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def salted(many: DataFrame, few: DataFrame, key: str | list[str], counts: DataFrame, spread: str, how: str = "inner") -> DataFrame:
     """Join on ``key``, of which ``few`` has one row a value, without sending a
     frequent value's rows to one task.
 
-    ``counts`` is (key, _n), rows of ``many`` by value. A value with more than
-    ``HOT`` rows has a row of ``few`` for each ``HOT`` of them, and its rows are
-    dealt over these; there are at most rows / HOT such values."""
-    hot = counts.filter(F.col("_n") > HOT).select(F.col(key), F.ceil(F.col("_n") / HOT).cast("int").alias("_salts"))
+    ``counts`` is a stored table of (key, _n), rows of ``many`` by value. A value
+    with more than ``HOT`` rows has a row of ``few`` for each ``HOT`` of them, and its
+    rows are dealt over these by a hash of ``spread``; there are at most rows / HOT
+    such values."""
+    keys = [key] if isinstance(key, str) else key
+    hot = counts.filter(F.col("_n") > HOT).select(*keys, F.ceil(F.col("_n") / HOT).cast("int").alias("_salts"))
     n_hot = hot.count()
     if not n_hot:
-        return many.join(few, key, how)
-    hot = small(hot, n_hot)
+        return many.join(few, keys, how)
     salts = F.coalesce("_salts", F.lit(1))
-    # The salt is a hash of the row, so that a task that runs again deals alike.
-    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), salts).cast("int")).drop("_salts")
-    right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    left = many.join(small(hot, n_hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    right = few.join(small(hot, n_hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

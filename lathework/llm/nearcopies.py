@@ -8,15 +8,21 @@
    SHARED of a sketch (the chance that they don't is under 1e-8), so that one
    of those must be common. Values that many documents share thus list nobody
    who has rarer ones.
-3. Candidates go through the same filter on their full sets, where it is
-   exact: a link shares at least 85 % of a set, so one of the rarest 15 % + 1
-   shingles is common.
-4. Every list member is compared with the list's smallest id, its hub: first the
-   estimate from the union of both sketches, then the exact Jaccard of the
-   full sets. Linked ones merge. A list whose members are all in one component
-   by then needs no more; this keeps large groups of near copies linear.
-5. In the other lists, documents of different components are compared in
-   blocks of a task, exactly; only links leave the task, never pairs.
+3. Every list member is compared with the list's smallest id, its hub: first the
+   set sizes and the estimate from the union of both sketches, then, for what
+   passes, the exact Jaccard of the full sets. Linked ones merge. A list whose
+   members are all in one component by then needs no more; this keeps large
+   groups of near copies linear.
+4. Members of the other lists go through the same list filter on their full
+   sets, where it is exact: a link shares at least 85 % of a set, so one of the
+   rarest 15 % + 1 shingles is common. Their hubs are compared as in step 3.
+5. In lists that still mix components, documents are compared in blocks of a
+   task, exactly, and only with those whose set size allows a link (sizes fall
+   into bands a factor of 0.85 wide; a link spans two bands at most). Only links
+   leave the task, never pairs. That is quadratic in a band of documents that
+   share rare shingles without being linked.
+
+A value, hub or class that many rows share is split by salted joins.
 
 Components are found by alternating large-star and small-star steps.
 
@@ -29,12 +35,14 @@ result; more columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, docs, portable, store
+from .common import WORD, docs, portable, salted, scratch, store
 
 SHINGLE = 5
 SKETCH, SHARED, ESTIMATE = 48, 0.45, 0.5
@@ -73,14 +81,14 @@ def rare_lists(held: DataFrame, must_share: Column) -> DataFrame:
     ``held`` has id and values; of m values, ``must_share`` (of column m) are
     in common with any partner, so that m - must_share + 1 need listing."""
     each = held.select("id", F.size("values").alias("m"), F.explode("values").alias("value"))
-    common = each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = each.join(common, "value")
+    common = store(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "common")
+    rows = salted(each, common, "value", common.select("value", F.col("df").alias("_n")), "id")
     by_id = Window.partitionBy("id")
     # Values of one document only are the rarest of all and come first.
     rows = rows.withColumn("at", F.row_number().over(by_id.orderBy("df", "value"))).withColumn("found", F.count("*").over(by_id))
-    rows = rows.filter(F.col("at") + F.col("m") - F.col("found") <= F.col("m") - must_share + 1).select("value", "id")
-    many = rows.groupBy("value").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("value", "hub")
-    return rows.join(many, "value")
+    rows = store(rows.filter(F.col("at") + F.col("m") - F.col("found") <= F.col("m") - must_share + 1).select("value", "id"), "rare")
+    many = store(rows.groupBy("value").agg(F.min("id").alias("hub"), F.count("*").alias("_n")).filter("_n > 1"), "hubs")
+    return salted(rows, many.select("value", "hub"), "value", many.select("value", "_n"), "id")
 
 
 def is_link(n_a: Column, n_b: Column, both: Column) -> Column:
@@ -111,12 +119,27 @@ def components(edges: DataFrame) -> DataFrame:
         now = store(now.distinct(), "edges")
 
 
-def star_links(lists: DataFrame, held: DataFrame) -> DataFrame:
-    """Links (a, b) between the hubs and the members of lists. ``held``: id, n, sketch, shingles."""
+def sizes_allow(n_a: Column, n_b: Column) -> Column:
+    """A link's intersection is at most the smaller set, its union at least the larger."""
+    return F.lit(100) * F.least(n_a, n_b) >= F.lit(PERCENT) * F.greatest(n_a, n_b)
+
+
+def star_links(lists: DataFrame, held: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between the hubs and the members of lists, but for those that
+    ``joined`` (id, component) has in one component. ``held``: id, n, sketch, shingles."""
     pairs = lists.filter("id != hub").select("hub", "id").distinct()
-    theirs = held.select("id", F.col("n").alias("n_id"), F.col("sketch").alias("sk_id"), F.col("shingles").alias("sh_id"))
-    hubs = held.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("sk_hub"), F.col("shingles").alias("sh_hub"))
-    both = pairs.join(theirs, "id").join(hubs, "hub").filter(estimate(F.col("sk_id"), F.col("sk_hub")) >= ESTIMATE)
+    if joined is not None:
+        pairs = pairs.join(joined.withColumnRenamed("component", "c"), "id", "left")
+        pairs = pairs.join(joined.select(F.col("id").alias("hub"), F.col("component").alias("h")), "hub", "left")
+        pairs = pairs.filter(F.coalesce("c", "id") != F.coalesce("h", "hub")).select("hub", "id")
+    pairs = store(pairs, "pairs")
+    counts = store(pairs.groupBy("hub").agg(F.count("*").alias("_n")), "pair-counts")
+    theirs = held.select("id", F.col("n").alias("n_id"), F.col("sketch").alias("sk_id"))
+    hubs = held.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("sk_hub"))
+    near = salted(pairs.join(theirs, "id"), hubs, "hub", counts, "id").filter(sizes_allow(F.col("n_id"), F.col("n_hub")))
+    near = near.filter(estimate(F.col("sk_id"), F.col("sk_hub")) >= ESTIMATE).select("hub", "id", "n_hub", "n_id")
+    both = near.join(held.select("id", F.col("shingles").alias("sh_id")), "id")
+    both = salted(both, held.select(F.col("id").alias("hub"), F.col("shingles").alias("sh_hub")), "hub", counts, "id")
     linked = is_link(F.col("n_id"), F.col("n_hub"), F.size(F.array_intersect("sh_id", "sh_hub")))
     return both.filter(linked).select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
@@ -141,6 +164,8 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
     block, comp, ids = rows["block"].to_numpy(), rows["component"].to_numpy(), rows["id"].to_numpy()
     linked &= comp[:, None] != comp[None, :]
+    own = rows["band"].to_numpy() == rows["low"].to_numpy()
+    linked &= own[:, None] | own[None, :]  # two of the upper band meet in a group of their own
     if first != second:
         linked &= (block == first)[:, None] & (block == second)[None, :]
     a, b = np.nonzero(linked)
@@ -160,21 +185,32 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """(value, hub, id, component) of the lists whose members are in several components."""
+    own = lists.join(joined.withColumnRenamed("component", "c"), "id", "left")
+    own = store(own.select("value", "hub", "id", F.coalesce("c", "id").alias("component")), "members")
+    open_ = own.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("_n")).filter("least != most")
+    open_ = store(open_.select("value", "_n"), "open-lists")
+    return salted(own, open_.select("value"), "value", open_, "id")
+
+
 def rest_links(lists: DataFrame, joined: DataFrame, held: DataFrame) -> DataFrame:
     """Links between different components among the members of a list."""
-    own = lists.join(joined.withColumnRenamed("component", "c"), "id", "left")
-    own = own.select("value", "hub", "id", F.coalesce("c", "id").alias("component"))
-    mixed = own.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
-    opened = store(own.join(mixed.select("value"), "value"), "open")
+    opened = store(mixed(lists, joined), "open")
     family = components(opened.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
-    members = opened.select("id", "component").distinct().join(family, "id", "left")
-    members = members.select("id", "component", F.coalesce("family", "id").alias("family"))
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    members = opened.select("id", "component").distinct().join(family, "id", "left").join(held.select("id", "n"), "id")
+    band = F.floor(F.ln("n") / F.lit(-math.log(PERCENT / 100)) + 1e-9).cast("int")
+    members = members.select("id", "component", F.coalesce("family", "id").alias("family"), band.alias("band"))
+    members = members.withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    # A group without a document of its own, lower band has no pair to look at.
+    sizes = members.groupBy("family", "low").agg(F.count_if(F.col("low") == F.col("band")).alias("own"), F.count("*").alias("k")).filter("own > 0 and k > 1")
+    sizes = sizes.select("family", "low", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(sizes, ["family", "low"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = members.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = members.join(held.select("id", "n", "shingles"), "id").select("family", "i", "j", "id", "component", "block", "n", "shingles")
-    return dealt.groupBy("family", "i", "j").applyInPandas(_block_links, "a long, b long")
+    keys = ["family", "low", "i", "j"]
+    dealt = members.join(held.select("id", "n", "shingles"), "id").select(*keys, "id", "component", "block", "band", "n", "shingles")
+    return dealt.groupBy(*keys).applyInPandas(_block_links, "a long, b long")
 
 
 def near_copies(table: DataFrame) -> DataFrame:
@@ -185,7 +221,7 @@ def near_copies(table: DataFrame) -> DataFrame:
     )
     classes = store(classes, "classes")
     shared = F.ceil(F.col("m") * SHARED)
-    close = rare_lists(classes.select("id", F.col("sketch").alias("values")), shared)
+    close = store(rare_lists(classes.select("id", F.col("sketch").alias("values")), shared), "close")
     chosen = store(close.select("id").distinct(), "chosen")
 
     texts = table.join(chosen.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
@@ -193,18 +229,20 @@ def near_copies(table: DataFrame) -> DataFrame:
         F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.slice("shingles", 1, SKETCH).alias("sketch"), "shingles"
     )
     held = store(held, "sets")
-    exact = F.ceil(F.col("m") * PERCENT / 100)
-    lists = store(rare_lists(held.select("id", F.col("shingles").alias("values")), exact), "lists")
-
-    links = store(star_links(lists, held), "links")
+    links = store(star_links(close, held), "links")
     joined = components(links)
-    more = rest_links(lists, joined, held)
-    all_links = links.unionByName(store(more, "more"))
-    found = components(all_links)
+
+    unsure = store(mixed(close, joined).select("id").distinct(), "unsure")
+    exact = F.ceil(F.col("m") * PERCENT / 100)
+    lists = store(rare_lists(held.join(unsure, "id", "left_semi").select("id", F.col("shingles").alias("values")), exact), "lists")
+    links = links.unionByName(store(star_links(lists, held, joined), "more-links"))
+    links = links.unionByName(store(rest_links(lists, components(links), held), "rest-links"))
+    found = components(links)
 
     roots = classes.join(found, "id", "left").filter("copies > 1 or component is not null")
     roots = roots.select("n", "d1", "d2", F.coalesce("component", "id").alias("root"))
-    out = known.select("doc_id", "n", "d1", "d2").join(roots, ["n", "d1", "d2"], "left")
+    copies = classes.select("n", "d1", "d2", F.col("copies").alias("_n"))
+    out = salted(known.select("doc_id", "n", "d1", "d2"), roots, ["n", "d1", "d2"], copies, "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -219,14 +257,16 @@ def keep_first(table: DataFrame) -> DataFrame:
     found = near_copies(numbered.select(own, "text"))
     rest = store(found.filter("not kept").select(F.col("doc_id").alias("_lw_row"), F.col("component_id").alias("_lw_group")), "rest")
     members = rest.unionByName(rest.select(F.col("_lw_group").alias("_lw_row"), "_lw_group").distinct())
-    members = members.join(numbered.select("_lw_row", "doc_id"), "_lw_row")
+    members = store(members.join(numbered.select("_lw_row", "doc_id"), "_lw_row"), "group-members")
     first = members.groupBy("_lw_group").agg(F.min(F.struct("doc_id", "_lw_row"))["_lw_row"].alias("_lw_first"))
-    gone = members.join(first, "_lw_group").filter("_lw_row != _lw_first").select("_lw_row")
+    sizes = store(members.groupBy("_lw_group").agg(F.count("*").alias("_n")), "groups")
+    gone = salted(members, first, "_lw_group", sizes, "_lw_row").filter("_lw_row != _lw_first").select("_lw_row")
     return numbered.join(gone, "_lw_row", "left_anti").select(*[F.col(f"`{c}`") for c in table.columns])
 
 
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(docs(spark, sf_dir))
+    with scratch(spark):
+        return store(near_copies(docs(spark, sf_dir)), "near-copies", lasting=True)
 
 
 

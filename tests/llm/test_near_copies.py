@@ -70,6 +70,39 @@ def test_many_blocks(documents, monkeypatch):
     check(documents([(k, t, "en", "a") for k, t in rows]), rows)
 
 
+def test_hot_values_hubs_and_classes_are_salted(documents, monkeypatch):
+    from lathework.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    rows = corpus(4)
+    base = [f"v{i}" for i in range(100)]
+    rows += [(20_000 + i, " ".join(base)) for i in range(40)] + [(30_000 + i, " ".join([*base[:i], "odd", *base[i + 1 :]])) for i in range(40)]
+    check(documents([(k, t, "en", "a") for k, t in rows]), rows)
+    kept = {r["doc_id"] for r in nearcopies.keep_first(documents([(k, t, "en", "a") for k, t in rows])).collect()}
+    assert len(kept & set(range(20_000, 40_000))) == 1
+
+
+def test_one_line_in_all_documents(documents, monkeypatch):
+    """A line that every document has neither links them nor makes them one family."""
+    line = " ".join(f"notice{i}" for i in range(30))
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(20 + i % 50)) + " " + line) for i in range(300)]
+    rows += [(1000, rows[7][1] + " end"), (1001, rows[8][1])]
+    seen = []
+    monkeypatch.setattr(nearcopies, "mixed", lambda a, b, f=nearcopies.mixed: seen.append(f(a, b)) or seen[-1])
+    check(documents([(k, t, "en", "a") for k, t in rows]), rows)
+    assert max(df.select("id").distinct().count() for df in seen) <= 160  # of documents mostly made of the line
+
+
+def test_bands_miss_no_link(documents):
+    """Pairs at exactly 85 %, either way round, on both sides of every band's edge."""
+    rows = []
+    for n in range(7, 120):
+        words = [f"n{n}w{j}" for j in range(n + 4)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[: -(-85 * n // 100) + 4])), (10 * n + 2, " ".join(words[: -(-85 * n // 100) + 3]))]
+    check(documents([(k, t, "en", "a") for k, t in rows]), rows)
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(1, 60).selectExpr("id as a", "id - 1 as b")
     got = nearcopies.components(edges).collect()
