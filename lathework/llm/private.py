@@ -58,6 +58,10 @@ ROUNDS, DEPTH, SHRINK, LEAST = 40, 3, 0.3, 2.0
 PRECISION = 0.9
 #: Scores are counted in such steps.
 STEP = 1e-3
+#: More candidates than can start within the longest one (645 characters, at most 292 starts).
+REACH = 512
+#: Characters of a block of a text that is cut into pieces.
+CUT = 1024
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -76,12 +80,24 @@ def _ends(lengths: str) -> str:
     return let("s", blocks, let("o", starts, inside))
 
 
-SPAN = "array<struct<kind: int, start: int, end: int, value: string>>"
+SPAN = "array<struct<kind: int, start: int, end: int, value: string, before: string, after: string>>"
+
+
+def _largest_so_far(values: str) -> str:
+    """SQL: running maxima of an array of ints that isn't empty, by blocks of 32."""
+    blocks = f"transform(sequence(0, (size({values}) - 1) div 32), b -> array_max(slice({values}, 32 * b + 1, 32)))"
+    starts = "transform(sequence(0, size(s) - 1), b -> coalesce(array_max(slice(s, 1, b)), -1))"
+    inside = f"transform({values}, (x, i) -> greatest(get(o, i div 32), array_max(slice({values}, 32 * (i div 32) + 1, i % 32 + 1))))"
+    return let("s", blocks, let("o", starts, inside))
 
 
 def spans(kind: int, pattern: str) -> str:
-    """SQL: structs (kind, start, end, value) of a pattern's matches in ``text``."""
-    struct = f"transform(m, (x, i) -> named_struct('kind', {kind}, 'start', get(e, i) - length(x), 'end', get(e, i), 'value', x))"
+    """SQL: structs (kind, start, end, value, before, after) of a pattern's matches
+    in ``text``; the last two are the characters beside, taken from the text
+    between matches, so that no match searches the text from its beginning."""
+    before = "if(length(get(g, i)) > 0, right(get(g, i), 1), if(i > 0, right(get(m, i - 1), 1), ''))"
+    after = "if(length(get(g, i + 1)) > 0, left(get(g, i + 1), 1), coalesce(left(get(m, i + 1), 1), ''))"
+    struct = f"transform(m, (x, i) -> named_struct('kind', {kind}, 'start', get(e, i) - length(x), 'end', get(e, i), 'value', x, 'before', {before}, 'after', {after}))"
     steps = "transform(m, (x, i) -> length(x) + length(get(g, i)))"
     placed = let("g", f"split(text, r'{pattern}', -1)", let("l", steps, let("e", _ends("l"), struct)))
     return let("m", f"if(_may, regexp_extract_all(text, r'{pattern}', 0), array())", f"if(size(m) = 0, cast(array() as {SPAN}), {placed})")
@@ -126,8 +142,10 @@ def with_candidates(df: DataFrame) -> DataFrame:
     """Adds ``base`` and ``candidates``, all kinds in one array; the latter have
     features and ``is_base``."""
     df = df.withColumn("base", F.concat(*[F.col(f"base_{k}") for k in KINDS]))
-    key = "m.kind + 4L * m.start + 4294967296L * (m.end - m.start)"  # kind, start and length in one long
-    proposals = f"array_distinct(concat(b, {', '.join(spans(i, CANDIDATES[k]) for i, k in enumerate(KINDS))}))"
+    # Base spans come before equal proposals, which are then left out.
+    tagged = lambda array, tag: f"transform({array}, m -> named_struct('kind', m.kind, 'start', m.start, 'end', m.end, 'tag', {tag}, 'm', m))"
+    proposals = f"concat({', '.join(spans(i, CANDIDATES[k]) for i, k in enumerate(KINDS))})"
+    first = "i = 0 or t.kind != get(p, i - 1).kind or t.start != get(p, i - 1).start or t.end != get(p, i - 1).end"
     d = _digits("m.value")
     features = {
         "kind": "m.kind",
@@ -138,12 +156,12 @@ def with_candidates(df: DataFrame) -> DataFrame:
         "dots": "least(regexp_count(m.value, '[.]'), 4)",
         "luhn": f"if(m.kind = 2 and length({d}) between 13 and 19, cast({_luhn(d)} as int), 2)",
         "octets": f"if(m.kind = 1, cast({_octets('m.value')} as int), 2)",
-        "before": _side("substring(text, m.start, if(m.start > 0, 1, 0))"),
-        "after": _side("substring(text, m.end + 1, 1)"),
+        "before": _side("m.before"),
+        "after": _side("m.after"),
     }
     fields = ", ".join(f"'{k}', {v}" for k, v in features.items())
-    struct = f"named_struct({fields}, 'start', m.start, 'end', m.end, 'is_base', array_contains(k, {key}))"
-    every = let("b", "base", let("k", f"transform(b, m -> {key})", f"transform({proposals}, m -> {struct})"))
+    struct = let("m", "t.m", f"named_struct({fields}, 'start', m.start, 'end', m.end, 'is_base', t.tag = 0)")
+    every = let("p", f"sort_array(concat({tagged('base', 0)}, {tagged(proposals, 1)}))", f"transform(filter(p, (t, i) -> {first}), t -> {struct})")
     return df.withColumn("candidates", F.expr(every))
 
 
@@ -231,18 +249,33 @@ def train(df: DataFrame) -> tuple[Boosted, dict[int, float]]:
     return model, thresholds
 
 
+def _free_of_base() -> str:
+    """SQL: those of ``n`` (sorted structs with start and end) that no span of ``b``
+    overlaps, in linear time: the spans that start before a candidate ends are
+    counted by sorting both ends into one array of longs (position, whose, index),
+    and the largest end among them says whether one reaches the candidate."""
+    whose, index = 1 << 30, (1 << 30) - 1
+    ends = f"transform(n, (c, i) -> c.end * 2147483648L + i)"
+    starts = f"transform(b, o -> o.start * 2147483648L + {whose}L)"
+    sorted_b = "transform(sort_array(transform(b, o -> o.start * 2147483648L + o.end)), x -> cast(x & 2147483647L as int))"
+    hit = f"p - r > 0 and get(most, p - r - 1) > get(n, cast(get(both, p) & {index}L as int)).start"
+    each = f"transform(at, (p, r) -> if({hit}, null, get(n, cast(get(both, p) & {index}L as int))))"
+    at = f"filter(sequence(0, size(both) - 1), i -> get(both, i) & {whose}L = 0)"
+    found = let("at", at, f"sort_array(filter({each}, c -> c is not null))")
+    return let("both", f"sort_array(concat({ends}, {starts}))", let("v", sorted_b, let("most", _largest_so_far("v"), found)))
+
+
 def with_spans(df: DataFrame, model: Boosted, thresholds: dict[int, float]) -> DataFrame:
     """Adds ``spans``: structs (kind, start, end) of the base and the additions, sorted."""
     least = ", ".join(f"{thresholds[k]:.17e}D" if k in thresholds else "double('inf')" for k in range(len(KINDS)))
-    scored = (
-        "transform(filter(candidates, c -> not c.is_base and not exists(b, o -> o.start < c.end and c.start < o.end)), "
-        f"c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'score', {model.sql('c')}))"
-    )
-    good = f"filter({scored}, c -> c.score >= get(array({least}), c.kind))"
+    scored = f"transform(filter(candidates, c -> not c.is_base), c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'score', {model.sql('c')}))"
+    good = f"sort_array(filter({scored}, c -> c.score >= get(array({least}), c.kind)))"
+    free = f"if(size(b) = 0 or size(n) = 0, n, {_free_of_base()})"
     better = "struct(o.score, -o.start, o.end - o.start, -o.kind) > struct(c.score, -c.start, c.end - c.start, -c.kind)"
-    added = f"filter(g, c -> not exists(g, o -> o.start < c.end and c.start < o.end and {better}))"
+    near = f"slice(g, greatest(i - {REACH}, 0) + 1, {2 * REACH})"
+    added = f"filter(g, (c, i) -> not exists({near}, o -> o.start < c.end and c.start < o.end and {better}))"
     plain = "m -> named_struct('kind', m.kind, 'start', m.start, 'end', m.end)"
-    both = let("b", "base", let("g", good, f"array_sort(concat(transform(b, {plain}), transform({added}, {plain})))"))
+    both = let("b", "base", let("n", good, let("g", free, f"sort_array(concat(transform(b, {plain}), transform({added}, {plain})))")))
     return df.withColumn("spans", F.expr(both))
 
 
@@ -277,19 +310,26 @@ def redact(table: DataFrame) -> DataFrame:
     Overlapping spans count as one, named after the first."""
     own = table.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("_lw_row"))
     df = find(own, keep=("text", "_lw_row"))
-    ordered = "array_sort(transform(spans, m -> named_struct('start', m.start, 'end', m.end, 'kind', m.kind)))"
-    joined = (
-        f"aggregate({ordered}, cast(array() as array<struct<start: int, end: int, kind: int>>), (t, m) -> "
-        f"if(size(t) > 0 and m.start < element_at(t, -1).end, concat(slice(t, 1, size(t) - 1), array(named_struct("
-        "'start', element_at(t, -1).start, 'end', greatest(element_at(t, -1).end, m.end), 'kind', element_at(t, -1).kind))), "
-        "concat(t, array(m))))"
-    )
+    ordered = "sort_array(transform(spans, m -> named_struct('start', m.start, 'end', m.end, 'kind', m.kind)))"
+    # A span begins a run unless one before it reaches over its start.
+    heads = "filter(sequence(0, size(w) - 1), i -> i = 0 or get(w, i).start >= get(most, i - 1))"
+    runs = "transform(h, (i, r) -> named_struct('start', get(w, i).start, 'end', get(most, coalesce(get(h, r + 1), size(w)) - 1), 'kind', get(w, i).kind))"
+    joined = let("w", ordered, let("v", "transform(w, m -> m.end)", let("most", _largest_so_far("v"), let("h", heads, runs))))
     tags = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    end = "coalesce(get(u, i - 1).end, 0)"
-    parts = f"transform(u, (m, i) -> concat(substring(text, {end} + 1, m.start - {end}), get(array({tags}), m.kind)))"
-    tail = "substring(text, element_at(u, -1).end + 1, length(text))"
+    blocks = f"transform(sequence(0, length(text) div {CUT}), k -> substring(text, k * {CUT} + 1, {CUT}))"
+
+    def piece(start: str, end: str) -> str:
+        """SQL: text[start:end] from blocks, without going through the text from its beginning."""
+        first, last = f"(({start}) div {CUT})", f"(({end}) div {CUT})"
+        one = f"substring(get(k, cast({first} as int)), ({start}) % {CUT} + 1, ({end}) - ({start}))"
+        inner = f"array_join(slice(k, cast({first} as int) + 2, cast({last} - {first} as int) - 1), '')"
+        more = f"concat(substring(get(k, cast({first} as int)), ({start}) % {CUT} + 1, {CUT}), {inner}, substring(get(k, cast({last} as int)), 1, ({end}) % {CUT}))"
+        return f"if({first} = {last}, {one}, {more})"
+
+    parts = f"transform(u, (m, i) -> concat({piece('coalesce(get(u, i - 1).end, 0)', 'm.start')}, get(array({tags}), m.kind)))"
+    tail = piece("element_at(u, -1).end", "length(text)")
     clean = F.size("spans") == 0
-    df = df.withColumn("_redacted", F.expr(f"if(size(spans) = 0, text, {let('u', joined, f'concat(array_join({parts}, {chr(39)}{chr(39)}), {tail})')})"))
+    df = df.withColumn("_redacted", F.expr(f"if(size(spans) = 0, text, {let('k', blocks, let('u', joined, f'concat(array_join({parts}, {chr(39)}{chr(39)}), {tail})'))})"))
     text = F.when(clean, F.col("_lw_row.text")).otherwise(F.col("_redacted"))
     new = {"text": text}
     if "n_chars" in table.columns:

@@ -73,6 +73,33 @@ def test_redact(documents):
     assert got == {1: ("a [EMAIL] and [IP]!", 19), 2: ("clean", 5), 3: (None, None)}
 
 
+def test_redact_cuts_at_block_edges(documents, monkeypatch):
+    monkeypatch.setattr(private, "CUT", 8)
+    texts = [f"{'x ' * k}a@b.co{' y' * (k % 7)} 10.0.0.{k} c@d.ef,g@h.ij {'\u4e2d' * k} k@l.mn" for k in range(40)]
+    got = {r["doc_id"]: r["text"] for r in private.redact(documents([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        want = re.sub(PATTERNS["email"], "[EMAIL]", t)
+        assert got[i] == re.sub(PATTERNS["ip"], "[IP]", want)
+
+
+def test_additions_keep_off_base_spans(documents, monkeypatch):
+    """Every proposal is accepted: what is added overlaps no base span, and of
+    proposals that overlap each other none is both worse and added."""
+    rows = [(i, t, "en", "a") for i, t in enumerate([*TEXTS, "0319 555-5132 a@b.co 10.1.1.300 (031) 555-4444.10.1.1.1 " * 40])]
+    df = private.with_candidates(private.with_base(documents(rows)))
+    model = private.Boosted()
+    model.trees = [(1, 9, 0.5, 1.0)]
+    for r in private.with_spans(df, model, dict.fromkeys(range(4), 0.0)).collect():
+        base_ = [(m["start"], m["end"]) for m in r["base"]]
+        meet = lambda a, b: a[0] < b[1] and b[0] < a[1]
+        good = [c for c in r["candidates"] if not c["is_base"] and not any(meet((c["start"], c["end"]), o) for o in base_)]
+        rank = lambda c: (0.5 if c["digits"] <= 9 else 1.0, -c["start"], c["end"] - c["start"], -c["kind"])
+        want = {(c["kind"], c["start"], c["end"]) for c in good if not any(meet((c["start"], c["end"]), (o["start"], o["end"])) and rank(o) > rank(c) for o in good)}
+        assert {tuple(m) for m in r["spans"]} == want | {(m["kind"], m["start"], m["end"]) for m in r["base"]}
+        keys = [(c["kind"], c["start"], c["end"]) for c in r["candidates"]]
+        assert len(keys) == len(set(keys)) and sum(c["is_base"] for c in r["candidates"]) == len(base_)
+
+
 def test_no_python_in_the_plan(documents):
     plan = private.find(documents([(1, "a@b.co", "en", "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
