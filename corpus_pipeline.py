@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lathework.llm import mixing, nearcopies, packing, private, toxicity
 from lathework.llm.common import docs as read
-from lathework.llm.common import store
+from lathework.llm.common import scratch, store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``. What a stage stored on its way is removed
+    when its result is written."""
     docs = read(spark, sf_dir)
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = store(stage(spark, docs, sf_dir), name, lasting=True)
     return docs

@@ -13,8 +13,8 @@ all rows, is split into many blocks, and so are a block's queries. Distances are
 double precision on the original vectors.
 
 Cases: rows with null id, and vectors that are null, zero, hold a null or a
-non-finite component, or are not of the table's most common length (the
-smaller, on a tie), take no part; a repeated query id is asked once, with the
+non-finite component take no part; vectors are near only to others of their
+length, and every length is searched; a repeated query id is asked once, with the
 least of its vectors; repeated candidates are found as often as they appear,
 except under the query's own id; with fewer than ``k`` candidates all are
 returned; an empty table gives an empty result; more columns are ignored.
@@ -31,14 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs, portable, store
+from .common import docs, portable, scratch, store
 
 K = 10
 SAMPLE = 20_000
 SAMPLE_VALUES = 8_000_000
 BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 512, 16
 CALIBRATION, RECALL = 100, 0.95
+#: Rows of one length up to which they are searched without a tree.
+FEW = 10_000
 BLOCK, VISITS = 4096, 4096
+#: Queries of one matrix product.
+SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -126,24 +130,35 @@ def grow(sample: np.ndarray, leaf_sample: int, branches: int = BRANCHES) -> Tree
 
 def nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int, more: tuple[str, ...] = ()) -> pd.DataFrame:
     """Each query's k nearest of ``rows``; both have id and vector columns. A
-    query with ``leaves`` looks at the rows of those leaves only."""
+    query with ``leaves`` looks at the rows of those leaves only.
+
+    Matrix products give distances up to rounding; what they put within rounding
+    of the k-th one is measured exactly."""
     x, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
-    visited = "leaves" in queries
-    leaf, names = np.unique(rows["leaf"].to_numpy(), return_inverse=True)[::-1] if visited else (None, None)
+    lengths = (x * x).sum(1)
+    names, leaf = np.unique(rows["leaf"].to_numpy(), return_inverse=True) if "leaves" in queries else (None, None)
     out = []
-    for i, (query, q) in enumerate(zip(queries["query_id"].to_numpy(), queries["q"], strict=True)):
-        look = np.arange(len(x))
-        if visited:
-            look = np.flatnonzero(np.isin(names, queries["leaves"].iloc[i])[leaf])
-        d = exact(x[look], np.asarray(q, float)[None])[:, 0]
-        d[ids[look] == query] = np.inf
-        if not len(d):
-            continue
-        least = min(k, len(d)) - 1
-        near = np.flatnonzero(d <= np.partition(d, least)[least])
-        near = near[np.lexsort((ids[look[near]], d[near]))][:k]
-        near = near[np.isfinite(d[near])]
-        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[look[near]], "score": d[near], **{m: rows[m].to_numpy()[look[near]] for m in more}}))
+    for low in range(0, len(queries), SLICE):
+        part = queries.iloc[low : low + SLICE]
+        q, asked = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy()
+        own = (q * q).sum(1)
+        near = own[:, None] - 2 * (q @ x.T) + lengths[None]
+        near[ids[None] == asked[:, None]] = np.inf
+        if leaf is not None:
+            seen = np.stack([np.isin(names, visits) for visits in part["leaves"]])
+            near[~seen[:, leaf]] = np.inf
+        rounding = 1e-12 * x.shape[1] * (own + lengths.max())
+        for i, query in enumerate(asked):
+            d = near[i]
+            open_ = np.isfinite(d).sum()
+            if not open_:
+                continue
+            least = min(k, open_) - 1
+            look = np.flatnonzero(d <= np.partition(d, least)[least] + 2 * rounding[i])
+            d = exact(x[look], q[i][None])[:, 0]
+            best = np.lexsort((ids[look], d))[:k]
+            best, d = look[best], d[best]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": d, **{m: rows[m].to_numpy()[best] for m in more}}))
     return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "vec_id", "score", *more)})
 
 
@@ -169,19 +184,55 @@ def vectors(table: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = table.filter("vec_id is not null and embedding is not null").select("vec_id", v.alias("v"))
-    good = good.filter(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size("v") == F.lit(lengths["n"] if lengths else 0))
+    return good.filter(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = K, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for every
-    query. ``table`` has vec_id and v, ``queries`` query_id and q."""
+    query, among the rows of its length. ``table`` has vec_id and v, ``queries``
+    query_id and q. The commonest length and those of more than ``FEW`` rows get a
+    tree; all the others are searched row by row in one job."""
+    by_length = table.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k"))
+    common = by_length.orderBy(F.desc("k"), "n").limit(1).unionByName(by_length.filter(F.col("k") > FEW)).collect()
+    sizes = sorted({r["n"] for r in common})  # the commonest, and at most rows / FEW others
+    out = None
+    for n in sizes:
+        one = tree_search(table.filter(F.size("v") == n), queries.filter(F.size("q") == n), k, recall)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return table.sparkSession.createDataFrame([], FOUND)
+    few = table.select(F.size("v").alias("n"), "vec_id", "v").filter(~F.col("n").isin(*sizes))
+    if few.isEmpty():
+        return out
+    asked = queries.select(F.size("q").alias("n"), "query_id", "q")
+    found = few.groupBy("n").cogroup(asked.groupBy("n")).applyInPandas(_all_pairs(k), "query_id long, vec_id long, score double")
+    return out.unionByName(_ranked(found, k))
+
+
+FOUND = "query_id long, rank int, vec_id long, score double"
+
+
+def _all_pairs(k: int):
+    def look(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(queries):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return nearest(queries, rows, k)
+
+    return look
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def tree_search(table: DataFrame, queries: DataFrame, k: int = K, recall: float = RECALL) -> DataFrame:
+    """The k nearest rows found for every query, all vectors of one length."""
     spark = table.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
     n = table.count()
     if not n:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], FOUND)
     dim = len(table.select("v").first()[0])
     bound = min(SAMPLE, max(1000, SAMPLE_VALUES // dim))
     share = F.pmod(F.xxhash64(F.lit("tree"), "vec_id"), F.lit(1 << 30)) < int(min(1.0, bound / n) * (1 << 30))
@@ -206,7 +257,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, recall: float = REC
     if not len(few):
         few = queries.limit(1).toPandas()
     if not len(few):
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], FOUND)
     asked = spark.sparkContext.broadcast(few.to_dict("list"))
 
     def brute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,24 +314,19 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, recall: float = REC
     mine, every = dealt("query_id", "query_blocks", "row_blocks")
     right = right.withColumn("query_block", mine).withColumn("row_block", every).join(queries, "query_id")
 
-    def look(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return nearest(queries, rows, k)
-
     found = (
         left.select(*keys, "vec_id", "leaf", "v").groupBy(*keys)
         .cogroup(right.select(*keys, "query_id", "leaves", "q").groupBy(*keys))
-        .applyInPandas(look, "query_id long, vec_id long, score double")
+        .applyInPandas(_all_pairs(k), "query_id long, vec_id long, score double")
     )
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _ranked(found, k)
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = store(vectors(docs(spark, sf_dir, "embeddings")), "vectors")
-    queries = table.filter("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
-    return search(table, store(queries, "queries"))
+    with scratch(spark):
+        table = store(vectors(docs(spark, sf_dir, "embeddings")), "vectors")
+        queries = table.filter("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+        return store(search(table, store(queries, "queries")), "neighbours", lasting=True)
 
 
 portable(__name__)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
@@ -277,3 +278,35 @@ def test_neighbours_odd_rows(spark):
     got = sorted((r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(table, asked).collect())
     assert got == [(1, 7, 1.0), (2, 8, 1.0)]
     assert neighbours.search(neighbours.vectors(vectors(spark, bad[:1])), asked.limit(0)).count() == 0
+
+
+def test_neighbours_of_every_length(spark):
+    rows = [(i, [float(i % 7), float(i % 5)], 0) for i in range(1, 40)] + [(100 + i, [float(i), 1.0, 2.0], 0) for i in range(12)] + [(200, [5.0], 0), (201, [7.0], 0)]
+    table = neighbours.vectors(vectors(spark, rows))
+    asked = table.filter("vec_id % 100 = 0").selectExpr("vec_id as query_id", "v as q")
+    got: dict[int, list] = {}
+    for r in neighbours.search(table, asked).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[200]) == [(1, 201, 2.0)]
+    assert sorted(got[100]) == [(i, 100 + i, float(i)) for i in range(1, 11)]
+
+
+def test_recall_on_the_drivers_table(spark):
+    """Recall at 10 of the registered query against brute force over the whole table."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    found: dict[int, set] = {}
+    for r in neighbours.op3_neighbours(spark, folder).collect():
+        found.setdefault(r["query_id"], set()).add((r["vec_id"], r["score"]))
+    hit = total = 0
+    for query in (i for i, _ in rows if i % 100 == 0):
+        own = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+        q = dict(own)[query]
+        want = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v, q)))), i) for i, v in own if i != query)[:10]
+        hit += len({i for _, i in want} & {i for i, _ in found[query]})
+        total += 10
+        score = {i: s for s, i in want}
+        assert all(s == score[i] for i, s in found[query] if i in score)
+    assert total and hit / total >= 0.9
