@@ -42,7 +42,7 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     span = 64 - SLOTS.bit_length() + 1
     marks = ", ".join(f"{j}L" for j in range(-SLOTS // 2, SLOTS // 2))
     steps = [
-        ("_u", F.regexp_extract_all(F.col(text), F.lit(UNITS), F.lit(0))),
+        ("_u", F.transform(F.regexp_extract_all(F.col(text), F.lit(UNITS), F.lit(0)), lambda x: F.xxhash64(x))),
         (
             "_p",
             F.expr(

@@ -38,8 +38,9 @@ def test_signature_against_brute_force(spark, documents):
     text = "one two, three four five six one two three! " * 3
     units = regex.findall(fingerprints.UNITS, text)
     n, keep = max(1, len(units) - fingerprints.KMER + 1), ~fingerprints.PLACE
+    units = [r[0] for r in spark.createDataFrame(list(enumerate(units)), "i int, u string").orderBy("i").select(F.xxhash64("u")).collect()]
     grams = [tuple(units[i : i + fingerprints.KMER]) for i in range(n)]
-    hashed = [r[0] for r in spark.createDataFrame([(i, *g) for i, g in enumerate(grams)], "i int, a string, b string, c string").orderBy("i").select(F.xxhash64("a", "b", "c")).collect()]
+    hashed = [r[0] for r in spark.createDataFrame([(i, *g) for i, g in enumerate(grams)], "i int, a long, b long, c long").orderBy("i").select(F.xxhash64("a", "b", "c")).collect()]
     seen, marked = {}, []
     for at, h in enumerate(hashed):
         high = h >> fingerprints.BITS
