@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import cumulative
+from .ordered import cumulative, quantiles, with_quantiles
 
 EPS = 1e-10
 
@@ -23,9 +23,13 @@ def bin_counts(df: DataFrame, x: str, ref: str, by: Sequence[str] = (), bins: in
         edge = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / F.lit(float(bins)))
         edges = edges.select(*by, edge.alias("_edges"))
     else:
-        edges = own.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_edges"))
+        edges = quantiles(df.filter(F.col(ref)), x, [i / bins for i in range(1, bins)], by, "_edges")
     rows = df.filter(F.col(x).isNotNull())
-    rows = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))  # one row
+    if by:  # null is a group like any other
+        edges = edges.withColumnsRenamed({k: f"_k_{k}" for k in by})
+        rows = rows.join(edges, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]).drop(*[f"_k_{k}" for k in by])
+    else:
+        rows = rows.crossJoin(F.broadcast(edges))  # one row
     bin_ = F.size(F.filter("_edges", lambda e: e <= F.col(x)))
     return rows.groupBy(*by, bin_.alias("bin")).agg(F.count_if(ref).alias("r"), F.count_if(~F.col(ref)).alias("c"))
 
@@ -34,7 +38,11 @@ def psi(df: DataFrame, x: str, ref: str, by: Sequence[str] = (), bins: int = 10)
     """Population stability index over the reference's quantile bins, with its band."""
     counts = bin_counts(df, x, ref, by, bins)
     total = counts.groupBy(*by).agg(F.sum("r").alias("_r"), F.sum("c").alias("_c"))
-    both = counts.join(total, list(by)) if by else counts.crossJoin(F.broadcast(total))
+    if by:
+        total = total.withColumnsRenamed({k: f"_k_{k}" for k in by})
+        both = counts.join(total, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]).drop(*[f"_k_{k}" for k in by])
+    else:
+        both = counts.crossJoin(F.broadcast(total))  # one row
     p, q = F.try_divide("r", "_r"), F.try_divide("c", "_c")
     out = both.groupBy(*by).agg(F.sum((q - p) * F.ln((q + EPS) / (p + EPS))).alias("psi"), F.max("_r").alias("n_reference"), F.max("_c").alias("n_current"))
     return out.withColumn("band", F.when(F.col("psi") < 0.1, "none").when(F.col("psi") < 0.25, "moderate").otherwise("large"))
@@ -90,10 +98,12 @@ def ks_p_value(ks: float, n: int, m: int, terms: int = 100) -> float:
 
 
 def chi2_categories(df: DataFrame, x: str, ref: str) -> DataFrame:
-    """Chi-square of the current counts per category against the reference's counts as they are."""
-    counts = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(ref).alias("r"), F.count_if(~F.col(ref)).alias("c"))
+    """Chi-square of the current counts per category against the reference's counts as
+    they are plus ``EPS``, so that a category the reference lacks is drift; null is a
+    category of its own."""
+    counts = df.groupBy(x).agg(F.count_if(ref).alias("r"), F.count_if(~F.col(ref)).alias("c"))
     return counts.agg(
-        F.sum(F.when(F.col("r") > 0, F.pow(F.col("c") - F.col("r"), F.lit(2)) / F.col("r"))).alias("chi2"), (F.count("*") - 1).alias("df")
+        F.sum(F.pow(F.col("c") - F.col("r") - EPS, F.lit(2)) / (F.col("r") + EPS)).alias("chi2"), (F.count("*") - 1).alias("df")
     )
 
 
@@ -122,7 +132,8 @@ def ab_test(df: DataFrame, variant: str, value: str, control: str, treatment: st
 
 def variant_summary(df: DataFrame, variant: str, value: str, failed: str) -> DataFrame:
     """(variant, requests, errors, success_rate, mean, std_pop, min, max, median)."""
-    return df.groupBy(F.col(variant).alias("variant")).agg(
+    out = df.groupBy(F.col(variant).alias("variant")).agg(
         F.count("*").alias("requests"), F.count_if(failed).alias("errors"), (1 - F.count_if(failed) / F.count("*")).alias("success_rate"), F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std_pop"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.lit(0.5)).alias("median"),
+        F.stddev_pop(value).alias("std_pop"), F.min(value).alias("min"), F.max(value).alias("max"),
     )
+    return with_quantiles(out, value, {"median": 0.5}, ["variant"], df.withColumn("variant", F.col(variant)))

@@ -79,7 +79,7 @@ def resample(learner: str, task: Task, folds: int = 5, seed: int = 0, **params)
     that wasn't trained on its fold; folds are a column of the one table."""
     from .resample import cv
 
-    rows = cv(task.df, task.row_id, folds, seed).persist()
+    rows = cv(task.df, task.row_id, folds, seed)
     out = None
     for k in range(folds):
         model = train(learner, task.with_df(rows.filter(F.col("fold") != k).drop("fold")), **params)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import cumulative, mid_ranks
+from .ordered import cumulative, mid_ranks, with_quantiles
 
 
 def _both(df: DataFrame, t: str, p: str) -> DataFrame:
@@ -115,13 +115,14 @@ def regression(df: DataFrame, truth: str, response: str, by: Sequence[str] = (),
     log_ok = (F.col("t") >= 0) & (F.col("p") >= 0)
     se_log = F.pow(F.log1p("p") - F.log1p("t"), F.lit(2))
     sse, sst = F.sum(e * e), F.sum(F.pow(F.col("t") - F.col("_m"), F.lit(2)))
-    return rows.groupBy(*by).agg(
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.try_divide(F.col("t") - F.col("p"), F.abs("t"))).alias("pbias"), F.avg(e * e).alias("mse"),
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(ae).alias("mae"), F.percentile(ae, F.lit(0.5)).alias("medae"), F.percentile(e * e, F.lit(0.5)).alias("medse"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(ae).alias("mae"),
         F.max(ae).alias("maxae"), F.sum(ae).alias("sae"), sse.alias("sse"), (100 * F.avg(F.when(F.abs("t") > eps, ae / F.abs("t")))).alias("mape"),
         F.avg(F.try_divide(2 * ae, F.abs("t") + F.abs("p"))).alias("smape"), F.avg(F.when(log_ok, se_log)).alias("msle"), F.sqrt(F.avg(F.when(log_ok, se_log))).alias("rmsle"),
         F.when(F.count("*") > 1, 1 - F.try_divide(sse, sst)).alias("rsq"),
     )
+    return with_quantiles(with_quantiles(out, ae, {"medae": 0.5}, by, rows), e * e, {"medse": 0.5}, by, rows)
 
 
 def pinball(df: DataFrame, truth: str, response: str, alpha: float = 0.5) -> DataFrame:

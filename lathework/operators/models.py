@@ -8,6 +8,7 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import with_quantiles
 from .scores import unpivot
 
 #: Test rows of one block of nearest neighbours, which is broadcast.
@@ -23,7 +24,8 @@ def featureless_classif(train: DataFrame, label: str) -> DataFrame:
 
 def featureless_regr(train: DataFrame, target: str) -> DataFrame:
     """One row: mean, median and standard error of the mean."""
-    return train.agg(F.avg(target).alias("mean"), F.percentile(target, F.lit(0.5)).alias("median"), (F.stddev_samp(target) / F.sqrt(F.count(target))).alias("se"))
+    out = train.agg(F.avg(target).alias("mean"), (F.stddev_samp(target) / F.sqrt(F.count(target))).alias("se"))
+    return with_quantiles(out, target, {"median": 0.5}, of=train)
 
 
 def gaussian_nb(train: DataFrame, test: DataFrame, row_id: str, features: Sequence[str], label: str, smoothing: float = 1e-9) -> DataFrame:

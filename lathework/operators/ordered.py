@@ -6,6 +6,8 @@ the total of the cells before, a table of one row a cell."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,55 @@ def positions(df: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
     """Numbers rows in ascending ``order``, whose values must be distinct."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
     return cumulative(one, order, {out: "_one"}).withColumn(out, F.col(out) + start - 1).drop("_one")
+
+
+def quantiles(df: DataFrame, column: str | Column, probs: Sequence[float], by: Sequence[str] = (), out: str = "_q", cells: int = CELLS) -> DataFrame:
+    """(by, out): the exact quantiles, linear between neighbours, as an array; a row a
+    group that has values.
+
+    Distinct values are counted once, map side first. Approximate quantiles cut them
+    into cells; a group's counts by cell, one row a cell, say in which cells the wanted
+    ranks lie, and only those are ordered, each by itself."""
+    by = list(by)
+    v = F.col(column) if isinstance(column, str) else column
+    values = df.select(*by, v.cast("double").alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    edges = values.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 10_000)).alias("_e"), F.sum("_n").alias("_t"))
+
+    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.withColumnsRenamed({k: f"_k_{k}" for k in by})
+        if not by:
+            return a.crossJoin(F.broadcast(b))  # one row
+        return a.join(b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]).drop(*[f"_k_{k}" for k in by])
+
+    rows = beside(values, edges).withColumn("_c", F.size(F.filter("_e", lambda e: e <= F.col("_v")))).drop("_e")
+    run = Window.partitionBy(*by).orderBy("_c")  # a row a cell
+    per = rows.groupBy(*by, "_c").agg(F.sum("_n").alias("_k"), F.max("_t").alias("_t"))
+    per = per.withColumn("_upto", F.sum("_k").over(run)).withColumn("_b", F.col("_upto") - F.col("_k"))
+    ranks = [(i, side, f(F.lit(float(p)) * (F.col("_t") - 1)).cast("long")) for i, p in enumerate(probs) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    here = lambda r: (r >= F.col("_b")) & (r < F.col("_upto"))
+    wanted = F.array_compact(F.array(*[F.when(here(r), F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), r.alias("r"))) for i, s, r in ranks]))
+    per = per.withColumn("_w", wanted).filter(F.size("_w") > 0).select(*by, F.col("_c").alias("_c2"), "_b", "_w")
+    per = per.withColumnsRenamed({k: f"_k_{k}" for k in by})
+    on = [F.col("_c") == F.col("_c2"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]]
+    few = rows.join(per if by else F.broadcast(per), on).drop("_c2", *[f"_k_{k}" for k in by])  # without groups, two cells a quantile
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_c").orderBy("_v")) + F.col("_b")
+    few = few.withColumn("_upto", inside).withColumn("_x", F.explode("_w"))
+    at = few.filter((F.col("_x.r") < F.col("_upto")) & (F.col("_x.r") >= F.col("_upto") - F.col("_n")))
+    pick = lambda i, s: F.max(F.when((F.col("_x.i") == i) & (F.col("_x.s") == s), F.col("_v")))
+    ends = at.groupBy(*by).agg(F.max("_t").alias("_t"), *[pick(i, s).alias(f"_{s}{i}") for i in range(len(probs)) for s in ("lo", "hi")])
+
+    def between(i: int, p: float) -> Column:
+        h = F.lit(float(p)) * (F.col("_t") - 1)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when(F.floor(h) == F.ceil(h), lo).otherwise((F.ceil(h) - h) * lo + (h - F.floor(h)) * hi)
+
+    return ends.select(*by, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias(out))
+
+
+def with_quantiles(df: DataFrame, column: str | Column, names: dict[str, float], by: Sequence[str] = (), of: DataFrame | None = None) -> DataFrame:
+    """``df`` (a row a group of ``by``) with a column a named quantile of ``of``'s column."""
+    q = quantiles(df if of is None else of, column, list(names.values()), by)
+    q = q.select(*[F.col(k).alias(f"_k_{k}") for k in by], *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if not by:
+        return df.join(F.broadcast(q), how="left")  # one row
+    return df.join(q, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by], "left").drop(*[f"_k_{k}" for k in by])

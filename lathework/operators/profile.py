@@ -48,11 +48,16 @@ def distinct_tuples(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mean, std, min, max, median, missing, distinct_values)."""
+    from .ordered import with_quantiles
+    from .scores import unpivot
+
     v = lambda c: F.col(f"`{c}`").cast("double")
-    return rows_per_column(
+    out = rows_per_column(
         df, columns, mean=lambda c: F.avg(v(c)), std=lambda c: F.stddev_samp(v(c)), min=lambda c: F.min(v(c)), max=lambda c: F.max(v(c)),
-        median=lambda c: F.percentile(v(c), F.lit(0.5)), missing=lambda c: F.count_if(is_missing(df, c)), distinct_values=lambda c: F.count_distinct(v(c)),
+        missing=lambda c: F.count_if(is_missing(df, c)), distinct_values=lambda c: F.count_distinct(v(c)),
     )
+    values = unpivot(df, columns, []).withColumnRenamed("feature", "column")
+    return with_quantiles(out, "value", {"median": 0.5}, ["column"], values)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -78,7 +83,9 @@ def duplicate_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Quartiles (linear) and how many values lie beyond ``factor`` ranges of them."""
-    q = df.agg(F.percentile(column, F.lit(0.25)).alias("q1"), F.percentile(column, F.lit(0.75)).alias("q3"))
+    from .ordered import quantiles
+
+    q = quantiles(df, column, [0.25, 0.75]).select(F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("q3"))
     both = df.select(F.col(column).alias("_x")).crossJoin(F.broadcast(q))  # one row
     low, high = F.col("q1") - factor * (F.col("q3") - F.col("q1")), F.col("q3") + factor * (F.col("q3") - F.col("q1"))
     return both.groupBy("q1", "q3").agg(F.count_if((F.col("_x") < low) | (F.col("_x") > high)).alias("outliers"), F.count("_x").alias("n"))

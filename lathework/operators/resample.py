@@ -10,49 +10,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def place(row_id: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary"))
+def place(row_id: str, seed: int | Column) -> Column:
+    seed = F.lit(f"{seed}:") if isinstance(seed, int) else F.concat(seed.cast("string"), F.lit(":"))
+    return F.md5(F.concat(seed, F.col(row_id).cast("string")).cast("binary"))
 
 
-def shuffled(df: DataFrame, row_id: str, seed: int, out: str = "_at", strata: str | None = None) -> DataFrame:
-    """Adds each row's position, from 0, in the random order, inside its stratum if given.
+def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null is a key like any other."""
+    b = b.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return a.join(b, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def shuffled(df: DataFrame, row_id: str, seed: int | Column, out: str = "_at", strata: str | None = None, repeat: str | None = None) -> DataFrame:
+    """Adds each row's position, from 0, in the random order, inside its stratum if
+    given (null is a stratum) and inside ``repeat``, a column that numbers copies of
+    the table.
 
     Cells are the first three hex digits of the place: 4096 of equal size on
     average, whose row counts are summed in a table of one row a cell."""
-    keys = [strata] if strata else []
+    keys = [k for k in (repeat, strata) if k]
     rows = df.withColumn("_p", place(row_id, seed)).withColumn("_cell", F.substring("_p", 1, 3))
     per = rows.groupBy(*keys, "_cell").agg(F.count("*").alias("_k"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_b", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
     inside = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("_p", row_id)) - 1
-    return rows.withColumn("_i", inside).join(per, [*keys, "_cell"]).withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_cell", "_i", "_b")
+    return _join(rows.withColumn("_i", inside), per, [*keys, "_cell"]).withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_cell", "_i", "_b")
 
 
-def _with_count(df: DataFrame, by: str | None = None) -> DataFrame:
-    n = df.groupBy(*([by] if by else [])).agg(F.count("*").alias("_n"))
-    return df.join(n, by) if by else df.crossJoin(F.broadcast(n))  # one row
+def _with_count(df: DataFrame, *by: str | None) -> DataFrame:
+    keys = [k for k in by if k]
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return _join(df, n, keys) if keys else df.crossJoin(F.broadcast(n))  # one row
 
 
-def cv(df: DataFrame, row_id: str, folds: int = 10, seed: int = 0, strata: str | None = None) -> DataFrame:
-    """Adds ``fold``, from 0. Plain folds are runs of the random order, the first
-    n % folds one longer; strata are dealt round."""
-    rows = shuffled(df, row_id, seed, strata=strata)
+def _fold(rows: DataFrame, folds: int, strata: str | None, repeat: str | None = None) -> DataFrame:
     if strata:
         return rows.withColumn("fold", (F.col("_at") % folds).cast("int")).drop("_at")
-    rows = _with_count(rows)
+    rows = _with_count(rows, repeat)
     q, r = F.expr(f"_n div {folds}"), F.col("_n") % folds
     long = r * (q + 1)
     fold = F.when(F.col("_at") < long, F.expr(f"_at div (_n div {folds} + 1)")).otherwise(r + F.floor((F.col("_at") - long) / F.greatest(q, F.lit(1))))
     return rows.withColumn("fold", fold.cast("int")).drop("_at", "_n")
 
 
-def repeated_cv(df: DataFrame, row_id: str, folds: int = 10, repeats: int = 10, seed: int = 0) -> DataFrame:
-    """A row for each repeat: ``repeat`` and ``fold``; each repeat has its own order."""
-    out = None
-    for r in range(repeats):
-        one = cv(df, row_id, folds, seed + r).withColumn("repeat", F.lit(r))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _copies(df: DataFrame, n: int, name: str) -> DataFrame:
+    """``df`` n times, numbered, from one scan."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def cv(df: DataFrame, row_id: str, folds: int = 10, seed: int = 0, strata: str | None = None) -> DataFrame:
+    """Adds ``fold``, from 0. Plain folds are runs of the random order, the first
+    n % folds one longer; strata are dealt round."""
+    return _fold(shuffled(df, row_id, seed, strata=strata), folds, strata)
+
+
+def repeated_cv(df: DataFrame, row_id: str, folds: int = 10, repeats: int = 10, seed: int = 0, strata: str | None = None) -> DataFrame:
+    """A row for each repeat: ``repeat`` and ``fold``; each repeat has its own order,
+    that of ``cv`` with the seed plus the repeat."""
+    rows = _copies(df, repeats, "repeat")
+    return _fold(shuffled(rows, row_id, F.col("repeat") + seed, strata=strata, repeat="repeat"), folds, strata, "repeat")
 
 
 def holdout(df: DataFrame, row_id: str, ratio: float = 0.67, seed: int = 0, strata: str | None = None) -> DataFrame:
@@ -61,12 +78,28 @@ def holdout(df: DataFrame, row_id: str, ratio: float = 0.67, seed: int = 0, stra
     return rows.withColumn("is_train", F.col("_at") < F.floor(F.col("_n") * F.lit(ratio))).drop("_at", "_n")
 
 
-def subsampling(df: DataFrame, row_id: str, iters: int = 30, ratio: float = 0.67, seed: int = 0) -> DataFrame:
-    out = None
-    for i in range(iters):
-        one = holdout(df, row_id, ratio, seed + i).withColumn("iter", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
+def subsampling(df: DataFrame, row_id: str, iters: int = 30, ratio: float = 0.67, seed: int = 0, strata: str | None = None) -> DataFrame:
+    """A row for each iteration, ``iter``: ``holdout`` with the seed plus the iteration."""
+    rows = shuffled(_copies(df, iters, "iter"), row_id, F.col("iter") + seed, strata=strata, repeat="iter")
+    rows = _with_count(rows, "iter", strata)
+    return rows.withColumn("is_train", F.col("_at") < F.floor(F.col("_n") * F.lit(ratio))).drop("_at", "_n")
+
+
+def insample(df: DataFrame) -> DataFrame:
+    """Every row for training and for testing: a row each way in ``role``."""
+    return df.withColumn("role", F.explode(F.array(F.lit("train"), F.lit("test"))))
+
+
+def stratified_bootstrap(df: DataFrame, row_id: str, strata: str, iters: int = 30, seed: int = 0) -> DataFrame:
+    """(iter, row_id, draws): as many draws in each stratum as it has rows. Draw j of
+    iteration b in a stratum takes the position that 32 bits of the md5 of
+    seed:b:j give, modulo the stratum's rows."""
+    rows = _with_count(shuffled(df.select(row_id, strata), row_id, seed, strata=strata), strata)
+    every = _copies(rows, iters, "iter")
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("iter").cast("string"), F.col("_at").cast("string"))
+    hit = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("_n")
+    hits = every.groupBy("iter", strata, hit.alias("_at")).agg(F.count("*").alias("draws"))
+    return _join(every, hits, ["iter", strata, "_at"], "left").select("iter", row_id, F.coalesce("draws", F.lit(0)).alias("draws"))
 
 
 def bootstrap(df: DataFrame, row_id: str, iters: int = 30, ratio: float = 1.0, seed: int = 0) -> DataFrame:
@@ -136,7 +169,14 @@ def buffered(df: DataFrame, row_id: str, x: str, y: str, distance: float, share:
     of a test row, train for the rest."""
     rows = holdout(df, row_id, share, seed).withColumnRenamed("is_train", "_test")
     test = rows.filter("_test")
-    close = near(rows.filter("not _test"), test, x, y, distance, (row_id, row_id)).select(F.col("id_a").alias("_close")).distinct()
+    cell = lambda c: F.floor(F.col(c) / F.lit(distance)).cast("long")
+    around = F.explode(F.array(*[F.struct((cell(x) + i).alias("cx"), (cell(y) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    spots = test.select(F.col(x).alias("_x"), F.col(y).alias("_y"), around.alias("c")).select("_x", "_y", F.col("c.cx").alias("_tx"), F.col("c.cy").alias("_ty"))
+    rest = rows.filter("not _test")
+    d2 = F.pow(F.col(x) - F.col("_x"), F.lit(2)) + F.pow(F.col(y) - F.col("_y"), F.lit(2))
+    near_test = (cell(x) == F.col("_tx")) & (cell(y) == F.col("_ty")) & (d2 <= distance * distance)
+    # A semi join stops at a row's first close test row, so that no pairs are made.
+    close = rest.join(spots, near_test, "left_semi").select(F.col(row_id).alias("_close"))
     out = rows.join(close, F.col(row_id) == F.col("_close"), "left")
     role = F.when(F.col("_test"), "test").when(F.col("_close").isNull(), "train")
     return out.withColumn("role", role).drop("_test", "_close")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import positions
+from .ordered import positions, with_quantiles
 
 ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
 
@@ -72,10 +72,10 @@ def series_features(df: DataFrame, column: str, series: Sequence[str]) -> DataFr
     n, g1, g2 = F.count(column), F.skewness(column), F.kurtosis(column)
     skew = F.when(n > 2, g1 * F.sqrt((n * (n - 1)).cast("double")) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-    q = lambda p: F.percentile(column, F.lit(p))
-    return df.groupBy(*series).agg(
-        n.alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), skew.alias("skew"), kurt.alias("kurt")
+    out = df.groupBy(*series).agg(
+        n.alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), skew.alias("skew"), kurt.alias("kurt")
     )
+    return with_quantiles(out, column, {"median": 0.5, "q25": 0.25, "q75": 0.75}, series, df)
 
 
 def recent(df: DataFrame, group: str, order: Sequence[str | Column], value: str, size: int = 100) -> DataFrame:

@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles, with_quantiles
+
 #: Category tables up to so many rows are broadcast.
 BROADCAST_ROWS = 20_000
+#: Values that may become a column each.
+MOST_COLUMNS = 2_000
 
 
 def _with_stats(df: DataFrame, stats: Sequence[Column]) -> DataFrame:
@@ -27,23 +31,26 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "standard", eps:
     With ``eps`` 0 a zero spread counts as 1; otherwise ``eps`` is added to the
     spread. ``sample`` takes the sample deviation."""
     std = F.stddev_samp if sample else F.stddev_pop
-    quart = lambda c, q: F.percentile(c, F.lit(q))
     kinds = {
         "standard": lambda c: (F.avg(c), std(c)),
         "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (quart(c, 0.5), quart(c, 0.75) - quart(c, 0.25)),
     }
-    pairs = {c: kinds[method](c) for c in columns}
-    both = _with_stats(df, [x.alias(f"_{k}_{c}") for c, p in pairs.items() for k, x in zip("ms", p, strict=True)])
+    if method == "robust":
+        both = df
+        for c in columns:
+            both = with_quantiles(both, c, {f"_l_{c}": 0.25, f"_m_{c}": 0.5, f"_h_{c}": 0.75}, of=df).withColumn(f"_s_{c}", F.col(f"_h_{c}") - F.col(f"_l_{c}"))
+    else:
+        pairs = {c: kinds[method](c) for c in columns}
+        both = _with_stats(df, [x.alias(f"_{k}_{c}") for c, p in pairs.items() for k, x in zip("ms", p, strict=True)])
     spread = lambda c: F.col(f"_s_{c}") + eps if eps else F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
     return both.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / spread(c) for c in columns}).select(df.columns)
 
 
 def mad_scale(df: DataFrame, column: str, eps: float = 1e-10) -> DataFrame:
     """(x - median) / (median absolute deviation + eps), in place; two passes."""
-    both = _with_stats(df, [F.percentile(column, F.lit(0.5)).alias("_m")])
+    both = with_quantiles(df, column, {"_m": 0.5})
     both = both.withColumn("_d", F.abs(F.col(column) - F.col("_m")))
-    both = both.crossJoin(F.broadcast(both.agg(F.percentile("_d", F.lit(0.5)).alias("_s"))))  # one row
+    both = with_quantiles(both, "_d", {"_s": 0.5})
     return both.withColumn(column, (F.col(column) - F.col("_m")) / (F.col("_s") + eps)).select(df.columns)
 
 
@@ -59,7 +66,9 @@ def impute(df: DataFrame, strategies: dict[str, str | tuple], indicator: bool =
     out = df
     if indicator:
         out = out.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("int") for c in strategies})
-    stats = {c: F.avg(c) if s == "mean" else F.percentile(c, F.lit(0.5)) for c, s in strategies.items() if s in ("mean", "median")}
+    stats = {c: F.avg(c) for c, s in strategies.items() if s == "mean"}
+    for c in (c for c, s in strategies.items() if s == "median"):
+        out = with_quantiles(out, c, {f"_f_{c}": 0.5}, of=df)
     if stats:
         out = out.crossJoin(F.broadcast(df.agg(*[x.alias(f"_f_{c}") for c, x in stats.items()])))  # one row
     for c, s in strategies.items():
@@ -70,8 +79,12 @@ def impute(df: DataFrame, strategies: dict[str, str | tuple], indicator: bool =
 
 
 def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted values; for encodings that make a column of each."""
-    return [r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()]
+    """Sorted values; for encodings that make a column of each. More than
+    ``MOST_COLUMNS`` of them are an error."""
+    found = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} values; use label_encode or target_encode")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -118,7 +131,7 @@ def bins(df: DataFrame, column: str, n: int = 5, strategy: str = "quantile", out
     """Left-closed bin codes from 0; the last bin is closed on the right and
     equal edges collapse."""
     if strategy == "quantile":
-        edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("_e"))
+        edges = quantiles(df, column, [i / n for i in range(n + 1)]).select(F.array_distinct("_q").alias("_e"))
     else:
         lo, hi = F.min(column), F.max(column)
         edges = df.agg(F.array(*[lo + (hi - lo) * F.lit(i / n) for i in range(n + 1)]).alias("_e"))
@@ -227,5 +240,6 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int =
         raise ValueError("overlap must be at least 0 and less than size")
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
-    at = df.filter(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    return at.select(key, "chunk", F.substring(F.col(text), F.col("chunk") * step + 1, F.lit(size)).alias("content"))
+    # The chunks are cut before the explode, which then copies no text.
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))
+    return df.filter(F.length(text) > 0).select(key, F.posexplode(cut).alias("chunk", "content"))

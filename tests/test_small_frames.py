@@ -182,3 +182,46 @@ def test_knn_broadcasts_blocks(spark, monkeypatch):
     cut = models.knn(train, test, "id", ["x", "y"], "lab")
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join") == 4
     assert rows(cut, "id", "response") == whole and len(whole) == 40
+
+
+def test_null_strata_keep_their_rows(spark):
+    df = spark.range(100).select("id", F.expr("case when id % 10 = 0 then null when id % 2 = 0 then 'a' else 'b' end").alias("s"))
+    assert resample.cv(df, "id", 5, 1, "s").count() == 100
+    assert resample.holdout(df, "id", 0.5, 1, "s").filter("s is null").groupBy("is_train").count().count() == 2
+    assert resample.repeated_cv(df, "id", 5, 2, 1, "s").count() == 200
+    assert resample.subsampling(df, "id", 3, 0.5, 1, "s").groupBy("iter", "s").agg(F.count_if("is_train").alias("k"), F.count("*").alias("n")).filter("k <> floor(n * 0.5)").count() == 0
+    drawn = resample.stratified_bootstrap(df, "id", "s", 2, 1).join(df, "id").groupBy("iter", "s").agg(F.sum("draws").alias("d"), F.count("*").alias("n"))
+    assert drawn.filter("d <> n").count() == 0 and drawn.count() == 6
+
+
+def test_repeats_are_single_plans_with_their_seeds(spark):
+    df = spark.range(57)
+    both = resample.repeated_cv(df, "id", 4, 2, 3)
+    for r in range(2):
+        assert rows(both.filter(F.col("repeat") == r), "id", "fold") == rows(resample.cv(df, "id", 4, 3 + r), "id", "fold")
+
+
+def test_a_new_category_is_drift(spark):
+    df = spark.createDataFrame([("a", True)] * 50 + [("a", False)] * 50 + [("new", False)] * 5 + [(None, True)] * 3 + [(None, False)] * 3, "x string, ref boolean")
+    r = drift.chi2_categories(df, "x", "ref").first()
+    assert r["df"] == 2 and r["chi2"] > 1e9
+    same = drift.chi2_categories(df.filter("x is null or x <> 'new'"), "x", "ref").first()
+    assert same["chi2"] == pytest.approx(0, abs=1e-6)
+
+
+def test_quantiles_equal_percentiles(spark):
+    df = spark.range(3000).select((F.col("id") % 4).alias("g"), F.expr("case when id % 11 = 0 then null else (id * 7919) % 701 / 3 end").alias("x"))
+    df = df.unionByName(spark.createDataFrame([(None, 1.5), (None, 2.5), (9, None)], "g long, x double"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, probs))).alias("q")).filter("q is not null")
+    got = ordered.quantiles(df, "x", probs, ["g"], "q", cells=16)
+    assert [(g, pytest.approx(q)) for g, q in rows(want, "g", "q")] == rows(got, "g", "q")
+    assert ordered.quantiles(df, "x", probs, out="q", cells=8).first()["q"] == pytest.approx(df.agg(F.percentile("x", F.array(*map(F.lit, probs)))).first()[0])
+    assert ordered.quantiles(df.limit(0), "x", probs).count() == 0
+    assert transform.impute(df.filter("g = 9"), {"x": "median"}).first()["x"] is None
+
+
+def test_categories_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(transform, "MOST_COLUMNS", 3)
+    with pytest.raises(ValueError):
+        transform.categories(spark.range(5).select(F.col("id").cast("string").alias("c")), "c")
