@@ -174,3 +174,53 @@ def data_bias(df: DataFrame, group: str, label: str) -> DataFrame:
     return k.groupBy("group").agg(
         F.max("ng").alias("n"), F.max(F.col("ng") / F.col("_n")).alias("share"), F.max(F.col("ng") * F.col("_k") / F.col("_n")).alias("representation"), F.sum(p * F.ln(p / q)).alias("kl")
     )
+
+
+def brier_multi(df: DataFrame, truth: str, probabilities: dict[str, str]) -> DataFrame:
+    """mbrier: mean over rows of the squared distance to the truth's indicator."""
+    each = sum((F.pow((F.col(truth) == label).cast("double") - F.col(c), F.lit(2)) for label, c in probabilities.items()), F.lit(0.0))
+    return df.filter(F.col(truth).isNotNull()).agg(F.count("*").alias("n"), F.avg(each).alias("mbrier"))
+
+
+def auc_multi(df: DataFrame, truth: str, probabilities: dict[str, str]) -> DataFrame:
+    """aunu and aunp: each class against the rest, averaged evenly and by class size."""
+    per = class_auc(df, truth, probabilities)
+    return per.agg(F.avg("auc").alias("aunu"), F.try_divide(F.sum(F.col("auc") * F.col("n")), F.sum("n")).alias("aunp"))
+
+
+def auc_pairs(df: DataFrame, truth: str, probabilities: dict[str, str]) -> DataFrame:
+    """au1u: each ordered pair of classes against each other by the first one's probability, averaged evenly."""
+    out = None
+    for a, c in probabilities.items():
+        for b in probabilities:
+            if a != b:
+                one = scores(df.filter(F.col(truth).isin(a, b)), F.col(truth) == a, c).select("auc")
+                out = one if out is None else out.unionByName(one)
+    return out.agg(F.avg("auc").alias("au1u"))
+
+
+def rqr(df: DataFrame, truth: str, response: str, alpha: float = 0.5) -> DataFrame:
+    """Quantile R squared: one less the pinball loss over that of the truth's own quantile."""
+    loss = lambda e: F.greatest(alpha * e, (alpha - 1) * e)
+    rows = with_quantiles(_both(df, truth, response), truth, {"_quantile": alpha})
+    return rows.agg((1 - F.try_divide(F.sum(loss(F.col(truth) - F.col(response))), F.sum(loss(F.col(truth) - F.col("_quantile"))))).alias("rqr"))
+
+
+#: Measures by short id: kind, function of (frame, truth, response or score), column.
+MEASURES: dict[str, tuple[str, str]] = {
+    **{f"classif.{m}": ("multiclass", m) for m in ("acc", "bacc", "mcc", "precision", "recall", "f1")},
+    "classif.ce": ("accuracy", "ce"),
+    **{f"regr.{m}": ("regression", m) for m in ("bias", "pbias", "mse", "rmse", "mae", "medae", "medse", "maxae", "sae", "sse", "mape", "smape", "msle", "rmsle", "rsq")},
+    "regr.srho": ("spearman", "srho"),
+    "regr.ktau": ("kendall", "ktau"),
+    "regr.pinball": ("pinball", "pinball"),
+    "regr.rqr": ("rqr", "rqr"),
+}
+
+
+def create_measure(name: str):
+    """(frame, truth, response) to one row with the measure of a short id, in ``score``."""
+    if name not in MEASURES:
+        raise ValueError(f"no measure {name}; known: {', '.join(sorted(MEASURES))}")
+    function, column = MEASURES[name]
+    return lambda df, truth, response: globals()[function](df, truth, response).select(F.col(column).alias("score"))

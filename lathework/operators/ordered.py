@@ -55,7 +55,7 @@ def positions(df: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str | Column, probs: Sequence[float], by: Sequence[str] = (), out: str = "_q", cells: int = CELLS) -> DataFrame:
     """(by, out): the exact quantiles, linear between neighbours, as an array; a row a
-    group that has values.
+    group that has values, and one row (of nulls, if there are none) without groups.
 
     Distinct values are counted once, map side first. Approximate quantiles cut them
     into cells; a group's counts by cell, one row a cell, say in which cells the wanted

@@ -161,3 +161,35 @@ def aggregate_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return ok.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std_samp"), F.stddev_pop("score").alias("std_pop"), F.min("score").alias("min"), F.max("score").alias("max"), F.percentile("score", F.lit(0.5)).alias("median")
     )
+
+
+def kruskal(scores: DataFrame) -> DataFrame:
+    """Kruskal-Wallis H of learners' scores over all tasks together, with the tie correction."""
+    r = ranked(scores.withColumn("_all", F.lit(1)), "_all", "learner")  # a row a task and learner
+    n = r.agg(F.count("*").cast("double").alias("n"))
+    ties = r.groupBy("score").agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("_ties"))
+    sums = r.groupBy("learner").agg((F.pow(F.sum("rank"), F.lit(2)) / F.count("*")).alias("q")).agg(F.sum("q").alias("_q"), F.count("*").alias("k"))
+    both = sums.crossJoin(n).crossJoin(ties)  # one row each
+    h = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("_q") - 3 * (F.col("n") + 1)
+    return both.select(F.col("n").cast("long").alias("n"), "k", F.try_divide(h, 1 - F.col("_ties") / (F.pow("n", F.lit(3)) - F.col("n"))).alias("statistic"))
+
+
+def one_way(scores: DataFrame) -> DataFrame:
+    """One-way F of learners' scores."""
+    out = anova(scores.withColumnRenamed("score", "_x"), ["_x"], "learner")
+    return out.select(F.col("score").alias("statistic"))
+
+
+#: Studentised range at 5 % over the square root of two, by number of learners from two.
+NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164)
+
+
+def nemenyi(scores: DataFrame) -> DataFrame:
+    """(a, b, difference, critical, differs): average ranks of two learners against the
+    critical difference at 5 %, for two to ten learners."""
+    r = ranked(scores, "task", "learner").groupBy("learner").agg(F.avg("rank").alias("r"), F.count("*").alias("n"))
+    k = r.agg(F.count("*").alias("k"))
+    critical = F.get(F.array(*map(F.lit, NEMENYI)), F.col("k") - 2) * F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("n")))
+    pairs = r.select(F.col("learner").alias("a"), F.col("r").alias("_a"), "n").join(r.select(F.col("learner").alias("b"), F.col("r").alias("_b")), F.col("a") < F.col("b"))  # a row a learner
+    out = pairs.crossJoin(F.broadcast(k)).withColumn("difference", F.abs(F.col("_a") - F.col("_b"))).withColumn("critical", critical)  # one row
+    return out.select("a", "b", "difference", "critical", (F.col("difference") > F.col("critical")).alias("differs"))

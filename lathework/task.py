@@ -76,6 +76,44 @@ class Task:
     def rename(self, names: dict[str, str]) -> Task:
         return replace(self, df=self.df.withColumnsRenamed(names), roles={names.get(c, c): r for c, r in self.roles.items()})
 
+    def set_roles(self, roles: dict[str, str]) -> Task:
+        """Columns with other roles; a column has one role, so that the old one goes."""
+        return replace(self, roles=self.roles | roles)
+
+    def set_row_roles(self, test: DataFrame) -> DataFrame:
+        """The rows with ``row_role``: test for those whose id is in ``test``, use for the
+        others. Ids that the task lacks are an error."""
+        ids = test.select(F.col(self.row_id).alias("_t")).distinct()
+        if not ids.join(self.df, F.col("_t") == F.col(self.row_id), "left_anti").isEmpty():
+            raise ValueError("ids that the task lacks")
+        out = self.df.join(ids, F.col(self.row_id) == F.col("_t"), "left")
+        return out.withColumn("row_role", F.when(F.col("_t").isNull(), "use").otherwise("test")).drop("_t")
+
+    def divide(self, test: DataFrame) -> tuple[Task, Task]:
+        """The task without the rows of ``test``, and the task of those rows."""
+        ids = test.select(self.row_id).distinct()
+        return replace(self, df=self.df.join(ids, self.row_id, "left_anti")), self.filter(ids)
+
+    def ordered(self) -> DataFrame:
+        """The data by the order columns, ties by row id."""
+        return self.df.orderBy(*self.columns("order"), self.row_id)
+
+    def set_levels(self, column: str, levels: Sequence[str], name: str | None = None) -> Task:
+        """Values of ``column`` that aren't levels become null."""
+        kept = F.when(F.col(column).isin(list(levels)), F.col(column))
+        return replace(self, df=self.df.withColumn(name or column, kept))
+
+    def levels(self, column: str) -> DataFrame:
+        """(level, n): the values that occur; a row a level."""
+        return self.df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.count("*").alias("n"))
+
+    def check_target(self) -> None:
+        """An error if there is no target or it has nulls."""
+        if self.target is None:
+            raise ValueError("no target")
+        if not self.df.filter(F.col(self.target).isNull()).isEmpty():
+            raise ValueError(f"{self.target} has nulls")
+
     def with_df(self, df: DataFrame) -> Task:
         """The same roles, for the columns that are left."""
         return replace(self, df=df, roles={c: r for c, r in self.roles.items() if c in df.columns})

@@ -217,7 +217,8 @@ def test_quantiles_equal_percentiles(spark):
     got = ordered.quantiles(df, "x", probs, ["g"], "q", cells=16)
     assert [(g, pytest.approx(q)) for g, q in rows(want, "g", "q")] == rows(got, "g", "q")
     assert ordered.quantiles(df, "x", probs, out="q", cells=8).first()["q"] == pytest.approx(df.agg(F.percentile("x", F.array(*map(F.lit, probs)))).first()[0])
-    assert ordered.quantiles(df.limit(0), "x", probs).count() == 0
+    assert [r["_q"] for r in ordered.quantiles(df.limit(0), "x", [0.5, 1.0]).collect()] == [[None, None]]
+    assert ordered.quantiles(df.limit(0), "x", [0.5], ["g"]).count() == 0
     assert transform.impute(df.filter("g = 9"), {"x": "median"}).first()["x"] is None
 
 
