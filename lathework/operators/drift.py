@@ -137,3 +137,16 @@ def variant_summary(df: DataFrame, variant: str, value: str, failed: str) -> Dat
         F.stddev_pop(value).alias("std_pop"), F.min(value).alias("min"), F.max(value).alias("max"),
     )
     return with_quantiles(out, value, {"median": 0.5}, ["variant"], df.withColumn("variant", F.col(variant)))
+
+
+def allocate(df: DataFrame, key: str, weights: dict[str, float], seed: int = 0) -> DataFrame:
+    """Adds ``variant``: each key always gets the same one, in proportion to ``weights``,
+    by 32 bits of the md5 of seed:key."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10)
+    u = (bits.cast("long").cast("double") + 0.5) / float(1 << 32)
+    total, upto, names = sum(weights.values()), 0.0, list(weights)
+    variant = F
+    for name in names[:-1]:
+        upto += weights[name] / total
+        variant = variant.when(u < upto, name)
+    return df.withColumn("variant", variant.otherwise(names[-1]) if len(names) > 1 else F.lit(names[0]))

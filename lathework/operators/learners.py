@@ -123,3 +123,53 @@ def pca(df: DataFrame, columns: list[str], k: int, whiten: bool = False) -> Data
         std = out.agg(*[F.stddev_samp(f"PC{i + 1}").alias(f"PC{i + 1}") for i in range(k)]).first()
         out = out.withColumns({c: F.col(c) / F.lit(std[c] or 1.0) for c in (f"PC{i + 1}" for i in range(k))})
     return out
+
+
+def stack(base: dict[str, tuple[str, dict[str, Any]]], meta: str, task: Task, folds: int = 5, seed: int = 0) -> DataFrame:
+    """Predictions of ``meta``, fitted on the base learners' out-of-fold predictions.
+    ``base`` maps names to (learner, settings); numbers only."""
+    rows = task.df.select(task.row_id, task.target)
+    for name, (learner, params) in base.items():
+        one = resample(learner, task, folds, seed, **params).select(task.row_id, F.col("response").alias(f"_p_{name}"))
+        rows = rows.join(one, task.row_id)
+    over = Task(rows, task.row_id, {task.target: "target"})
+    return train(meta, over).predict(rows)
+
+
+def permutation_importance(fitted: Fitted, task: Task, seed: int = 0) -> DataFrame:
+    """(feature, importance): how much the root mean squared error of a regression grows
+    when a feature's values are dealt anew. Values move to the next position of the random
+    order, found by cells, so that no task holds a column."""
+    from .measures import regression
+    from .resample import shuffled
+
+    def error(df: DataFrame, name: str) -> DataFrame:
+        return regression(fitted.predict(df), "truth", "response").select(F.lit(name).alias("feature"), F.col("rmse").alias("importance"))
+
+    placed = shuffled(task.df, task.row_id, seed, "_at")
+    n = placed.count()
+    out = None
+    for f in task.features:
+        moved = placed.select(F.pmod(F.col("_at") + 1, F.lit(max(1, n))).alias("_at"), F.col(f).alias("_new"))
+        one = error(placed.join(moved, "_at").withColumn(f, F.col("_new")).drop("_new", "_at"), f)
+        out = one if out is None else out.unionByName(one)
+    plain = error(task.df, "_").select(F.col("importance").alias("_e"))
+    return out.crossJoin(F.broadcast(plain)).select("feature", (F.col("importance") - F.col("_e")).alias("importance"))  # one row
+
+
+def grid(learner: str, task: Task, settings: dict[str, list[Any]], folds: int = 5, seed: int = 0) -> DataFrame:
+    """(params, score): every combination of ``settings`` by the mean of its folds' error:
+    misclassified share for classes, root mean squared error for numbers."""
+    from itertools import product
+
+    from .measures import accuracy, regression
+
+    out = None
+    for values in product(*settings.values()):
+        params = dict(zip(settings, values, strict=True))
+        pred = resample(learner, task, folds, seed, **params)
+        kind = learner.partition(".")[0]
+        per = accuracy(pred, "truth", "response", ["fold"]) if kind == "classif" else regression(pred, "truth", "response", ["fold"])
+        one = per.agg(F.avg("ce" if kind == "classif" else "rmse").alias("score")).select(F.lit(repr(params)).alias("params"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out

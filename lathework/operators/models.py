@@ -65,24 +65,27 @@ def simple_linear(train: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
     return train.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def knn(train: DataFrame, test: DataFrame, row_id: str, features: Sequence[str], target: str, k: int = 5, classify: bool = True) -> DataFrame:
-    """k nearest training rows by euclidean distance, ties by id: the majority label
-    (least on a tie) or the mean. ``test`` goes in blocks of about ``BLOCK`` rows
+def knn(train: DataFrame, test: DataFrame, row_id: str, features: Sequence[str], target: str, k: int = 5, classify: bool = True, metric: str = "euclidean", weights: str = "uniform") -> DataFrame:
+    """k nearest training rows by euclidean or manhattan distance, ties by id: the
+    majority label (least on a tie) or the mean, each neighbour counting once or, with
+    ``weights`` distance, by the reciprocal of its distance (1e10 at none). ``test`` goes in blocks of about ``BLOCK`` rows
     by hash, a block at a time broadcast to every training row, of which each
     task keeps its k best, so that no pair is shuffled that can't matter."""
     asked = test.select(F.col(row_id).alias("_q"), *[F.col(f).alias(f"_q_{f}") for f in features])
     blocks = max(1, -(-asked.count() // BLOCK))
-    d2 = sum((F.pow(F.col(f) - F.col(f"_q_{f}"), F.lit(2)) for f in features), F.lit(0.0))
+    gap = [F.col(f) - F.col(f"_q_{f}") for f in features]
+    far = F.sqrt(sum((F.pow(g, F.lit(2)) for g in gap), F.lit(0.0))) if metric == "euclidean" else sum((F.abs(g) for g in gap), F.lit(0.0))
+    weight = F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1e10) if weights == "distance" else F.lit(1.0)
     w = Window.partitionBy("_q").orderBy("d", row_id)
     best = None
     for b in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
-        near = train.select(row_id, *features, target).join(F.broadcast(part)).select("_q", row_id, target, F.sqrt(d2).alias("d"))
+        near = train.select(row_id, *features, target).join(F.broadcast(part)).select("_q", row_id, target, far.alias("d"))
         one = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
         best = one if best is None else best.unionByName(one)
     if not classify:
-        return best.groupBy(F.col("_q").alias(row_id)).agg(F.avg(target).alias("response"))
-    votes = best.groupBy("_q", F.col(target).alias("_l")).agg(F.count("*").alias("_n"))
+        return best.groupBy(F.col("_q").alias(row_id)).agg((F.sum(F.col(target) * weight) / F.sum(weight)).alias("response"))
+    votes = best.groupBy("_q", F.col(target).alias("_l")).agg(F.sum(weight).alias("_n"))
     return votes.groupBy(F.col("_q").alias(row_id)).agg(F.min_by("_l", F.struct(-F.col("_n"), F.col("_l"))).alias("response"))
 
 

@@ -190,3 +190,18 @@ def split_check(train: DataFrame, test: DataFrame, row_id: str, total: int) -> D
         F.count("_a").alias("n_train"), F.count("_b").alias("n_test"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("overlap"), F.count("*").alias("n_union"),
         F.count_if((F.col(row_id) < 0) | (F.col(row_id) >= total)).alias("out_of_bounds"), F.try_divide(F.count("_b"), F.count("*")).alias("test_ratio"),
     )
+
+
+def environmental(df: DataFrame, place_columns: list[str], environment: list[str], folds: int = 5, weight: float = 0.5, seed: int = 1) -> DataFrame:
+    """Adds ``fold``: the cluster of a row among ``folds`` of k-means over standardised
+    coordinates, weighted ``weight``, and environment, weighted the rest."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    columns = [*place_columns, *environment]
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    part = lambda c: weight if c in place_columns else 1 - weight
+    scaled = df.withColumns({f"_z_{c}": (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) * part(c) for c in columns})
+    rows = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_v").transform(scaled)
+    model = KMeans(k=folds, seed=seed, featuresCol="_v", predictionCol="fold").fit(rows)
+    return model.transform(rows).drop("_v", *[f"_z_{c}" for c in columns])
