@@ -136,15 +136,18 @@ def stack(base: dict[str, tuple[str, dict[str, Any]]], meta: str, task: Task, fo
     return train(meta, over).predict(rows)
 
 
+def _rmse():
+    return F.sqrt(F.avg(F.pow(F.col("truth") - F.col("response"), F.lit(2))))
+
+
 def permutation_importance(fitted: Fitted, task: Task, seed: int = 0) -> DataFrame:
     """(feature, importance): how much the root mean squared error of a regression grows
     when a feature's values are dealt anew. Values move to the next position of the random
     order, found by cells, so that no task holds a column."""
-    from .measures import regression
     from .resample import shuffled
 
     def error(df: DataFrame, name: str) -> DataFrame:
-        return regression(fitted.predict(df), "truth", "response").select(F.lit(name).alias("feature"), F.col("rmse").alias("importance"))
+        return fitted.predict(df).agg(_rmse().alias("importance")).select(F.lit(name).alias("feature"), "importance")
 
     placed = shuffled(task.df, task.row_id, seed, "_at")
     n = placed.count()
@@ -162,14 +165,11 @@ def grid(learner: str, task: Task, settings: dict[str, list[Any]], folds: int =
     misclassified share for classes, root mean squared error for numbers."""
     from itertools import product
 
-    from .measures import accuracy, regression
-
     out = None
     for values in product(*settings.values()):
         params = dict(zip(settings, values, strict=True))
         pred = resample(learner, task, folds, seed, **params)
-        kind = learner.partition(".")[0]
-        per = accuracy(pred, "truth", "response", ["fold"]) if kind == "classif" else regression(pred, "truth", "response", ["fold"])
-        one = per.agg(F.avg("ce" if kind == "classif" else "rmse").alias("score")).select(F.lit(repr(params)).alias("params"), "score")
+        wrong = F.avg((F.col("truth") != F.col("response")).cast("double")) if learner.startswith("classif") else _rmse()
+        one = pred.groupBy("fold").agg(wrong.alias("_e")).agg(F.avg("_e").alias("score")).select(F.lit(repr(params)).alias("params"), "score")
         out = one if out is None else out.unionByName(one)
     return out
