@@ -12,7 +12,8 @@ The probability that a family needs is calibrated on all paragraphs of the
 corpus, whose scores Spark counts: the least one, in steps of 1 / ``STEPS`` of
 log odds, at which no more than ``FALSE_SHARE`` of the unknown paragraphs (those
 with less than half of any notice) pass. A prediction counts if the text judged
-also holds enough of the n-grams of one of the family's notices. A notice is
+also holds enough of the n-grams of one of the family's notices. A notice of at most
+``SHORT`` words counts only where it begins or ends a line. A notice is
 reported with the line it begins in.
 
 Cases: null and empty texts have no paragraphs and an empty list of families;
@@ -54,6 +55,8 @@ UNKNOWN = "unknown"
 VARIATIONS, BACKGROUND = 60, 4_000
 EPOCHS, RATE, RIDGE = 200, 0.5, 1e-4
 FALSE_SHARE, CONTAINED = 0.001, 0.6
+#: A notice of so few words must begin or end a line, as prose may hold them by chance.
+SHORT = 3
 #: A paragraph with this share of a notice isn't taken as unknown.
 PLAIN = 0.5
 #: Words of a sampled paragraph that reach the driver; steps of a unit of log odds, and the most steps.
@@ -144,15 +147,21 @@ class Classifier:
         hold = [x for x in self.notices if len(grams & x[1]) >= CONTAINED * len(x[1])]
         if not hold:
             return []
-        found = []
+        found, inside = [], []
+        edges = {0}
+        for line in lines:
+            edges.add(max(edges) + len(line))
         for k, own, longest in hold:
             for share, s, e in self.runs(words, own, longest):
+                if longest <= 2 * SHORT + 4 and s not in edges and e not in edges:
+                    inside.append((s, e))
+                    continue
                 family, p = self.judge(ngrams(words[s:e], self.at))
                 if family == self.families[k]:
                     found.append((share * p, s, e, family, p))
         taken = apart(sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])))
         left = list(words)
-        for _, s, e, _, _ in taken:
+        for s, e in [*(x[1:3] for x in taken), *inside]:
             left[s:e] = [""] * (e - s)
         out, at = [], 0
         for i, line in enumerate(lines):

@@ -231,6 +231,38 @@ def test_licences_learn_from_all_paragraphs(documents, monkeypatch):
     assert licences.calibrate(df, model) == 0.5
 
 
+def test_short_notices_inside_prose(documents):
+    rows = texts(60)
+    prose = ["we do it so that all rights reserved for us are kept", "they said all rights reserved\nfor others were lost", "Copyright 2020 Acme. All rights reserved.", "All rights reserved. Do not copy."]
+    rows += [(700 + i, t, "en", "a") for i, t in enumerate(prose)]
+    got = {r["doc_id"]: list(r["families"]) for r in licences.scan(documents(rows)).collect()}
+    assert [got[700 + i] for i in range(4)] == [[], ["proprietary"], ["proprietary"], ["proprietary"]]
+
+
+def test_precision_and_recall_on_varied_notices(documents):
+    """Every notice once, those of over five words with one word that training never saw,
+    set in prose, against prose that scatters the same words."""
+    rng = random.Random(9)
+    rows, want = texts(150), {}
+    stock = sorted({w for ts in licences.NOTICES.values() for t in ts for w in licences.tokens(t)})
+    for family, ts in licences.NOTICES.items():
+        for t in ts:
+            words = t.split()
+            if len(words) > 5:
+                at = rng.randrange(len(words))
+                words[at] = "zq" + words[at]
+            want[2000 + len(want)] = family
+            rows.append((1999 + len(want), "something before\n" + " ".join(words) + "\nand after", "en", "a"))
+    near = range(5000, 5120)
+    rows += [(i, " ".join(x for _ in range(25) for x in (rng.choice(stock), f"plain{rng.randrange(50)}")), "en", "a") for i in near]
+    got = {r["doc_id"]: list(r["families"]) for r in licences.scan(documents(rows)).collect()}
+    right = sum(want[i] in got[i] for i in want)
+    named = sum(len(x) for x in got.values())
+    print("recall", right / len(want), "precision", right / named)
+    assert right / len(want) >= 0.9 and right / named >= 0.9
+    assert sum(bool(got[i]) for i in near) <= 2 and not any(got[i] for i in range(150))
+
+
 def test_licences_odd_rows(odd, documents):
     assert licences.scan(odd).count() == 10
     assert licences.scan(documents([])).count() == 0
