@@ -85,6 +85,18 @@ def two_sample(df: DataFrame, x: str, ref: str) -> DataFrame:
     return out.withColumn("cramer_von_mises", F.try_divide(F.col("_s") * n * m, (n + m) * (n + m))).drop("_s")
 
 
+def anderson_darling(df: DataFrame, x: str, ref: str) -> DataFrame:
+    """One row: the squared gap of the two step functions' steps, weighted towards the tails
+    by 1 / (i (N - i + 1)) at the i-th place of both samples together, times n m / N. A sample
+    without a value steps by nothing there; equal values share the first one's place."""
+    n, m = F.col("n_r").cast("double"), F.col("n_c").cast("double")
+    at = F.round(F.col("f") * n + F.col("g") * m) - F.col("r") - F.col("c") + 1
+    gap = F.when(F.col("r") > 0, F.col("f")).otherwise(0.0) - F.when(F.col("c") > 0, F.col("g")).otherwise(0.0)
+    out = cdf_gaps(df, x, ref).agg(F.sum(gap * gap / (at * (n + m - at + 1))).alias("_s"), F.max("n_r").alias("n_reference"), F.max("n_c").alias("n_current"))
+    n, m = F.col("n_reference").cast("double"), F.col("n_current").cast("double")
+    return out.select("n_reference", "n_current", F.try_divide(F.col("_s") * n * m, n + m).alias("anderson_darling"))
+
+
 def ks_p_value(ks: float, n: int, m: int, terms: int = 100) -> float:
     """Asymptotic two-sample p-value by Kolmogorov's series."""
     import math

@@ -160,16 +160,70 @@ def permutation_importance(fitted: Fitted, task: Task, seed: int = 0) -> DataFra
     return out.crossJoin(F.broadcast(plain)).select("feature", (F.col("importance") - F.col("_e")).alias("importance"))  # one row
 
 
-def grid(learner: str, task: Task, settings: dict[str, list[Any]], folds: int = 5, seed: int = 0) -> DataFrame:
-    """(params, score): every combination of ``settings`` by the mean of its folds' error:
-    misclassified share for classes, root mean squared error for numbers."""
-    from itertools import product
-
+def tried(learner: str, task: Task, every: list[dict[str, Any]], folds: int = 5, seed: int = 0) -> DataFrame:
+    """(params, score): each setting by the mean of its folds' error: misclassified share
+    for classes, root mean squared error for numbers."""
     out = None
-    for values in product(*settings.values()):
-        params = dict(zip(settings, values, strict=True))
+    for params in every:
         pred = resample(learner, task, folds, seed, **params)
         wrong = F.avg((F.col("truth") != F.col("response")).cast("double")) if learner.startswith("classif") else _rmse()
         one = pred.groupBy("fold").agg(wrong.alias("_e")).agg(F.avg("_e").alias("score")).select(F.lit(repr(params)).alias("params"), "score")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def grid(learner: str, task: Task, settings: dict[str, list[Any]], folds: int = 5, seed: int = 0) -> DataFrame:
+    """``tried`` on every combination of ``settings``."""
+    from itertools import product
+
+    return tried(learner, task, [dict(zip(settings, v, strict=True)) for v in product(*settings.values())], folds, seed)
+
+
+def random_search(learner: str, task: Task, settings: dict[str, list[Any]], n: int = 10, folds: int = 5, seed: int = 0) -> DataFrame:
+    """``tried`` on ``n`` different combinations of ``settings`` drawn by ``seed``; on all, if there are no more."""
+    from itertools import product
+    from random import Random
+
+    every = [dict(zip(settings, v, strict=True)) for v in product(*settings.values())]
+    return tried(learner, task, Random(seed).sample(every, min(n, len(every))), folds, seed)
+
+
+def blend(base: dict[str, tuple[str, dict[str, Any]]], meta: str, task: Task, share: float = 0.3, seed: int = 0) -> DataFrame:
+    """Predictions of ``meta`` for every row; base learners learn from the rows that a holdout
+    keeps and ``meta`` from their predictions for the ``share`` left out. Numbers only."""
+    from .resample import holdout
+
+    parts = holdout(task.df, task.row_id, 1 - share, seed)
+    known = task.with_df(parts.filter("is_train").drop("is_train"))
+    rows = parts.select(task.row_id, task.target, "is_train")
+    for name, (learner, params) in base.items():
+        one = train(learner, known, **params).predict(task.df).select(task.row_id, F.col("response").alias(f"_p_{name}"))
+        rows = rows.join(one, task.row_id)
+    over = Task(rows.filter("not is_train").drop("is_train"), task.row_id, {task.target: "target"})
+    return train(meta, over).predict(rows)
+
+
+def importance(fitted: Fitted, task: Task) -> dict[str, float]:
+    """What the model itself gives a feature: its share in a tree's splits, or the size of
+    its coefficient times its deviation."""
+    model = next(m for m in reversed(fitted.model.stages) if hasattr(m, "featureImportances") or hasattr(m, "coefficientMatrix") or hasattr(m, "coefficients"))
+    if hasattr(model, "featureImportances"):
+        return dict(zip(task.features, map(float, model.featureImportances.toArray()), strict=True))
+    rows = model.coefficientMatrix.toArray() if hasattr(model, "coefficientMatrix") else [model.coefficients.toArray()]
+    std = task.df.agg(*[F.stddev_pop(f).alias(f) for f in task.features]).first()
+    return {f: sum(abs(float(r[i])) for r in rows) * (std[f] or 0.0) for i, f in enumerate(task.features)}
+
+
+def eliminate(learner: str, task: Task, k: int, step: int = 1, **params) -> DataFrame:
+    """(feature, rank): the ``k`` features left have rank 1; each round fits the model again
+    and takes the ``step`` least important ones away (ties: the later name), the first of
+    them with the highest rank."""
+    left, gone = sorted(task.features), []
+    while len(left) > k:
+        one = Task(task.df.select(task.row_id, *left, task.target), task.row_id, {task.target: "target"})
+        worth = importance(train(learner, one, **params), one)
+        out = sorted(sorted(left, reverse=True), key=lambda f: worth[f])[: min(step, len(left) - k)]
+        gone.append(out)
+        left = [f for f in left if f not in out]
+    rows = [(f, 1) for f in left] + [(f, i + 2) for i, out in enumerate(reversed(gone)) for f in out]
+    return task.df.sparkSession.createDataFrame(rows, "feature string, rank int")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import cumulative, mid_ranks, with_quantiles
+from .ordered import cell_of, cumulative, mid_ranks, with_quantiles
 
 
 def _both(df: DataFrame, t: str, p: str) -> DataFrame:
@@ -136,13 +138,48 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return rows.agg(F.corr("_rx", "_ry").alias("srho"))
 
 
-def kendall(df: DataFrame, x: str, y: str, cells: int = 64) -> DataFrame:
-    """ktau (tau-b) of two columns with few distinct pairs of values: the pairs of
-    values are counted first, and only those counts are compared."""
-    v = _both(df, x, y).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    w = v.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    sign = F.signum((F.col("x") - F.col("x2")).cast("double")) * F.signum((F.col("y") - F.col("y2")).cast("double"))
-    s = v.join(w, F.col("x") < F.col("x2")).agg(F.sum(sign * F.col("n") * F.col("n2")).alias("_s"))
+def _signed_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sum over pairs of distinct points (x, y), n times each, of the signs of both differences.
+
+    In the order of x, a pair's sign shows at the highest bit in which the ranks of y differ;
+    pairs of equal x count as rising there and are taken off at the end."""
+    order = np.lexsort((rows["y"].to_numpy(), rows["x"].to_numpy()))
+    x, w = rows["x"].to_numpy()[order], rows["n"].to_numpy()[order].astype(float)
+    rank = np.unique(rows["y"].to_numpy()[order], return_inverse=True)[1]
+    total = 0.0
+    for bit in range(int(rank.max()).bit_length()):
+        upper = rank >> (bit + 1)
+        o = np.argsort(upper, kind="stable")
+        one, k, first = (rank[o] >> bit) & 1, w[o], np.searchsorted(upper[o], upper[o])
+        zeros, ones = np.cumsum(k * (1 - one)) - k * (1 - one), np.cumsum(k * one) - k * one
+        total += float(np.sum(k * np.where(one == 1, zeros - zeros[first], ones[first] - ones)))
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    total -= float(np.sum(np.add.reduceat(w, starts) ** 2 - np.add.reduceat(w * w, starts))) / 2
+    return pd.DataFrame({"s": [total]})
+
+
+def kendall(df: DataFrame, x: str, y: str, per_cell: int = 50_000) -> DataFrame:
+    """ktau (tau-b) of two columns, compared as doubles, in time n log n.
+
+    Pairs of values are counted first. Both axes are cut into cells of about ``per_cell``
+    pairs of values, at most 1,024: pairs in different columns and rows of this grid are
+    compared by the grid's counts alone, the others within a column or a row, less those
+    counted twice within one field. A column or row of one value has no pair to compare."""
+    v = _both(df, x, y).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
+    cells = max(1, min(1024, -(-v.count() // per_cell)))
+    if cells == 1:
+        parts = v.withColumn("g", F.lit("all")).withColumn("f", F.lit(1))
+    else:
+        v = v.withColumns({"i": cell_of(v, "x", cells), "j": cell_of(v, "y", cells)})
+        inside = F.explode(F.array(
+            F.struct(F.format_string("x%d", "i").alias("g"), F.lit(1).alias("f")), F.struct(F.format_string("y%d", "j").alias("g"), F.lit(1).alias("f")),
+            F.struct(F.format_string("%d-%d", "i", "j").alias("g"), F.lit(-1).alias("f")),
+        ))
+        grid = v.groupBy("i", "j").agg(F.sum("n").alias("n")).select(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "n", F.lit("grid").alias("g"), F.lit(1).alias("f"))
+        parts = v.select("x", "y", "n", inside.alias("p")).select("x", "y", "n", "p.g", "p.f")
+        spans = parts.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).filter("a < b and c < d")
+        parts = parts.join(spans, "g", "left_semi").unionByName(grid)
+    s = parts.groupBy("g", "f").applyInPandas(lambda key, rows: _signed_pairs(rows) * key[1], "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("_s"))
     pairs = lambda c: v.groupBy(c).agg(F.sum("n").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"_t{c}"))
     n = v.agg(F.sum("n").alias("_n"))
     one = s.crossJoin(pairs("x")).crossJoin(pairs("y")).crossJoin(n)  # one row each
@@ -176,6 +213,34 @@ def data_bias(df: DataFrame, group: str, label: str) -> DataFrame:
     )
 
 
+def cluster_quality(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+    """One row: n, clusters, inertia, calinski_harabasz, davies_bouldin and silhouette, the
+    last by squared distances: a row's mean squared distance to a cluster is that to its
+    centre plus the cluster's variance, so no pairs of rows are made. Rows with a null
+    don't count; a cluster of one row has silhouette 0. The centres, a row a cluster, go to every task."""
+    xs = [f"x{i}" for i in range(len(features))]
+    rows = df.select(F.col(cluster).alias("c"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs, strict=True)]).dropna()
+    centres = rows.groupBy("c").agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{x}") for x in xs])
+    apart = lambda a, b: sum((F.pow(a(x) - b(x), F.lit(2)) for x in xs), F.lit(0.0))
+    own = apart(F.col, lambda x: F.col(f"m{x}"))
+    per = rows.join(centres, "c").groupBy("c", "n", *[f"m{x}" for x in xs]).agg(F.sum(own).alias("w"), F.avg(F.sqrt(own)).alias("s"))
+    every = per.agg(F.collect_list(F.struct("c", "n", "w", "s", *[f"m{x}" for x in xs])).alias("all"), F.sum("w").alias("inertia"), F.sum("n").alias("n"), F.count("*").alias("clusters"))
+    centre = lambda o: lambda x: o[f"m{x}"]
+    others = lambda c: F.filter("all", lambda o: o["c"] != c)
+    mean = lambda x: F.aggregate("all", F.lit(0.0), lambda t, o: t + o["n"] * o[f"m{x}"]) / F.col("n")
+    every = every.withColumns({f"g{x}": mean(x) for x in xs})
+    between = F.aggregate("all", F.lit(0.0), lambda t, o: t + o["n"] * apart(centre(o), lambda x: F.col(f"g{x}")))
+    worst = F.transform("all", lambda a: F.array_max(F.transform(others(a["c"]), lambda o: F.try_divide(a["s"] + o["s"], F.sqrt(apart(centre(a), centre(o)))))))
+    every = every.withColumn("calinski_harabasz", F.try_divide(between * (F.col("n") - F.col("clusters")), F.col("inertia") * (F.col("clusters") - 1)))
+    every = every.withColumn("davies_bouldin", F.aggregate(worst, F.lit(0.0), lambda t, q: t + q) / F.col("clusters"))
+    away = lambda o: apart(F.col, centre(o)) + o["w"] / o["n"]
+    mine = F.get(F.filter("all", lambda o: o["c"] == F.col("c")), F.lit(0))
+    each = rows.crossJoin(F.broadcast(every.select("all")))  # one row
+    each = each.select(mine["n"].alias("n"), (away(mine) * F.try_divide(mine["n"], mine["n"] - 1)).alias("a"), F.array_min(F.transform(others(F.col("c")), away)).alias("b"))
+    width = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return every.drop("all", *[f"g{x}" for x in xs]).crossJoin(F.broadcast(each.agg(F.avg(width).alias("silhouette"))))  # one row
+
+
 def brier_multi(df: DataFrame, truth: str, probabilities: dict[str, str]) -> DataFrame:
     """mbrier: mean over rows of the squared distance to the truth's indicator."""
     each = sum((F.pow((F.col(truth) == label).cast("double") - F.col(c), F.lit(2)) for label, c in probabilities.items()), F.lit(0.0))

@@ -93,6 +93,10 @@ def quick_selection(df: DataFrame, features: Sequence[str], target: str, n: int
 # pairs of features
 
 
+#: Criteria that ``greedy`` knows.
+JOINT = ("jmi", "jmim", "cmim", "disr", "mifs")
+
+
 def bin_codes(df: DataFrame, features: Sequence[str], label: str, n: int = 10) -> DataFrame:
     """(features as codes of equal-width bins, label)."""
     box = df.agg(*[F.min(f).cast("double").alias(f"_lo_{f}") for f in features], *[F.max(f).cast("double").alias(f"_hi_{f}") for f in features])
@@ -150,13 +154,18 @@ def greedy(relevance: dict[str, float], pairs: dict[frozenset, dict[str, float]]
     return picked
 
 
+def joint_tables(df: DataFrame, features: Sequence[str], label: str, n: int = 10) -> tuple[dict[str, float], dict[frozenset, dict[str, float]]]:
+    """What ``greedy`` takes: each feature's information on the label and each pair's, on equal-width bins."""
+    relevance = {r["feature"]: r["info_gain"] for r in S.information(S.binned(df, features, label, n)).collect()}
+    pairs = {frozenset((r["a"], r["b"])): r.asDict() for r in pair_information(df, features, label, n).collect()}
+    return relevance, pairs
+
+
 def joint_selection(df: DataFrame, features: Sequence[str], label: str, k: int, method: str = "jmim", n: int = 10) -> list[str]:
     """CMIM, JMI, JMIM, DISR or MIFS on equal-width bins."""
-    if method not in ("jmi", "jmim", "cmim", "disr", "mifs"):
+    if method not in JOINT:
         raise ValueError(f"no criterion {method}")
-    relevance = {r["feature"]: r["info_gain"] for r in S.information(S.binned(df, features, label, n)).collect()}
-    pairs = {frozenset((r["a"], r["b"])): r.asDict() for r in pair_information(df, features, label, n).collect()}
-    return greedy(relevance, pairs, k, method)
+    return greedy(*joint_tables(df, features, label, n), k, method)
 
 
 def jaccard(chosen: DataFrame, by: str = "iter", item: str = "feature") -> DataFrame:

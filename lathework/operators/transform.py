@@ -233,6 +233,44 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: int = 1, max_df: float = 1
     return rows.join(norm, key).select(key, "token", "tf", (F.col("_w") / F.col("_l")).alias("tfidf"))
 
 
+def ngram_counts(df: DataFrame, key: str, text: str, low: int = 1, high: int = 1, max_features: int | None = None) -> DataFrame:
+    """(key, token, n): runs of ``low`` to ``high`` tokens, joined by blanks; with
+    ``max_features`` only the most frequent of them, ties by name."""
+    words = df.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("_w"))
+    run = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    each = words.select(key, F.explode(F.concat(*[run(k) for k in range(low, high + 1)])).alias("token"))
+    out = each.groupBy(key, "token").agg(F.count("*").alias("n"))
+    if max_features:
+        most = out.groupBy("token").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "token").limit(max_features)
+        out = out.join(most.select("token"), "token", "left_semi").select(key, "token", "n")
+    return out
+
+
+def outliers(df: DataFrame, columns: Sequence[str], action: str = "flag", factor: float = 1.5, flag: str = "is_outlier") -> DataFrame:
+    """Values beyond ``factor`` quartile ranges of the quartiles: ``flag`` adds a 0/1 column for
+    rows that have one, ``remove`` drops those rows, ``impute`` puts the column's median in
+    place of such values. Nulls are none."""
+    from .ordered import quantiles
+
+    if action not in ("flag", "remove", "impute"):
+        raise ValueError(f"no action {action}")
+    rows, far = df, {}
+    for i, c in enumerate(columns):
+        rows = rows.crossJoin(F.broadcast(quantiles(df, c, [0.25, 0.5, 0.75], out=f"_q{i}")))  # one row
+        low, high = F.get(f"_q{i}", F.lit(0)), F.get(f"_q{i}", F.lit(2))
+        far[c] = F.coalesce((F.col(c) < low - factor * (high - low)) | (F.col(c) > high + factor * (high - low)), F.lit(False))
+    hit = F.lit(False)
+    for one in far.values():
+        hit = hit | one
+    if action == "flag":
+        rows = rows.withColumn(flag, hit.cast("int"))
+    elif action == "remove":
+        rows = rows.filter(~hit)
+    else:
+        rows = rows.withColumns({c: F.when(far[c], F.get(f"_q{i}", F.lit(1))).otherwise(F.col(c)) for i, c in enumerate(columns)})
+    return rows.drop(*[f"_q{i}" for i in range(len(columns))])
+
+
 def chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     """(key, chunk, content): windows of ``size`` characters that share
     ``overlap``; the last one ends with the text and null text has none."""

@@ -122,7 +122,8 @@ def _(spark, d):
 )
 def _(spark, d):
     df = table(spark, d, "lineitem")
-    rows = [(m, i, f) for m in ("jmi", "jmim", "cmim", "disr", "mifs") for i, f in enumerate(L.joint_selection(df, LINE, "l_returnflag", 2, m), 1)]
+    tables = L.joint_tables(df, LINE, "l_returnflag")
+    rows = [(m, i, f) for m in L.JOINT for i, f in enumerate(L.greedy(*tables, 2, m), 1)]
     return spark.createDataFrame(rows, "method string, position int, feature string")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,35 @@ def test_categories_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(transform, "MOST_COLUMNS", 3)
     with pytest.raises(ValueError):
         transform.categories(spark.range(5).select(F.col("id").cast("string").alias("c")), "c")
+
+
+@pytest.mark.parametrize("per_cell", [7, 40, 10_000])
+def test_kendall_equals_all_pairs(spark, per_cell):
+    """Ties on both axes, one value of x in a third of the rows, and nulls."""
+    rng = random.Random(5)
+    rows = [(7.0 if i % 3 == 0 else float(rng.randrange(40)), float(rng.randrange(60)) + (i % 2) / 4) for i in range(400)]
+    got = measures.kendall(spark.createDataFrame([*rows, (None, 1.0), (2.0, None)], "x double, y double"), "x", "y", per_cell).first()["ktau"]
+    sign = lambda a: (a > 0) - (a < 0)
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i]]
+    s = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for a, b in pairs)
+    x, y = (sum(a[k] != b[k] for a, b in pairs) for k in (0, 1))
+    assert math.isclose(got, s / math.sqrt(x * y), rel_tol=1e-12)
+
+
+def test_kendall_of_nothing_and_of_one_value_is_null(spark):
+    assert measures.kendall(spark.createDataFrame([], "x double, y double"), "x", "y").first()["ktau"] is None
+    assert measures.kendall(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double"), "x", "y").first()["ktau"] is None
+
+
+def test_outliers_keep_nulls(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(900.0,), (None,)], "v double")
+    assert [r["is_outlier"] for r in transform.outliers(df, ["v"]).collect()] == [0] * 10 + [1, 0]
+    assert transform.outliers(df, ["v"], "remove").count() == 11
+    assert sorted(r["v"] for r in transform.outliers(df, ["v"], "impute").filter("v is not null").collect())[-1] == 9.0
+
+
+def test_cluster_quality_of_single_rows(spark):
+    df = spark.createDataFrame([(0.0, "a"), (1.0, "a"), (9.0, "b"), (None, "b")], "x double, c string")
+    r = measures.cluster_quality(df, ["x"], "c").first()
+    assert (r["n"], r["clusters"], r["inertia"]) == (3, 2, 0.5)
+    assert abs(r["silhouette"] - ((1 - 1 / 81) + (1 - 1 / 64) + 0) / 3) < 1e-12
