@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CELLS = 256
 
@@ -53,6 +54,27 @@ def positions(df: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
     return cumulative(one, order, {out: "_one"}).withColumn(out, F.col(out) + start - 1).drop("_one")
 
 
+def positions_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, descending: bool = False, cells: int = CELLS) -> DataFrame:
+    """Numbers rows from 0 inside each group (null is a group), in the order of several
+    columns; nulls come first, or last if ``descending``.
+
+    A hot group isn't sorted in one task: the first column of ``order``, numeric or of
+    time, is cut into cells, and a row starts from its group's count in the cells before."""
+    first = F.col(order[0])
+    if isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        first = F.unix_micros(first.cast("timestamp"))
+    rows = df.withColumn("_key", first.cast("double"))
+    rows = rows.withColumn("_cell", F.when(F.col("_key").isNull(), -1).otherwise(cell_of(rows, "_key", cells))).drop("_key")
+    way = F.desc if descending else F.asc
+    per = rows.groupBy(*group, "_cell").agg(F.count("*").alias("_k"))  # a row a group and cell
+    before = Window.partitionBy(*group).orderBy(way("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_b", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k").withColumnsRenamed({k: f"_k_{k}" for k in (*group, "_cell")})
+    inside = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*map(way, order))) - 1
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*group, "_cell")]
+    both = rows.withColumn("_i", inside).join(per, on).withColumn(out, F.col("_b") + F.col("_i"))
+    return both.drop("_cell", "_i", "_b", *[f"_k_{k}" for k in (*group, "_cell")])
+
+
 def quantiles(df: DataFrame, column: str | Column, probs: Sequence[float], by: Sequence[str] = (), out: str = "_q", cells: int = CELLS) -> DataFrame:
     """(by, out): the exact quantiles, linear between neighbours, as an array; a row a
     group that has values, and one row (of nulls, if there are none) without groups.

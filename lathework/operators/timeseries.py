@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import positions, with_quantiles
+from .ordered import positions, positions_within, with_quantiles
 
 ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
 
@@ -86,16 +86,23 @@ def recent(df: DataFrame, group: str, order: Sequence[str | Column], value: str,
 
 
 def trend(df: DataFrame, group: str, order: Sequence[str], value: str, flat: float = 0.001) -> DataFrame:
-    """A row a group: slope of the value on its position, and its direction."""
-    w = Window.partitionBy(group).orderBy(*order)
-    rows = df.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
+    """A row a group: slope of the value on its position, and its direction. Positions
+    are found by cells, so that a hot group isn't sorted in one task."""
+    rows = positions_within(df, [group], order, "_at").withColumn("_x", F.col("_at").cast("double"))
     out = rows.groupBy(group).agg(F.regr_slope(F.col(value), F.col("_x")).alias("slope"))
     return out.withColumn("trend", F.when(F.abs("slope") < flat, "stable").when(F.col("slope") > 0, "up").otherwise("down"))
 
 
 def smooth(df: DataFrame, series: Sequence[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """A row a series: simple exponential smoothing's last level, from the first value on."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*series).agg(ordered.alias("_v"))
-    level = F.aggregate(F.slice("_v", 2, F.size("_v")), F.get("_v", F.lit(0)), lambda a, x: F.lit(alpha) * x + F.lit(1 - alpha) * a)
-    return rows.select(*series, F.size("_v").cast("long").alias("n"), level.alias("level"))
+    """A row a series: simple exponential smoothing's last level, from the first value on;
+    equal times go by value.
+
+    The level is a weighted sum: a value with j after it weighs alpha (1 - alpha)^j, the
+    first one (1 - alpha)^j. Partial sums are combined; no series is gathered in a row."""
+    rows = df.filter(F.col(value).isNotNull()).select(*series, order, F.col(value).cast("double").alias("_v"))
+    rows = positions_within(rows, list(series), [order, "_v"], "_after", descending=True)
+    keep = F.lit(1 - float(alpha))
+    out = rows.groupBy(*series).agg(
+        F.count("*").alias("n"), F.sum(alpha * F.pow(keep, F.col("_after")) * F.col("_v")).alias("_sum"), F.max_by("_v", "_after").alias("_first")
+    )
+    return out.select(*series, "n", (F.col("_sum") + F.pow(keep, F.col("n")) * F.col("_first")).alias("level"))

@@ -259,3 +259,32 @@ def test_cluster_quality_of_single_rows(spark):
     r = measures.cluster_quality(df, ["x"], "c").first()
     assert (r["n"], r["clusters"], r["inertia"]) == (3, 2, 0.5)
     assert abs(r["silhouette"] - ((1 - 1 / 81) + (1 - 1 / 64) + 0) / 3) < 1e-12
+
+
+def test_positions_within_groups(spark):
+    import datetime as dt
+
+    rng = random.Random(5)
+    data = [(rng.choice(["hot"] * 8 + ["a", None]), dt.datetime(2020, 1, 1) + dt.timedelta(seconds=rng.randrange(400)) if rng.random() > 0.05 else None, i) for i in range(1500)]
+    df = spark.createDataFrame(data, "g string, t timestamp, id long")
+    for down in (False, True):
+        want, seen = [], {}
+        for g, t, i in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[2]), reverse=down):
+            seen[g] = seen.get(g, -1) + 1
+            want.append((i, seen[g]))
+        assert rows(ordered.positions_within(df, ["g"], ["t", "id"], "at", down, cells=16), "id", "at") == sorted(want, key=repr)
+    assert ordered.positions_within(df.limit(0), ["g"], ["t", "id"], "at").count() == 0
+
+
+@pytest.mark.parametrize("alpha", [0.3, 1.0])
+def test_smoothing_is_the_recursion(spark, alpha):
+    rng = random.Random(6)
+    data = [(rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(10_000), rng.choice([None, rng.uniform(-5, 5)])) for _ in range(1200)] + [("one", 1, 2.0), ("none", 1, None)]
+    levels = {}
+    for g, t, v in sorted((r for r in data if r[2] is not None), key=lambda r: r[1:]):
+        n, level = levels.get(g, (0, v))
+        levels[g] = (n + 1, alpha * v + (1 - alpha) * level)
+    got = {r["g"]: (r["n"], r["level"]) for r in timeseries.smooth(spark.createDataFrame(data, "g string, t long, v double"), ["g"], "t", "v", alpha).collect()}
+    assert got.keys() == levels.keys()
+    for g, (n, level) in levels.items():
+        assert got[g] == (n, pytest.approx(level, abs=1e-9))
