@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -76,6 +76,28 @@ def salted(many: DataFrame, few: DataFrame, key: str | list[str], counts: DataFr
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Stores ``df`` with ``pos``, a row's place from 0 in its group (null is a group)
+    by ``order``, nulls first, and ``n``, the group's rows.
+
+    Rows are dealt by ranges of (group, order), so that a hot group fills many tasks;
+    rows alike in both are told apart by where they were read, and fill many, too. A
+    row is numbered in its task and starts from its group's count in the tasks before,
+    a table of a row a group and task."""
+    keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    rows = store(rows.withColumns({"_at": F.monotonically_increasing_id(), "_task": F.spark_partition_id()}), name)
+    per = rows.groupBy(*group, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_k"))
+    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = own.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"_start": F.coalesce(F.sum("_k").over(before), F.lit(0)), "n": F.sum("_k").over(own)})
+    per = per.drop("_k").withColumnsRenamed({g: f"_g_{g}" for g in group}).withColumnRenamed("_task", "_g_task")
+    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_task") == F.col("_g_task")]
+    out = rows.join(per, on).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_start"))
+    return out.select(*df.columns, "pos", "n")
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of ``df`` only if its counted ``rows`` are within
     ``limit``; beyond it the planner's shuffle join (with skew splitting) runs."""

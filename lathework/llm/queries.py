@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, licences, mixing, nearcopies, neighbours, packing, private, sharding, toxicity
+from . import fingerprints, langid, licences, merkle, mixing, nearcopies, neighbours, packing, private, sharding, toxicity
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_copies": nearcopies.op8_near_copies,
     "op9_private": private.op9_private,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_merkle": merkle.op13_merkle,
 }
 
-ORACLE_SQL = {"op2_shards": sharding.OP2_SQL, "op7_mix": mixing.OP7_SQL, "op8_near_copies": nearcopies.OP8_SQL}
+ORACLE_SQL = {"op2_shards": sharding.OP2_SQL, "op7_mix": mixing.OP7_SQL, "op8_near_copies": nearcopies.OP8_SQL, "op13_merkle": merkle.OP13_SQL}
