@@ -139,7 +139,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [F.col(c) for c in COLUMNS]
     node = F.struct(leaf(own).alias("digest"), "doc_id", F.when(hit, leaf([*own[:-1], lower])).alias("tampered"))
     with scratch(spark):
-        rows = manifest(table.select(F.col("lang").alias("grp"), F.col("doc_id").alias("ordinal"), node.alias("node")))
+        leaves = table.select(F.col("lang").alias("grp"), F.col("doc_id").alias("ordinal"), node.alias("node"))
+        rows = manifest(store(leaves, "digests"))  # dealing by range reads its input twice
         out = rows.select(
             "node.doc_id", F.col("node.digest").alias("leaf"), "subroot", "root", proof(F.col("path")).alias("proof_sha256"),
             fold(F.col("path"), F.coalesce("node.tampered", "node.digest")).alias("folded_root"),
