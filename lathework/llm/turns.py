@@ -26,7 +26,7 @@ the one whose audit (its edits' initials) is least:
 
 Cases: null conv_id is a conversation of its own; nulls are read as one space (a null turn in
 the hash of the damage only: in the order it comes first); an empty role has no initial and can
-only be rewritten or deleted; rows of one turn are ordered by role, then text; a conversation
+only be rewritten or deleted; rows of one turn are ordered by the digest of role and text; a conversation
 whose rows are all dropped has zeros, an empty audit and the digest of the empty text; places,
 gaps and costs are longs, and a gap beyond them is null; an empty table gives an empty result;
 more columns are ignored.
@@ -35,6 +35,7 @@ more columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,7 @@ FINE, CUT, GONE = range(3)
 #: State after keeping a turn of an initial, or -1.
 KEEP = np.array([[-1, SYSTEM, USER, -1], [-1, -1, USER, -1], [-1, -1, -1, ASSISTANT], [-1, -1, USER, -1]])
 ROLES = {USER: "user", ASSISTANT: "assistant"}
+INITIALS = {"s": SYSTEM, "u": USER, "a": ASSISTANT}
 #: Initials of two turns that may follow each other.
 FOLLOW = np.zeros((4, 4), bool)
 FOLLOW[[SYSTEM, USER, ASSISTANT], [USER, ASSISTANT, USER]] = True
@@ -191,28 +193,34 @@ def damaged(table: DataFrame) -> DataFrame:
     return out.drop("copy")
 
 
-def symbols(rows: DataFrame) -> DataFrame:
-    """(conv_id, pos, n, code, same): a row's initial and fault, bar repeats, and the
-    digest of its role and text."""
+def coded(table: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, code, same): ``table`` with a row's initial and fault, bar
+    repeats, and the digest of its role and text."""
     role = F.substring("role", 1, 1)
     initial = F.when(role == "s", SYSTEM).when(role == "u", USER).when(role == "a", ASSISTANT).otherwise(0)
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     fault = F.when(last == "", GONE).when(last.isin(".", "!", "?"), FINE).otherwise(CUT)
     same = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256)
-    return rows.select("conv_id", "pos", "n", (initial + 4 * fault).alias("code"), same.alias("same"))
+    return table.select("conv_id", "turn", "role", "text", (initial + 4 * fault).alias("code"), same.alias("same"))
 
 
-def blocked(coded: DataFrame, block: int) -> DataFrame:
-    """(conv_id, block, last, codes, firsts, follow): the codes of every block, the places in
-    it of rows that repeat no earlier one, and the code of the row after the block."""
+def placed(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, code, same, pos, n) of coded rows, in order of turn, then digest."""
+    return numbered(rows.select("conv_id", "turn", "code", "same"), ["conv_id"], ["turn", "same"], "places")
+
+
+def blocked(rows: DataFrame, block: int) -> DataFrame:
+    """(conv_id, block, last, begin, codes, firsts, follow): turn and digest of a block's first
+    row, all its codes, the places in it of rows that repeat no earlier one, and the code of
+    the row after it."""
     here = ["conv_id", F.floor(F.col("pos") / block).alias("block"), F.pmod("pos", F.lit(block)).cast("int").alias("place")]
-    firsts = coded.groupBy("conv_id", "same").agg(F.min("pos").alias("pos"))
-    own = coded.select(*here, "code", F.floor((F.col("n") - 1) / block).alias("last"))
+    firsts = rows.groupBy("conv_id", "same").agg(F.min("pos").alias("pos"))
+    own = rows.select(*here, "code", F.floor((F.col("n") - 1) / block).alias("last"), F.struct("turn", "same").alias("begin"))
     first = firsts.select(*here).withColumnRenamed("place", "first")
-    edge = coded.filter((F.col("pos") % block == 0) & (F.col("pos") > 0)).select("conv_id", (F.floor(F.col("pos") / block) - 1).alias("block"), F.col("code").alias("follow"))
+    edge = rows.filter((F.col("pos") % block == 0) & (F.col("pos") > 0)).select("conv_id", (F.floor(F.col("pos") / block) - 1).alias("block"), F.col("code").alias("follow"))
     every = own.unionByName(first, True).unionByName(edge, True)
     return every.groupBy("conv_id", "block").agg(
-        F.max("last").alias("last"), F.transform(F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("place", "code")))), lambda x: x["code"]).alias("codes"),
+        F.max("last").alias("last"), F.max(F.when(F.col("place") == 0, F.col("begin"))).alias("begin"), F.transform(F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("place", "code")))), lambda x: x["code"]).alias("codes"),
         F.collect_list("first").alias("firsts"), F.max("follow").alias("follow"),
     )
 
@@ -271,10 +279,10 @@ def _next_to(blocks: DataFrame, column: str, way: int, out: str) -> DataFrame:
 
 
 def repairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(conv_id, block, blank, duplicate, truncated, illegal, cost, audit) of every block of
-    numbered and stored rows (conv_id, pos, n, role, text). ``cost`` is its conversation's in
+    """(conv_id, block, begin, blank, duplicate, truncated, illegal, cost, audit) of every block
+    of ``placed`` rows; ``begin`` is turn and digest of its first one. ``cost`` is its conversation's in
     block 0 and 0 in others; audits of a conversation's blocks make up its own."""
-    blocks = store(blocked(symbols(rows), block).withColumn("row", F.expr("uuid()")), "blocks")
+    blocks = store(blocked(rows, block).withColumn("row", F.expr("uuid()")), "blocks")
     most = blocks.agg(F.max("last")).first()[0] or 0
     rounds = int(most).bit_length()
     end = F.array(*[F.lit(x).cast("long") for x in END_COST])
@@ -289,7 +297,7 @@ def repairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         blocks_in = blocks.withColumn("end", end)
     schema = "row string, blank long, duplicate long, truncated long, illegal long, costs array<long>, audits array<string>, exits array<int>"
     solved = blocks_in.select("row", "codes", "firsts", "follow", "end").mapInPandas(_solved, schema)
-    solved = store(blocks.select("conv_id", "block", "last", "row").join(solved, "row"), "solved")
+    solved = store(blocks.select("conv_id", "block", "last", "begin", "row").join(solved, "row"), "solved")
     entry = F.lit(START)
     if rounds:
         maps = solved.filter("last > 0").select("conv_id", "block", "row", F.col("exits").alias("to"))
@@ -300,43 +308,44 @@ def repairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     tail = F.when(F.col("block") == F.col("last"), F.get(F.array(*map(F.lit, END_AUDIT)), F.get("exits", entry))).otherwise("")
     audit = F.concat(F.get("audits", entry), tail)
     cost = F.when(F.col("block") == 0, F.get("costs", F.lit(START))).otherwise(F.lit(0).cast("long"))
-    return solved.select("conv_id", "block", "blank", "duplicate", "truncated", "illegal", cost.alias("cost"), audit.alias("audit"))
+    return solved.select("conv_id", "block", "begin", "blank", "duplicate", "truncated", "illegal", cost.alias("cost"), audit.alias("audit"))
 
 
 def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str | None, str]]:
-    """Repaired turns (conversation, role, text) of rows sorted by conversation, block
-    and place, where each block begins with its audit. A conversation ends with a null role."""
+    """Repaired turns (conversation, role, text) of rows in order, where a block's audit comes
+    before its first row. A conversation ends with a null role.
+
+    Among rows alike in turn, role and text, audits come first: letters wait for their rows."""
     none = object()
-    now, state, edits = none, START, iter("")
+    now, state, edits = none, START, deque()
 
-    def inserted() -> Iterator[tuple[object, str, str]]:
+    def ended() -> Iterator[tuple[object, str | None, str]]:
         nonlocal state
-        for _ in edits:
+        for _ in range(len(edits)):
+            edits.popleft()
             state = NEXT[state]
             yield now, ROLES[state], ""
+        if now is not none:
+            yield now, None, ""
 
     for batch in batches:
         for conv, role, text, audit in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "audit")], strict=True):
             if audit is not None:
-                yield from inserted()
                 if conv != now:
-                    if now is not none:
-                        yield now, None, ""
+                    yield from ended()
                     now, state = conv, START
-                edits = iter(audit)
+                edits.extend(audit)
                 continue
-            for edit in edits:
-                if edit == "K":
-                    state = int(KEEP[state][{"s": SYSTEM, "u": USER, "a": ASSISTANT}.get(role[:1], 0)])
-                    yield now, role, text
-                elif edit != "D":
-                    state = NEXT[state]
-                    yield now, ROLES[state], text if edit == "R" else ""
-                if edit != "I":
-                    break
-    yield from inserted()
-    if now is not none:
-        yield now, None, ""
+            while (edit := edits.popleft()) == "I":
+                state = NEXT[state]
+                yield now, ROLES[state], ""
+            if edit == "K":
+                state = KEEP[state][INITIALS.get(role[:1], 0)]
+                yield now, role, text
+            elif edit == "R":
+                state = NEXT[state]
+                yield now, ROLES[state], text
+    yield from ended()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,31 +380,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def _streamed(rows: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
-    own = rows.select("conv_id", F.floor(F.col("pos") / block).alias("block"), "pos", "role", "text", F.lit(None).cast("string").alias("audit"))
-    heads = blocks.select("conv_id", "block", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "audit")
-    return own.unionByName(heads).repartition("conv_id").sortWithinPartitions("conv_id", "block", "pos").select("conv_id", "role", "text", "audit")
+def _streamed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Texts and audits, sorted: texts are shuffled here and nowhere else."""
+    none = F.lit(None).cast("string")
+    own = rows.select("conv_id", "turn", "same", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "role", "text", none.alias("audit"))
+    heads = blocks.select("conv_id", "begin.turn", "begin.same", F.lit(0).alias("kind"), "block", none.alias("role"), none.alias("text"), "audit")
+    both = own.unionByName(heads).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "same", "kind", "block")
+    return both.select("conv_id", "role", "text", "audit")
 
 
 def repair(table: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, place, role, text): the conversations of ``table`` (conv_id, turn, role, text,
     no nulls in the last two) after the cheapest repair."""
-    rows = numbered(table.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", "role", "text"], "turns")
-    blocks = store(repairs(rows, block), "repairs")
-    return _streamed(rows, blocks, block).mapInArrow(_rows, "conv_id long, place long, role string, text string")
+    rows = store(coded(table), "turns")
+    blocks = store(repairs(placed(rows), block), "repairs")
+    return _streamed(rows, blocks).mapInArrow(_rows, "conv_id long, place long, role string, text string")
 
 
 def report(table: DataFrame, ids: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for every conversation of ``ids``: faults, gaps, cost, audit and the digest of
     the repaired conversation. All facts meet in one aggregation."""
-    rows = numbered(table.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", "role", "text"], "turns")
-    blocks = store(repairs(rows, block), "repairs")
+    rows = store(coded(table), "turns")
+    blocks = store(repairs(placed(rows), block), "repairs")
     turns = rows.filter("turn is not null").groupBy("conv_id", "turn").agg(F.lit(1)).groupBy("conv_id").agg(F.max("turn").alias("high"), F.min("turn").alias("low"), F.count("*").alias("distinct"))
     gaps = F.try_add(F.try_subtract("high", "low"), F.lit(1).cast("long")) - F.col("distinct")
     counts = ("blank", "duplicate", "truncated", "illegal", "cost")
-    digests = _streamed(rows, blocks, block).mapInArrow(_digests, "conv_id long, repaired_sha256 string")
+    digests = _streamed(rows, blocks).mapInArrow(_digests, "conv_id long, repaired_sha256 string")
     facts = ids.select("conv_id").distinct()
-    for more in (turns.select("conv_id", gaps.alias("gaps"), F.col("high").alias("has_turns")), blocks, digests):
+    for more in (turns.select("conv_id", gaps.alias("gaps"), F.col("high").alias("has_turns")), blocks.drop("begin"), digests):
         facts = facts.unionByName(more, True)
     part = F.when(F.col("audit").isNotNull(), F.struct("block", "audit"))
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts]
@@ -428,8 +440,10 @@ hurt AS (
  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM kinds, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) r(copy)),
 placed AS (
- SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
-  regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM hurt),
+ SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS pos,
+  regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS ending FROM hurt),
 judged AS (
  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
   role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed),

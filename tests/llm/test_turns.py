@@ -57,7 +57,7 @@ def brute(table):
         talks[conv] += [(turn, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
     out = []
     for conv, rows in talks.items():
-        rows.sort(key=lambda r: ((r[0] is not None, r[0] or 0), r[1].encode(), r[2].encode()))
+        rows.sort(key=lambda r: ((r[0] is not None, r[0] or 0), sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
         seen, faults = set(), []
         for _, role, text in rows:
             body = re.sub(r"[\x20\x09-\x0D]", "", text)
