@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "lathework", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,3 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lathework-"))
         conf = context.getCheckpointDir()
     return conf.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and read from the shared folder from then on: a reliable
+    checkpoint, which outlives executors, for iterative jobs."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
