@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.density import dbscan
+from ..operators.information import mutual_info_classif, mutual_info_regr
+from ..operators.mmd import frequencies, mmd, multipliers
 from ..operators.relief import filter_relief, relief, relief_f
 from ..sources.readers import table
 from .catalogue import Catalogue
@@ -92,3 +94,73 @@ _GAIN = _each_sql("SELECT '{c}' AS feature, own, sum(w * {c} * CASE WHEN same TH
 @C.add("relief_f", f"{_near_sql(_MINMAX, 'label', 'a.label = b.label')}, {_F_NEAR}, per AS ({_GAIN}) SELECT feature, round(sum(gain) / (SELECT count(*) FROM own), 8) AS score FROM per GROUP BY feature")
 def _(spark, d):
     return relief_f(_features(spark, d), "vec_id", FEATURES, "label", NEAR, SAMPLES).withColumn("score", F.round("score", 8))
+
+
+#: Digamma of a whole number.
+_PSI = "(-0.5772156649015329 + coalesce(list_sum(list_transform(range(1, ({0})::BIGINT), lambda i: 1 / i)), 0))"
+_HELD = ", ".join(f"round(e{i} / (stddev_pop(e{i}) OVER ()) * 1099511627776)::BIGINT AS e{i}" for i in range(1, 8))
+_TALL = "held AS (SELECT vec_id, label, " + _HELD + f" FROM {_E}), tall AS (" + " UNION ALL ".join(f"SELECT 'e{i}' AS feature, vec_id, label, e{i} AS v, e7 AS y FROM held" for i in range(1, 5)) + ")"
+INFORMED = FEATURES[:4]
+
+_REGR = f"""
+WITH {_TALL},
+gaps AS (SELECT a.feature, a.vec_id, abs(a.v - b.v) AS dx, abs(a.y - b.y) AS dy, row_number() OVER (PARTITION BY a.feature, a.vec_id ORDER BY greatest(abs(a.v - b.v), abs(a.y - b.y))) AS place FROM tall a JOIN tall b ON b.feature = a.feature),
+reach AS (SELECT feature, vec_id, greatest(greatest(dx, dy) - 1, 0) AS r FROM gaps WHERE place = 4),
+near AS (SELECT g.feature, g.vec_id, count(*) FILTER (dx <= r) AS nx, count(*) FILTER (dy <= r) AS ny FROM gaps g JOIN reach USING (feature, vec_id) GROUP BY g.feature, g.vec_id)
+SELECT feature, round(greatest(0, {_PSI.format("count(*)")} + {_PSI.format("3")} - avg({_PSI.format("nx")} + {_PSI.format("ny")})), 7) AS score FROM near GROUP BY feature"""
+
+
+@C.add("mutual_info_regr", _REGR)
+def _(spark, d):
+    return mutual_info_regr(_features(spark, d), "vec_id", INFORMED, "e7").withColumn("score", F.round("score", 7))
+
+
+_CLASSIF = f"""
+WITH {_TALL},
+sized AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS n FROM tall QUALIFY n > 1),
+gaps AS (SELECT a.feature, a.vec_id, a.n, least(3, a.n - 1) AS k, abs(a.v - b.v) AS dx, row_number() OVER (PARTITION BY a.feature, a.vec_id ORDER BY abs(a.v - b.v)) AS place FROM sized a JOIN sized b ON b.feature = a.feature AND b.label = a.label),
+reach AS (SELECT feature, vec_id, n, k, greatest(dx - 1, 0) AS r FROM gaps WHERE place = k + 1),
+near AS (SELECT a.feature, a.vec_id, any_value(r.n) AS n, any_value(r.k) AS k, count(*) FILTER (abs(a.v - b.v) <= r.r) AS m FROM sized a JOIN reach r USING (feature, vec_id) JOIN sized b ON b.feature = a.feature GROUP BY a.feature, a.vec_id)
+SELECT feature, round(greatest(0, {_PSI.format("count(*)")} + avg({_PSI.format("k")}) - avg({_PSI.format("n")}) - avg({_PSI.format("m")})), 7) AS score FROM near GROUP BY feature"""
+
+
+@C.add("mutual_info_classif", _CLASSIF)
+def _(spark, d):
+    return mutual_info_classif(_features(spark, d), "vec_id", INFORMED, "label").withColumn("score", F.round("score", 7))
+
+
+#: Kernel width, frequencies and permutations of the drift queries.
+GAMMA, WAVES, DRAWS = 8.0, 32, 40
+_SIDES = f"rows_ AS (SELECT vec_id, label < 5 AS ref, e1, e2, e3, e4, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 2147483647 AS h FROM {_E})"
+_HASHES = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(multipliers(DRAWS).tolist()))
+_WAVES = ", ".join(f"({j}, {', '.join(map(repr, w))})" for j, w in enumerate(frequencies(4, WAVES, GAMMA).tolist()))
+_RBF = f"""
+WITH {_SIDES},
+marked AS (SELECT *, -1 AS draw, ref AS own FROM rows_ UNION ALL
+ SELECT r.*, p.draw, (r.h * p.a + p.b) % 2147483647 < (SELECT avg(ref::INTEGER) FROM rows_) * 2147483647 FROM rows_ r, (VALUES {_HASHES}) p(draw, a, b)),
+turned AS (SELECT w.j, draw, own, cos(t) AS c, sin(t) AS s FROM (SELECT m.draw, m.own, w.j, m.e1 * w.w1 + m.e2 * w.w2 + m.e3 * w.w3 + m.e4 * w.w4 AS t FROM marked m, (VALUES {_WAVES}) w(j, w1, w2, w3, w4)) w),
+gaps AS (SELECT draw, j, (avg(c) FILTER (own) - avg(c) FILTER (NOT own)) ** 2 + (avg(s) FILTER (own) - avg(s) FILTER (NOT own)) ** 2 AS g FROM turned GROUP BY draw, j),
+found AS (SELECT draw, avg(g) AS statistic, stddev_pop(g) / sqrt({WAVES}) AS error FROM gaps GROUP BY draw)
+SELECT round(f.statistic, 9) AS statistic, round(f.error, 9) AS error, (SELECT avg((p.statistic >= f.statistic)::INTEGER) FROM found p WHERE p.draw >= 0) AS p_value,
+ (SELECT avg((p.statistic >= f.statistic)::INTEGER) FROM found p WHERE p.draw >= 0) < 0.05 AS is_drift, (SELECT count(*) FROM rows_ WHERE ref) AS n_reference, (SELECT count(*) FROM rows_ WHERE NOT ref) AS n_current
+FROM found f WHERE f.draw = -1"""
+
+
+@C.add("mmd_rbf", _RBF)
+def _(spark, d):
+    x = _features(spark, d)
+    found = mmd(x.filter("label < 5"), x.filter("label >= 5"), "vec_id", INFORMED, gamma=GAMMA, count=WAVES, permutations=DRAWS)
+    return found.withColumns({c: F.round(c, 9) for c in ("statistic", "error")})
+
+
+_PAIRS = f"""
+WITH {_SIDES},
+pairs AS (SELECT a.ref AS x, b.ref AS y, (1 + a.e1 * b.e1 + a.e2 * b.e2 + a.e3 * b.e3 + a.e4 * b.e4) ** 3 AS k FROM rows_ a, rows_ b)
+SELECT round(avg(k) FILTER (x AND y) + avg(k) FILTER (NOT x AND NOT y) - 2 * avg(k) FILTER (x AND NOT y), 9) AS statistic FROM pairs"""
+
+
+@C.add("mmd_polynomial", _PAIRS)
+def _(spark, d):
+    x = _features(spark, d)
+    found = mmd(x.filter("label < 5"), x.filter("label >= 5"), "vec_id", INFORMED, "polynomial", permutations=0)
+    return found.select(F.round("statistic", 9).alias("statistic"))
