@@ -18,7 +18,8 @@ younger ones. Manifests of removed versions go with them.
 Cases: an empty arrival commits a version without new shards; reading a store
 without shards gives an empty table of the store's schema; reading a version
 that was vacuumed raises ``Gone``; repeated rows and nulls are stored as they are;
-any columns are allowed, the schema of the first arrival is the store's.
+any columns are allowed; an arrival's new ones join the store's schema (null in the rows before), those
+it lacks are null in it, and one of another type raises ``SchemaMismatch`` before anything is written.
 """
 
 from __future__ import annotations
@@ -53,6 +54,10 @@ class Gone(LookupError):
     """The version's files were removed by ``vacuum``."""
 
 
+class SchemaMismatch(TypeError):
+    """An arrival's column has another type than the store's, or its name in other letters."""
+
+
 class ShardStore:
     """A table of shards under ``root``, which any Hadoop file system may hold."""
 
@@ -130,13 +135,15 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """An arrival becomes small shards of a new version, on top of whatever
-        other writers commit meanwhile."""
+        other writers commit meanwhile. New columns join the store's schema, and those
+        that an arrival lacks are null in it; a column of another type is an error."""
+        evolved(self.manifest()["schema"], df.schema)
         new = self._write(df)
         while True:
             now = self.version()
             old = self.manifest(now)
             try:
-                return self.commit(now + 1, old["schema"] or df.schema.json(), [*old["shards"], *new])
+                return self.commit(now + 1, evolved(old["schema"], df.schema).json(), [*old["shards"], *new])
             except Conflict:
                 continue
 
@@ -203,6 +210,22 @@ class ShardStore:
         return sum(bool(self._fs.delete(self._path(f"{self.root}/shards/{name}"), False)) for name in sorted(removed))
 
 
+def evolved(known: str | None, arrived: T.StructType) -> T.StructType:
+    """The stored schema (JSON, none at first) with an arrival's new columns, all nullable."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in arrived]
+    if known is None:
+        return T.StructType(fields)
+    held = T.StructType.fromJson(json.loads(known))
+    types = {f.name.lower(): f for f in held}
+    for f in fields:
+        old = types.get(f.name.lower())
+        if old is None:
+            held = held.add(f)
+        elif old.name != f.name or old.dataType.simpleString() != f.dataType.simpleString():
+            raise SchemaMismatch(f"column {f.name} is {f.dataType.simpleString()}, the store has {old.name} {old.dataType.simpleString()}")
+    return held
+
+
 def compacted(table: DataFrame, root: str, arrivals: int = 4, **options) -> ShardStore:
     """A store that has taken ``table`` in ``arrivals`` appends and is compacted.
     Nobody else writes to it, so that files may go as soon as they are merged."""

@@ -96,6 +96,21 @@ def test_merged_files_have_the_target_size(spark, tmp_path):
     assert sum(s < 1 << 19 for s in sizes) <= 1
 
 
+def test_new_columns_stay_and_other_types_are_refused(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "b", "kept")], "doc_id long, text string, note string"))
+    store.append(spark.createDataFrame([("c",)], "text string"))
+    for bad in ("doc_id string, text string", "Doc_ID long, text string"):
+        with pytest.raises(sharding.SchemaMismatch):
+            store.append(spark.createDataFrame([], bad))
+    want = {(1, "a", None), (2, "b", "kept"), (None, "c", None)}
+    assert {tuple(r) for r in store.read().collect()} == want
+    store.compact(force=True)
+    store.vacuum(older_than=0)
+    assert {tuple(r) for r in store.read().collect()} == want
+
+
 def test_empty_arrivals(spark, tmp_path, documents, odd):
     store = sharding.ShardStore(spark, str(tmp_path / "store"))
     assert store.read().count() == 0
