@@ -17,7 +17,8 @@ non-finite component take no part; vectors are near only to others of their
 length, and every length is searched; a repeated query id is asked once, with the
 least of its vectors; repeated candidates are found as often as they appear,
 except under the query's own id; with fewer than ``k`` candidates all are
-returned; an empty table gives an empty result; more columns are ignored.
+returned; finite vectors of any size are measured (a distance beyond the doubles is infinite, the
+last in order); an empty table gives an empty result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ CALIBRATION, RECALL = 100, 0.95
 #: Rows of one length up to which they are searched without a tree.
 FEW = 10_000
 BLOCK, VISITS = 4096, 4096
+#: Components beyond this count as this where leaves are chosen, as squares would overflow.
+LARGE = 1e140
 #: Queries of one matrix product.
 SLICE = 256
 
@@ -84,21 +87,30 @@ class Tree:
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances for choosing branches (not for scores)."""
+    """Squared distances for choosing branches (not for scores); far beyond what can be squared
+    all is alike."""
+    a, b = np.clip(a, -LARGE, LARGE), np.clip(b, -LARGE, LARGE)
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None], 0)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances summed component by component, the same for equal vectors wherever they stand."""
     total = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        total += (a[:, j, None] - b[None, :, j]) ** 2
-    return np.sqrt(total)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(a.shape[1]):
+            total += (a[:, j, None] - b[None, :, j]) ** 2
+        total = np.sqrt(total)
+        for i, k in zip(*np.nonzero(~np.isfinite(total)), strict=True):  # too large to be squared: in units of a power of two
+            gap = np.abs(a[i] - b[k])
+            unit = 2.0 ** np.floor(np.log2(gap.max())) if np.isfinite(gap).all() else np.inf
+            total[i, k] = np.sqrt(((gap / unit) ** 2).sum()) * unit if np.isfinite(unit) else np.inf
+    return total
 
 
 def grow(sample: np.ndarray, leaf_sample: int, branches: int = BRANCHES) -> Tree:
     """Hierarchical k-means, split until a node's sample is small or all alike."""
     rng = np.random.default_rng(1)
+    sample = np.clip(sample, -LARGE, LARGE)
     centres, children, leaf, todo = [sample.mean(axis=0)], [[]], [-1], [(0, np.arange(len(sample)))]
     n_leaves = 0
     while todo:
@@ -135,26 +147,33 @@ def nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int, more: tuple[str,
     Matrix products give distances up to rounding; what they put within rounding
     of the k-th one is measured exactly."""
     x, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
-    lengths = (x * x).sum(1)
+    with np.errstate(over="ignore"):
+        lengths = (x * x).sum(1)
     names, leaf = np.unique(rows["leaf"].to_numpy(), return_inverse=True) if "leaves" in queries else (None, None)
     out = []
     for low in range(0, len(queries), SLICE):
         part = queries.iloc[low : low + SLICE]
         q, asked = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy()
-        own = (q * q).sum(1)
-        near = own[:, None] - 2 * (q @ x.T) + lengths[None]
-        near[ids[None] == asked[:, None]] = np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            own = (q * q).sum(1)
+            near = own[:, None] - 2 * (q @ x.T) + lengths[None]
+        huge = ~np.isfinite(near)  # measured exactly, as their squares overflow
+        near[huge] = np.inf
+        out_of_sight = ids[None] == asked[:, None]
         if leaf is not None:
             seen = np.stack([np.isin(names, visits) for visits in part["leaves"]])
-            near[~seen[:, leaf]] = np.inf
-        rounding = 1e-12 * x.shape[1] * (own + lengths.max())
+            out_of_sight |= ~seen[:, leaf]
+        near[out_of_sight] = np.inf
+        huge &= ~out_of_sight
+        rounding = 1e-12 * x.shape[1] * (own + lengths[np.isfinite(lengths)].max(initial=0))
         for i, query in enumerate(asked):
             d = near[i]
             open_ = np.isfinite(d).sum()
-            if not open_:
+            if not open_ and not huge[i].any():
                 continue
-            least = min(k, open_) - 1
-            look = np.flatnonzero(d <= np.partition(d, least)[least] + 2 * rounding[i])
+            least = max(0, min(k, open_) - 1)
+            close = np.isfinite(d) & (d <= np.partition(d, least)[least] + 2 * rounding[i])
+            look = np.flatnonzero(close | huge[i])
             d = exact(x[look], q[i][None])[:, 0]
             best = np.lexsort((ids[look], d))[:k]
             best, d = look[best], d[best]
