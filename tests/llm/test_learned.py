@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -323,6 +324,37 @@ def test_neighbours_of_every_length(spark):
     assert sorted(got[100]) == [(i, 100 + i, float(i)) for i in range(1, 11)]
 
 
+
+
+def test_vectors_too_large_to_be_squared(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** (200 if i < 30 else 0)).tolist()) for i in range(60)] + [(100, [1.5e308] * 6), (101, [-1.5e308] * 6)]
+    table = neighbours.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    asked = table.filter("vec_id in (0, 40, 100)").selectExpr("vec_id as query_id", "v as q")
+    found = {}
+    for r in neighbours.search(table, asked, k=61, recall=1.0).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    for query in (0, 40, 100):
+        q = np.array(dict(rows)[query]) / 1e200
+        want = {i: np.sqrt((((np.array(v) / 1e200) - q) ** 2).sum()) * 1e200 for i, v in rows if i != query}
+        assert set(found[query]) == set(want)
+        far = {i: d for i, d in want.items() if d > 1e100}  # of doubles, the farthest is infinite
+        assert {i: found[query][i] for i in far} == pytest.approx(far)
+    near = {i: np.sqrt(((np.array(v) - dict(rows)[40]) ** 2).sum()) for i, v in rows[30:60] if i != 40}
+    assert {i: found[40][i] for i in near} == pytest.approx(near)
+
+
+def test_licence_lines_take_linear_time():
+    model = licences.train([])
+    for lines in (1_000, 32_000):
+        text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\n" + "some other line of a log\n" * lines
+        began = time.perf_counter()
+        n, found = model.document(text)
+        took = time.perf_counter() - began
+        assert n == lines + 1 and {i for i, _, _ in found} <= {0}
+    assert took < 3
+
+
 def test_recall_on_the_drivers_table(spark):
     """Recall at 10 of the registered query against brute force over the whole table."""
     folder = "/root/testdata/sf0.1"
