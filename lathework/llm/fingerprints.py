@@ -47,7 +47,7 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
             "_p",
             F.expr(
                 f"sort_array(transform(sequence(0, greatest(size(_u) - {KMER}, 0)), i -> "
-                f"(xxhash64({', '.join(f'get(_u, i + {k})' for k in range(KMER))}) & ~{PLACE}L) | (i & {PLACE}L)))"
+                f"(xxhash64({', '.join(f'get(_u, i + {k})' for k in range(KMER))}) & ~{PLACE}L) | ((i + 1) & {PLACE}L)))"  # from 1, so that no k-mer looks like a mark
             ),
         ),
         ("_s", F.expr(f"filter(sequence(0, size(_p) - 1), i -> i = 0 or shiftright(get(_p, i), {BITS}) != shiftright(get(_p, i - 1), {BITS}))")),
