@@ -7,6 +7,7 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -26,8 +27,8 @@ BROADCAST_ROWS = 20_000
 HOT = 10_000
 
 
-#: Folders written inside an open ``scratch`` block, innermost block last.
-_scratch: list[list[str]] = []
+#: Folders written inside the open ``scratch`` block of this thread or task.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def store(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
@@ -38,8 +39,8 @@ def store(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     table is removed when the block ends, unless it is ``lasting``."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/lathework-{uuid.uuid4().hex}"
-    if _scratch and not lasting:
-        _scratch[-1].append(folder)
+    if (held := _scratch.get()) is not None and not lasting:
+        held.append(folder)
     df.write.parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
@@ -48,11 +49,13 @@ def store(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that were stored inside the block, for jobs whose
     result is a ``lasting`` table."""
-    _scratch.append([])
+    held: list[str] = []
+    before = _scratch.set(held)
     try:
         yield
     finally:
-        for folder in _scratch.pop():
+        _scratch.reset(before)
+        for folder in held:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -119,6 +122,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free(table: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``table`` has."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_text(table: DataFrame, run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], schema: str, out: str = "_out") -> DataFrame:
     """Adds the struct ``out`` that ``run`` gives for batches of texts. Only texts
     reach Python: every other column stays in the JVM as it is."""

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, docs, portable, salted, scratch, store
+from .common import WORD, docs, free, portable, salted, scratch, store
 
 SHINGLE = 5
 SKETCH, SHARED, ESTIMATE = 48, 0.45, 0.5
@@ -252,16 +252,17 @@ def keep_first(table: DataFrame) -> DataFrame:
     """The rows of ``table`` that are kept: of each group the one with the least
     id (rows without id all stay). Rows are numbered once, in a stored table, so
     that equal ids stay apart."""
-    numbered = store(table.withColumn("_lw_row", F.monotonically_increasing_id()), "numbered")
-    own = F.when(F.col("doc_id").isNotNull(), F.col("_lw_row")).alias("doc_id")
+    row = free(table, "_lw_row")
+    numbered = store(table.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    own = F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id")
     found = near_copies(numbered.select(own, "text"))
     rest = store(found.filter("not kept").select(F.col("doc_id").alias("_lw_row"), F.col("component_id").alias("_lw_group")), "rest")
     members = rest.unionByName(rest.select(F.col("_lw_group").alias("_lw_row"), "_lw_group").distinct())
-    members = store(members.join(numbered.select("_lw_row", "doc_id"), "_lw_row"), "group-members")
+    members = store(members.join(numbered.select(F.col(row).alias("_lw_row"), "doc_id"), "_lw_row"), "group-members")
     first = members.groupBy("_lw_group").agg(F.min(F.struct("doc_id", "_lw_row"))["_lw_row"].alias("_lw_first"))
     sizes = store(members.groupBy("_lw_group").agg(F.count("*").alias("_n")), "groups")
-    gone = salted(members, first, "_lw_group", sizes, "_lw_row").filter("_lw_row != _lw_first").select("_lw_row")
-    return numbered.join(gone, "_lw_row", "left_anti").select(*[F.col(f"`{c}`") for c in table.columns])
+    gone = salted(members, first, "_lw_group", sizes, "_lw_row").filter("_lw_row != _lw_first").select(F.col("_lw_row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in table.columns])
 
 
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_text, docs, held_out, portable, store
+from .common import by_text, docs, free, held_out, portable, store
 
 POSITIVES, UNLABELLED = 4_000, 16_000
 FEATURES = 20_000
@@ -208,8 +208,8 @@ def train(
     return fit([(r[0], list(r[1])) for r in encoded], features, prior)
 
 
-def _scores(table: DataFrame, model: Model | None) -> DataFrame:
-    """``table`` with its texts' scores in ``_out.score``."""
+def _scores(table: DataFrame, model: Model | None, out: str = "_out") -> DataFrame:
+    """``table`` with its texts' scores in ``out``, a struct of one field."""
     shared = table.sparkSession.sparkContext.broadcast((model.weights, model.bias) if model else None)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -218,7 +218,7 @@ def _scores(table: DataFrame, model: Model | None) -> DataFrame:
         for part in parts:
             yield pd.DataFrame({"score": [model.score(find(x)) if model else 0.0 for x in part]}, dtype=float)
 
-    return by_text(table, run, "score double")
+    return by_text(table, run, "score double", out)
 
 
 def score(table: DataFrame, model: Model | None) -> DataFrame:
@@ -230,7 +230,8 @@ def score(table: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_clean(table: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``table`` that the model doesn't reject, all columns as they are."""
-    return _scores(table, train(table, labels)).filter(F.col("_out.score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in table.columns])
+    out = free(table, "_out")
+    return _scores(table, train(table, labels), out).filter(F.col(out)["score"] < THRESHOLD).select(*[F.col(f"`{c}`") for c in table.columns])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def documents(spark):
         full = [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows]
         df = spark.createDataFrame(full, SCHEMA)
         if extra:
-            for name in ("score", "piece", "size", "spans", "held_out", "w", "row"):
+            for name in ("score", "piece", "size", "spans", "held_out", "w", "row", "_out", "_lw_row", "_lw_group", "_n"):
                 df = df.selectExpr("*", f"'clash' as {name}")
         return df
 
