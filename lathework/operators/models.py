@@ -70,7 +70,13 @@ def knn(train: DataFrame, test: DataFrame, row_id: str, features: Sequence[str],
     majority label (least on a tie) or the mean, each neighbour counting once or, with
     ``weights`` distance, by the reciprocal of its distance (1e10 at none). ``test`` goes in blocks of about ``BLOCK`` rows
     by hash, a block at a time broadcast to every training row, of which each
-    task keeps its k best, so that no pair is shuffled that can't matter."""
+    task keeps its k best, so that no pair is shuffled that can't matter.
+
+    Training rows with a null or NaN feature, or without target, are nobody's neighbours;
+    a row of ``test`` with such a feature has no neighbours and a null response."""
+    nan = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    train = train.filter(F.col(target).isNotNull()).withColumns({f: nan(f) for f in features}).dropna(subset=list(features))
+    test = test.withColumns({f: nan(f) for f in features})
     asked = test.select(F.col(row_id).alias("_q"), *[F.col(f).alias(f"_q_{f}") for f in features])
     blocks = max(1, -(-asked.count() // BLOCK))
     gap = [F.col(f) - F.col(f"_q_{f}") for f in features]
@@ -81,12 +87,15 @@ def knn(train: DataFrame, test: DataFrame, row_id: str, features: Sequence[str],
     for b in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
         near = train.select(row_id, *features, target).join(F.broadcast(part)).select("_q", row_id, target, far.alias("d"))
-        one = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        one = near.filter("d is not null").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
         best = one if best is None else best.unionByName(one)
     if not classify:
-        return best.groupBy(F.col("_q").alias(row_id)).agg((F.sum(F.col(target) * weight) / F.sum(weight)).alias("response"))
-    votes = best.groupBy("_q", F.col(target).alias("_l")).agg(F.sum(weight).alias("_n"))
-    return votes.groupBy(F.col("_q").alias(row_id)).agg(F.min_by("_l", F.struct(-F.col("_n"), F.col("_l"))).alias("response"))
+        found = best.groupBy("_q").agg((F.sum(F.col(target) * weight) / F.sum(weight)).alias("response"))
+    else:
+        votes = best.groupBy("_q", F.col(target).alias("_l")).agg(F.sum(weight).alias("_n"))
+        found = votes.groupBy("_q").agg(F.min_by("_l", F.struct(-F.col("_n"), F.col("_l"))).alias("response"))
+    every = asked.select("_q", F.lit(None).cast(found.schema["response"].dataType).alias("response")).unionByName(found)
+    return every.groupBy(F.col("_q").alias(row_id)).agg(F.max("response").alias("response"))  # null where there is no neighbour
 
 
 def vote(predictions: Sequence[DataFrame], row_id: str, weights: Sequence[float] | None = None) -> DataFrame:

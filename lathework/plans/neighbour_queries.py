@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.density import dbscan
 from ..operators.information import mutual_info_classif, mutual_info_regr
 from ..operators.mmd import frequencies, mmd, multipliers
+from ..operators.models import knn
 from ..operators.relief import filter_relief, relief, relief_f
 from ..sources.readers import table
 from .catalogue import Catalogue
@@ -164,3 +165,18 @@ def _(spark, d):
     x = _features(spark, d)
     found = mmd(x.filter("label < 5"), x.filter("label >= 5"), "vec_id", INFORMED, "polynomial", permutations=0)
     return found.select(F.round("statistic", 9).alias("statistic"))
+
+
+_GAPS = "SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_nationkey::DOUBLE END AS x, CASE WHEN s_suppkey % 20 <> 10 THEN s_acctbal / 1000 END AS y, CASE WHEN s_suppkey % 11 <> 1 THEN s_acctbal END AS v FROM supplier"
+_KNN = f"""
+WITH s AS ({_GAPS}), te AS (SELECT * FROM s WHERE s_suppkey % 10 = 0),
+n AS (SELECT te.s_suppkey AS q, tr.v FROM s tr, te WHERE tr.s_suppkey % 10 <> 0 AND tr.v IS NOT NULL AND sqrt(pow(tr.x - te.x, 2) + pow(tr.y - te.y, 2)) IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY te.s_suppkey ORDER BY sqrt(pow(tr.x - te.x, 2) + pow(tr.y - te.y, 2)), tr.s_suppkey) <= 5)
+SELECT te.s_suppkey, round(avg(n.v), 6) AS response FROM te LEFT JOIN n ON n.q = te.s_suppkey GROUP BY te.s_suppkey"""
+
+
+@C.add("knn_nulls", _KNN)
+def _(spark, d):
+    s = table(spark, d, "supplier").selectExpr("s_suppkey", "if(s_suppkey % 7 <> 0, double(s_nationkey), null) x", "if(s_suppkey % 20 <> 10, s_acctbal / 1000, null) y", "if(s_suppkey % 11 <> 1, s_acctbal, null) v")
+    found = knn(s.filter("s_suppkey % 10 <> 0"), s.filter("s_suppkey % 10 = 0"), "s_suppkey", ["x", "y"], "v", classify=False)
+    return found.withColumn("response", F.round("response", 6))

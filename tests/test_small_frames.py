@@ -288,3 +288,10 @@ def test_smoothing_is_the_recursion(spark, alpha):
     assert got.keys() == levels.keys()
     for g, (n, level) in levels.items():
         assert got[g] == (n, pytest.approx(level, abs=1e-9))
+
+
+def test_a_null_feature_is_nobodys_neighbour(spark):
+    train = spark.createDataFrame([(1, None, 1.0), (2, 5.0, 2.0), (3, 6.0, 3.0), (4, float("nan"), 9.0), (5, 5.0, None)], "id long, x double, y double")
+    test = spark.createDataFrame([(10, 5.0), (11, None), (12, float("nan"))], "id long, x double")
+    assert rows(models.knn(train, test, "id", ["x"], "y", k=1, classify=False), "id", "response") == [(10, 2.0), (11, None), (12, None)]
+    assert rows(models.knn(train, test, "id", ["x"], "y", k=3), "id", "response") == [(10, 2.0), (11, None), (12, None)]
