@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..task import Task
 
 LEARNERS: dict[str, tuple[type, dict[str, Any]]] = {
@@ -37,53 +38,90 @@ LEARNERS: dict[str, tuple[type, dict[str, Any]]] = {
 }
 
 
+def _number(column: str):
+    """The column as a double, NaN as null."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
 @dataclass(frozen=True)
 class Fitted:
     model: PipelineModel
     kind: str
     row_id: str
     target: str | None
+    features: tuple[str, ...] = ()
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the response in ``name`` and, for classifiers that give one, the likeliest
+        class's share in ``name``_score; both are null where a feature is null or NaN."""
+        known, filled = F.lit(True), {}
+        for f in self.features:
+            v = _number(f)
+            known, filled[f] = known & v.isNotNull(), F.coalesce(v, F.lit(0.0))
+        rows = df.select(F.struct(*df.columns).alias("_row"), known.alias("_known"), *[v.alias(f) for f, v in filled.items()])
+        out = self.model.transform(rows)
+        made = [F.when(F.col("_known"), F.col("_response")).alias(name)]
+        if "_probability" in out.columns:
+            made.append(F.when(F.col("_known"), F.array_max(vector_to_array("_probability"))).alias(f"{name}_score"))
+        return out.select(*[F.col("_row")[c].alias(c) for c in df.columns], *made)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df)
+        """(row_id, truth, response, score) of every row of ``df``, as ``add`` gives them."""
+        out = self.add(df, "_m")
         truth = F.col(self.target) if self.target and self.target in df.columns else F.lit(None).cast("string")
-        columns = [F.col(self.row_id), truth.alias("truth"), F.col("_response").alias("response")]
-        if "_probability" in out.columns:
-            columns.append(F.array_max(vector_to_array("_probability")).alias("score"))
+        columns = [F.col(self.row_id), truth.alias("truth"), F.col("_m").alias("response")]
+        if "_m_score" in out.columns:
+            columns.append(F.col("_m_score").alias("score"))
         return out.select(*columns)
 
 
 def train(learner: str, task: Task, **params) -> Fitted:
-    """Fits ``learner`` on the task's features; ``params`` override its settings."""
+    """Fits ``learner`` on the task's features; ``params`` override its settings. Rows with a
+    null or NaN feature, or without target, teach nothing; neither do rows whose weight, if the task has a
+    weight column, is null or not above zero."""
     cls, settings = LEARNERS[learner]
     kind = learner.partition(".")[0]
     estimator = cls(featuresCol="_features", **(settings | params))
+    weight = next(iter(task.columns("weight")), None)
+    if text := [f for f in task.features if dict(task.df.dtypes)[f] in ("string", "binary", "date") or "<" in dict(task.df.dtypes)[f]]:
+        raise ValueError(f"features that aren't numbers: {text}")
+    df = task.df.withColumns({f: _number(f) for f in task.features}).dropna(subset=[*task.features, *task.columns("target")])
+    if weight:
+        if not estimator.hasParam("weightCol"):
+            raise ValueError(f"{learner} takes no weights")
+        df = df.filter(F.col(weight) > 0)
+        estimator = estimator.setWeightCol(weight)
     stages = [VectorAssembler(inputCols=task.features, outputCol="_features")]
+    known = (kind, task.row_id, task.target, tuple(task.features))
     if kind == "classif":
-        index = StringIndexer(inputCol=task.target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(task.df)
+        index = StringIndexer(inputCol=task.target, outputCol="_label", stringOrderType="alphabetAsc").fit(df)
         estimator = estimator.setLabelCol("_label").setPredictionCol("_prediction")
         if estimator.hasParam("probabilityCol"):
             estimator = estimator.setProbabilityCol("_probability")
-        index.setHandleInvalid("skip")
-        fitted = Pipeline(stages=[*stages, estimator]).fit(index.transform(task.df))
+        fitted = Pipeline(stages=[*stages, estimator]).fit(index.transform(df))
         back = IndexToString(inputCol="_prediction", outputCol="_response", labels=index.labels)
-        return Fitted(PipelineModel([*fitted.stages, back]), kind, task.row_id, task.target)
+        return Fitted(PipelineModel([*fitted.stages, back]), *known)
     estimator = estimator.setPredictionCol("_response")
     if kind == "regr":
         estimator = estimator.setLabelCol(task.target)
-    return Fitted(Pipeline(stages=[*stages, estimator]).fit(task.df), kind, task.row_id, task.target)
+    return Fitted(Pipeline(stages=[*stages, estimator]).fit(df), *known)
 
 
-def resample(learner: str, task: Task, folds: int = 5, seed: int = 0, **params) -> DataFrame:
-    """(fold, row_id, truth, response, ...) of every row, predicted by the model
-    that wasn't trained on its fold; folds are a column of the one table."""
+def folded(task: Task, folds: int = 5, seed: int = 0) -> DataFrame:
+    """The task's rows with ``_fold``, computed once for all the models fitted on them."""
     from .resample import cv
 
-    rows = cv(task.df, task.row_id, folds, seed)
+    return cut(cv(task.df, task.row_id, folds, seed).withColumnRenamed("fold", "_fold"))
+
+
+def resample(learner: str, task: Task, folds: int = 5, seed: int = 0, rows: DataFrame | None = None, **params) -> DataFrame:
+    """(row_id, truth, response, ..., fold) of every row, predicted by the model
+    that wasn't trained on its fold; ``rows`` are those of ``folded``, where several learners share them."""
+    rows = folded(task, folds, seed) if rows is None else rows
     out = None
     for k in range(folds):
-        model = train(learner, task.with_df(rows.filter(F.col("fold") != k).drop("fold")), **params)
-        one = model.predict(rows.filter(F.col("fold") == k)).withColumn("fold", F.lit(k))
+        model = train(learner, task.with_df(rows.filter(F.col("_fold") != k).drop("_fold")), **params)
+        one = model.predict(rows.filter(F.col("_fold") == k)).withColumn("fold", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -97,9 +135,10 @@ def benchmark(tasks: dict[str, Task], learners: dict[str, dict[str, Any]], folds
     spark = next(iter(tasks.values())).df.sparkSession
     rows: list[tuple] = []
     for name, task in tasks.items():
+        parts = folded(task, folds, seed)
         for learner, params in learners.items():
             try:
-                pred = resample(learner, task, folds, seed, **params)
+                pred = resample(learner, task, folds, seed, parts, **params)
                 kind = learner.partition(".")[0]
                 found = accuracy(pred, "truth", "response", ["fold"]) if kind == "classif" else regression(pred, "truth", "response", ["fold"])
                 measure = "acc" if kind == "classif" else "rmse"
@@ -128,9 +167,9 @@ def pca(df: DataFrame, columns: list[str], k: int, whiten: bool = False) -> Data
 def stack(base: dict[str, tuple[str, dict[str, Any]]], meta: str, task: Task, folds: int = 5, seed: int = 0) -> DataFrame:
     """Predictions of ``meta``, fitted on the base learners' out-of-fold predictions.
     ``base`` maps names to (learner, settings); numbers only."""
-    rows = task.df.select(task.row_id, task.target)
+    rows, parts = task.df.select(task.row_id, task.target), folded(task, folds, seed)
     for name, (learner, params) in base.items():
-        one = resample(learner, task, folds, seed, **params).select(task.row_id, F.col("response").alias(f"_p_{name}"))
+        one = resample(learner, task, folds, seed, parts, **params).select(task.row_id, F.col("response").alias(f"_p_{name}"))
         rows = rows.join(one, task.row_id)
     over = Task(rows, task.row_id, {task.target: "target"})
     return train(meta, over).predict(rows)
@@ -163,9 +202,9 @@ def permutation_importance(fitted: Fitted, task: Task, seed: int = 0) -> DataFra
 def tried(learner: str, task: Task, every: list[dict[str, Any]], folds: int = 5, seed: int = 0) -> DataFrame:
     """(params, score): each setting by the mean of its folds' error: misclassified share
     for classes, root mean squared error for numbers."""
-    out = None
+    out, parts = None, folded(task, folds, seed)
     for params in every:
-        pred = resample(learner, task, folds, seed, **params)
+        pred = resample(learner, task, folds, seed, parts, **params)
         wrong = F.avg((F.col("truth") != F.col("response")).cast("double")) if learner.startswith("classif") else _rmse()
         one = pred.groupBy("fold").agg(wrong.alias("_e")).agg(F.avg("_e").alias("score")).select(F.lit(repr(params)).alias("params"), "score")
         out = one if out is None else out.unionByName(one)
