@@ -8,6 +8,7 @@ from ..operators.density import dbscan
 from ..operators.information import mutual_info_classif, mutual_info_regr
 from ..operators.mmd import frequencies, mmd, multipliers
 from ..operators.models import knn
+from ..operators.modes import mean_shift
 from ..operators.relief import filter_relief, relief, relief_f
 from ..sources.readers import table
 from .catalogue import Catalogue
@@ -180,3 +181,20 @@ def _(spark, d):
     s = table(spark, d, "supplier").selectExpr("s_suppkey", "if(s_suppkey % 7 <> 0, double(s_nationkey), null) x", "if(s_suppkey % 20 <> 10, s_acctbal / 1000, null) y", "if(s_suppkey % 11 <> 1, s_acctbal, null) v")
     found = knn(s.filter("s_suppkey % 10 <> 0"), s.filter("s_suppkey % 10 = 0"), "s_suppkey", ["x", "y"], "v", classify=False)
     return found.withColumn("response", F.round("response", 6))
+
+
+def _shift_sql(points: str, width: float) -> str:
+    far = f"<= {width!r}::DOUBLE * {width!r}::DOUBLE"
+    return f"""WITH RECURSIVE p AS ({points}), s AS (SELECT DISTINCT round(x / {width!r}::DOUBLE) * {width!r}::DOUBLE AS x, round(y / {width!r}::DOUBLE) * {width!r}::DOUBLE AS y FROM p),
+m AS (SELECT x AS sx, y AS sy, x, y, 0::BIGINT AS n, false AS stays FROM s UNION ALL
+SELECT sx, sy, avg(p.x), avg(p.y), count(*), pow(avg(p.x) - any_value(m.x), 2) + pow(avg(p.y) - any_value(m.y), 2) <= pow(0.001::DOUBLE * {width!r}::DOUBLE, 2) FROM m JOIN p ON pow(p.x - m.x, 2) + pow(p.y - m.y, 2) {far} WHERE NOT stays GROUP BY sx, sy),
+e AS (SELECT list({{'n': n, 'x': x, 'y': y}} ORDER BY n DESC, x DESC, y DESC) AS l FROM (SELECT max(n) AS n, x, y FROM m WHERE stays GROUP BY x, y)),
+k AS (SELECT list_reduce(l, lambda a, b: CASE WHEN len([c FOR c IN a IF pow(c.x - b[1].x, 2) + pow(c.y - b[1].y, 2) {far}]) > 0 THEN a ELSE list_concat(a, b) END) AS l FROM (SELECT [[c] FOR c IN l] AS l FROM e)),
+c AS (SELECT i - 1 AS cluster, l[i] AS c FROM k, range(1, 100000) t(i) WHERE i <= len(l))
+SELECT id, cluster FROM p, c QUALIFY row_number() OVER (PARTITION BY id ORDER BY pow(p.x - c.c.x, 2) + pow(p.y - c.c.y, 2), cluster) = 1"""
+
+
+@C.add("mean_shift", _shift_sql("SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings", 0.15))
+def _(spark, d):
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return mean_shift(x, "id", ["x", "y"], 0.15)[0]
