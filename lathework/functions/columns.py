@@ -31,7 +31,8 @@ def count_within(left: DataFrame, right: DataFrame, row_id: str, key: str, time:
 
 def custom_mean(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """An aggregate of one's own, geometric means: batches give (sum of logarithms,
-    count) by group in Arrow, which Spark then adds up, so that no group meets in one task."""
+    count) by group in Arrow, which Spark then adds up, so that no group meets in one task. Values below
+    zero do not count; a group without others is null."""
     import numpy as np
 
     def partial(parts):
@@ -42,4 +43,4 @@ def custom_mean(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
 
     kind = df.schema[group].dataType.simpleString()
     sums = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v is not null").mapInPandas(partial, f"_g {kind}, _s double, _n long")
-    return sums.groupBy(F.col("_g").alias(group)).agg(F.exp(F.sum("_s") / F.sum("_n")).alias(out))
+    return sums.groupBy(F.col("_g").alias(group)).agg(F.exp(F.try_divide(F.sum("_s"), F.sum("_n"))).alias(out))
