@@ -1,4 +1,4 @@
-"""Parameter spaces and the search over learners."""
+"""Parameter spaces, the search over learners, and graphs of steps."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from math import log
 from pyspark.sql import functions as F
 
 from ..operators import automl as A
+from ..operators import learners as L
 from ..operators.params import Choice, ParamSet, Real, Whole
 from ..sources.readers import table
 from ..task import Task
+from . import graph as G
 from .catalogue import Catalogue
+from .pipeline import scaler
 
 C = Catalogue()
 QUERIES, ORACLE_SQL = C.queries, C.sql
@@ -53,3 +56,41 @@ def _(spark, d):
     trials = {f"line_{c}": ("regr.lm", {}, [c]) for c in "xbw"} | {"words": ("regr.lm", {}, ["words"])}
     board = A.search(Task(p, "vec_id", {"y": "target"}), trials, 3600, folds=3, rungs=2, keep=2, seed=5)
     return board.select("rank", "trial", "rung", "rows", F.round("score", 6).alias("score"), F.col("error").isNotNull().alias("failed"))
+
+
+_CURVE = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[1]::DOUBLE * embedding[1]::DOUBLE AS z, embedding[3]::DOUBLE + 0.5::DOUBLE * embedding[1] + embedding[1] * embedding[1] AS y FROM embeddings),
+n AS (SELECT *, row_number() OVER (ORDER BY md5('5:' || vec_id), vec_id) - 1 AS pos, count(*) OVER () AS n FROM p),
+f AS (SELECT *, CASE WHEN pos < (n % 3) * (n // 3 + 1) THEN pos // (n // 3 + 1) ELSE n % 3 + (pos - (n % 3) * (n // 3 + 1)) // (n // 3) END AS fold FROM n), k AS (SELECT unnest(range(3)) AS k)"""
+
+
+def _curve(spark, d):
+    x = F.col("embedding")[0].cast("double")
+    p = table(spark, d, "embeddings").select("vec_id", x.alias("x"), (F.col("embedding")[2].cast("double") + 0.5 * x + x * x).alias("y"))
+    square = G.mapped(lambda df: df.withColumn("z", F.col("x") * F.col("x")).drop("x"))
+    graph = G.Graph({"line": scaler, "square": square, "even": scaler, "both": G.passed}, [("square", "even"), ("line", "both"), ("even", "both")])
+    return graph, Task(p, "vec_id", {"y": "target"})
+
+
+@C.add(
+    "graph_features",
+    f"{_CURVE}, s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(z) AS mz, stddev_pop(z) AS sz FROM f WHERE fold <> 0) SELECT vec_id, round((x - mx) / sx, 6) AS x, round((z - mz) / sz, 6) AS z FROM f, s",
+)
+def _(spark, d):
+    """Two branches, each scaled by what it learnt from two of three folds, for every row."""
+    graph, task = _curve(spark, d)
+    known = task.with_df(L.folded(task, 3, 5).filter("_fold <> 0").drop("_fold"))
+    out = graph.fit(known).transform(task.df)
+    return out.df.select("vec_id", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
+
+
+@C.add(
+    "graph_cv",
+    f"""{_CURVE}, s AS (SELECT k, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM f, k WHERE fold <> k GROUP BY k),
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM s)
+SELECT vec_id, fold::INT AS fold, round(y, 6) AS truth, round(my + bx * (x - mx) + bz * (z - mz), 5) AS response FROM f JOIN b ON k = fold""",
+)
+def _(spark, d):
+    """The graph with a linear model after it, cross-validated as a whole."""
+    graph, task = _curve(spark, d)
+    out = G.resample(graph, "regr.lm", task, 3, 5)
+    return out.select("vec_id", "fold", F.round("truth", 6).alias("truth"), F.round("response", 5).alias("response"))
