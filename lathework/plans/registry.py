@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("profile_queries", "drift_queries", "measure_queries", "transform_queries", "timeseries_queries", "model_queries", "table_queries", "selection_queries", "relational_queries", "quality_queries", "neighbour_queries", "ensemble_queries", "outlier_queries", "spectral_queries", "tuning_queries")
+MODULES: tuple[str, ...] = ("profile_queries", "drift_queries", "measure_queries", "transform_queries", "timeseries_queries", "model_queries", "table_queries", "selection_queries", "relational_queries", "quality_queries", "neighbour_queries", "ensemble_queries", "outlier_queries", "spectral_queries", "tuning_queries", "store_queries")
 
 
 def _modules():
