@@ -24,7 +24,9 @@
 
 A value, hub or class that many rows share is split by salted joins.
 
-Components are found by alternating large-star and small-star steps.
+Components are found by alternating large-star and small-star steps; those of
+later links start from those of earlier ones. No table is broadcast without
+need: each broadcast is held by the driver on its way.
 
 Cases: null, empty or blank text has an empty set and is linked with nothing;
 fewer than five words are one shingle; a null id is linked with nothing, has
@@ -82,13 +84,13 @@ def rare_lists(held: DataFrame, must_share: Column) -> DataFrame:
     in common with any partner, so that m - must_share + 1 need listing."""
     each = held.select("id", F.size("values").alias("m"), F.explode("values").alias("value"))
     common = store(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "common")
-    rows = salted(each, common, "value", common.select("value", F.col("df").alias("_n")), "id")
+    rows = salted(each, by_shuffle(common), "value", common.select("value", F.col("df").alias("_n")), "id")
     by_id = Window.partitionBy("id")
     # Values of one document only are the rarest of all and come first.
     rows = rows.withColumn("at", F.row_number().over(by_id.orderBy("df", "value"))).withColumn("found", F.count("*").over(by_id))
     rows = store(rows.filter(F.col("at") + F.col("m") - F.col("found") <= F.col("m") - must_share + 1).select("value", "id"), "rare")
     many = store(rows.groupBy("value").agg(F.min("id").alias("hub"), F.count("*").alias("_n")).filter("_n > 1"), "hubs")
-    return salted(rows, many.select("value", "hub"), "value", many.select("value", "_n"), "id")
+    return salted(rows, by_shuffle(many.select("value", "hub")), "value", many.select("value", "_n"), "id")
 
 
 def is_link(n_a: Column, n_b: Column, both: Column) -> Column:
@@ -101,22 +103,44 @@ def estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least)
 
 
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """``table`` as a side of a join that is not to be broadcast: every broadcast
+    passes the driver, and an operator of many small joins fills its memory."""
+    return table.hint("merge")
+
+
+def tangled(edges: DataFrame) -> tuple[int, int]:
+    """How many ids of ``edges`` (hi, lo) have several lower ones, and how many have
+    a lower and a higher one. Without either, the edges are stars around least ids."""
+    ends = edges.select(F.posexplode(F.array("hi", "lo")).alias("end", "id"))
+    ends = ends.groupBy("id").agg(F.count_if(F.col("end") == 0).alias("up"), F.count_if(F.col("end") == 1).alias("down"))
+    return tuple(ends.agg(F.count_if(F.col("up") > 1), F.count_if((F.col("up") > 0) & (F.col("down") > 0))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b): the smallest id reachable."""
+    """(id, component) of every id in ``edges`` (a, b): the smallest id reachable.
+
+    A large-star step without chains and a small-star step without an id of several
+    lower ones would change nothing and are left out."""
     now = store(edges.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    state = None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if seen == state:
-            return now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-        state = seen
-        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
-        large = both.filter("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
-        now = small.select("hi", F.col("m").alias("lo")).unionByName(small.filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        now = store(now.distinct(), "edges")
+    while any(found := tangled(now)):
+        several, chained = found
+        if chained:
+            least = now.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
+            now = now.join(by_shuffle(least), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        if several:
+            least = now.groupBy("hi").agg(F.min("lo").alias("m"))
+            now = now.join(by_shuffle(least), "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo"))
+            now = now.filter("hi != lo").distinct()
+        now = store(now, "edges")
+    return now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+
+
+def grown(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` (id, component) after more ``links`` (a, b), a stored table."""
+    if links.isEmpty():
+        return joined
+    return components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def sizes_allow(n_a: Column, n_b: Column) -> Column:
@@ -129,17 +153,17 @@ def star_links(lists: DataFrame, held: DataFrame, joined: DataFrame | None = Non
     ``joined`` (id, component) has in one component. ``held``: id, n, sketch, shingles."""
     pairs = lists.filter("id != hub").select("hub", "id").distinct()
     if joined is not None:
-        pairs = pairs.join(joined.withColumnRenamed("component", "c"), "id", "left")
-        pairs = pairs.join(joined.select(F.col("id").alias("hub"), F.col("component").alias("h")), "hub", "left")
+        pairs = pairs.join(by_shuffle(joined.withColumnRenamed("component", "c")), "id", "left")
+        pairs = pairs.join(by_shuffle(joined.select(F.col("id").alias("hub"), F.col("component").alias("h"))), "hub", "left")
         pairs = pairs.filter(F.coalesce("c", "id") != F.coalesce("h", "hub")).select("hub", "id")
     pairs = store(pairs, "pairs")
     counts = store(pairs.groupBy("hub").agg(F.count("*").alias("_n")), "pair-counts")
     theirs = held.select("id", F.col("n").alias("n_id"), F.col("sketch").alias("sk_id"))
     hubs = held.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("sk_hub"))
-    near = salted(pairs.join(theirs, "id"), hubs, "hub", counts, "id").filter(sizes_allow(F.col("n_id"), F.col("n_hub")))
+    near = salted(pairs.join(by_shuffle(theirs), "id"), by_shuffle(hubs), "hub", counts, "id").filter(sizes_allow(F.col("n_id"), F.col("n_hub")))
     near = near.filter(estimate(F.col("sk_id"), F.col("sk_hub")) >= ESTIMATE).select("hub", "id", "n_hub", "n_id")
-    both = near.join(held.select("id", F.col("shingles").alias("sh_id")), "id")
-    both = salted(both, held.select(F.col("id").alias("hub"), F.col("shingles").alias("sh_hub")), "hub", counts, "id")
+    both = near.join(by_shuffle(held.select("id", F.col("shingles").alias("sh_id"))), "id")
+    both = salted(both, by_shuffle(held.select(F.col("id").alias("hub"), F.col("shingles").alias("sh_hub"))), "hub", counts, "id")
     linked = is_link(F.col("n_id"), F.col("n_hub"), F.size(F.array_intersect("sh_id", "sh_hub")))
     return both.filter(linked).select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
@@ -187,29 +211,29 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
     """(value, hub, id, component) of the lists whose members are in several components."""
-    own = lists.join(joined.withColumnRenamed("component", "c"), "id", "left")
+    own = lists.join(by_shuffle(joined.withColumnRenamed("component", "c")), "id", "left")
     own = store(own.select("value", "hub", "id", F.coalesce("c", "id").alias("component")), "members")
     open_ = own.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("_n")).filter("least != most")
     open_ = store(open_.select("value", "_n"), "open-lists")
-    return salted(own, open_.select("value"), "value", open_, "id")
+    return salted(own, by_shuffle(open_.select("value")), "value", open_, "id")
 
 
 def rest_links(lists: DataFrame, joined: DataFrame, held: DataFrame) -> DataFrame:
     """Links between different components among the members of a list."""
     opened = store(mixed(lists, joined), "open")
     family = components(opened.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
-    members = opened.select("id", "component").distinct().join(family, "id", "left").join(held.select("id", "n"), "id")
+    members = opened.select("id", "component").distinct().join(by_shuffle(family), "id", "left").join(by_shuffle(held.select("id", "n")), "id")
     band = F.floor(F.ln("n") / F.lit(-math.log(PERCENT / 100)) + 1e-9).cast("int")
     members = members.select("id", "component", F.coalesce("family", "id").alias("family"), band.alias("band"))
     members = members.withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     # A group without a document of its own, lower band has no pair to look at.
     sizes = members.groupBy("family", "low").agg(F.count_if(F.col("low") == F.col("band")).alias("own"), F.count("*").alias("k")).filter("own > 0 and k > 1")
     sizes = sizes.select("family", "low", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, ["family", "low"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    members = members.join(by_shuffle(sizes), ["family", "low"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = members.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     keys = ["family", "low", "i", "j"]
-    dealt = members.join(held.select("id", "n", "shingles"), "id").select(*keys, "id", "component", "block", "band", "n", "shingles")
+    dealt = members.join(by_shuffle(held.select("id", "n", "shingles")), "id").select(*keys, "id", "component", "block", "band", "n", "shingles")
     return dealt.groupBy(*keys).applyInPandas(_block_links, "a long, b long")
 
 
@@ -224,7 +248,7 @@ def near_copies(table: DataFrame) -> DataFrame:
     close = store(rare_lists(classes.select("id", F.col("sketch").alias("values")), shared), "close")
     chosen = store(close.select("id").distinct(), "chosen")
 
-    texts = table.join(chosen.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    texts = table.join(by_shuffle(chosen.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     held = sets(texts).select(
         F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.slice("shingles", 1, SKETCH).alias("sketch"), "shingles"
     )
@@ -233,16 +257,17 @@ def near_copies(table: DataFrame) -> DataFrame:
     joined = components(links)
 
     unsure = store(mixed(close, joined).select("id").distinct(), "unsure")
-    exact = F.ceil(F.col("m") * PERCENT / 100)
-    lists = store(rare_lists(held.join(unsure, "id", "left_semi").select("id", F.col("shingles").alias("values")), exact), "lists")
-    links = links.unionByName(store(star_links(lists, held, joined), "more-links"))
-    links = links.unionByName(store(rest_links(lists, components(links), held), "rest-links"))
-    found = components(links)
-
-    roots = classes.join(found, "id", "left").filter("copies > 1 or component is not null")
+    if not unsure.isEmpty():
+        exact = F.ceil(F.col("m") * PERCENT / 100)
+        again = held.join(by_shuffle(unsure), "id", "left_semi").select("id", F.col("shingles").alias("values"))
+        lists = store(rare_lists(again, exact), "lists")
+        joined = grown(joined, store(star_links(lists, held, joined), "more-links"))
+        joined = grown(joined, store(rest_links(lists, joined, held), "rest-links"))
+
+    roots = classes.join(by_shuffle(joined), "id", "left").filter("copies > 1 or component is not null")
     roots = roots.select("n", "d1", "d2", F.coalesce("component", "id").alias("root"))
     copies = classes.select("n", "d1", "d2", F.col("copies").alias("_n"))
-    out = salted(known.select("doc_id", "n", "d1", "d2"), roots, ["n", "d1", "d2"], copies, "doc_id", "left")
+    out = salted(known.select("doc_id", "n", "d1", "d2"), by_shuffle(roots), ["n", "d1", "d2"], copies, "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -258,11 +283,11 @@ def keep_first(table: DataFrame) -> DataFrame:
     found = near_copies(numbered.select(own, "text"))
     rest = store(found.filter("not kept").select(F.col("doc_id").alias("_lw_row"), F.col("component_id").alias("_lw_group")), "rest")
     members = rest.unionByName(rest.select(F.col("_lw_group").alias("_lw_row"), "_lw_group").distinct())
-    members = store(members.join(numbered.select(F.col(row).alias("_lw_row"), "doc_id"), "_lw_row"), "group-members")
+    members = store(members.join(by_shuffle(numbered.select(F.col(row).alias("_lw_row"), "doc_id")), "_lw_row"), "group-members")
     first = members.groupBy("_lw_group").agg(F.min(F.struct("doc_id", "_lw_row"))["_lw_row"].alias("_lw_first"))
     sizes = store(members.groupBy("_lw_group").agg(F.count("*").alias("_n")), "groups")
-    gone = salted(members, first, "_lw_group", sizes, "_lw_row").filter("_lw_row != _lw_first").select(F.col("_lw_row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in table.columns])
+    gone = salted(members, by_shuffle(first), "_lw_group", sizes, "_lw_row").filter("_lw_row != _lw_first").select(F.col("_lw_row").alias(row))
+    return numbered.join(by_shuffle(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in table.columns])
 
 
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

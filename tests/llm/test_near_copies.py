@@ -122,3 +122,43 @@ def test_keep_first_tells_rows_of_one_id_apart(documents):
     df = documents([(5, a, "en", "late"), (5, b, "en", "unique"), (1, a, "en", "early"), (7, c, "en", "twice"), (7, c, "en", "twice"), (None, a, "en", "no id")])
     kept = [(r["doc_id"], r["source"]) for r in nearcopies.keep_first(df).collect()]
     assert sorted(kept, key=repr) == [(1, "early"), (5, "unique"), (7, "twice"), (None, "no id")]
+
+
+def stored(monkeypatch):
+    """The names and plans of the tables that the operator stores from now on."""
+    seen, store = [], nearcopies.store
+
+    def spy(df, name, **more):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name, **more)
+
+    monkeypatch.setattr(nearcopies, "store", spy)
+    return seen
+
+
+def test_components_against_brute_force(spark, monkeypatch):
+    """Random graphs and trees; stars as they are take no step."""
+    rng = random.Random(4)
+    for n, m in ((60, 25), (60, 60), (30, 200), (0, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(100 + k, 100 + k // 2) for k in range(1, 20)]
+        least = {k: k for e in edges for k in e}
+        for _ in least:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        got = {r["id"]: r["component"] for r in nearcopies.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {k: c for k, c in least.items() if c != k}
+    seen = stored(monkeypatch)
+    stars = spark.createDataFrame([(1, 3), (4, 1), (5, 9), (7, 7)], "a long, b long")
+    assert {tuple(r) for r in nearcopies.components(stars).collect()} == {(3, 1), (4, 1), (9, 5)}
+    assert len(seen) == 1
+
+
+def test_nothing_is_broadcast(documents, monkeypatch):
+    """Each broadcast passes the driver, whose memory the pipeline's many joins filled."""
+    seen = stored(monkeypatch)
+    rows = corpus(5)
+    kept = nearcopies.keep_first(documents([(k, t, "en", "a") for k, t in rows]))
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, (_, least) in brute(rows).items() if k == least}
+    seen.append(("result", kept._jdf.queryExecution().executedPlan().toString()))
+    assert {"rest-links", "rest"} <= {name for name, _ in seen}
+    assert [name for name, plan in seen if "Broadcast" in plan] == []
