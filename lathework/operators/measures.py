@@ -47,12 +47,15 @@ def multiclass(df: DataFrame, truth: str, response: str) -> DataFrame:
     """n, acc, bacc, mcc and the support-weighted precision, recall and f1."""
     k = per_class(df, truth, response)
     w = lambda c: F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support"))
+    # Products of four counts pass 64 bits from some 70,000 rows on.
+    big = lambda x: x.cast("decimal(19,0)")
+    both = lambda a, b: F.sum(big(F.col(a)) * big(F.col(b)))
     s, c = F.sum("support"), F.sum("hits")
-    pt, pp, tt = F.sum(F.col("predicted") * F.col("support")), F.sum(F.col("predicted") * F.col("predicted")), F.sum(F.col("support") * F.col("support"))
-    low = F.sqrt(((s * s - pp) * (s * s - tt)).cast("double"))
+    pt, pp, tt = both("predicted", "support"), both("predicted", "predicted"), both("support", "support")
+    low = F.sqrt((big(s) * big(s) - pp).cast("double") * (big(s) * big(s) - tt).cast("double"))
     return k.agg(
         s.alias("n"), F.try_divide(c, s).alias("acc"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("bacc"),
-        F.coalesce(F.try_divide((c * s - pt).cast("double"), low), F.lit(0.0)).alias("mcc"), w("precision").alias("precision"), w("recall").alias("recall"), w("f1").alias("f1"),
+        F.coalesce(F.try_divide((big(c) * big(s) - pt).cast("double"), low), F.lit(0.0)).alias("mcc"), w("precision").alias("precision"), w("recall").alias("recall"), w("f1").alias("f1"),
     )
 
 
