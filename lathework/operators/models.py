@@ -8,11 +8,12 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import nearest
 from .ordered import with_quantiles
 from .scores import unpivot
 
-#: Test rows of one block of nearest neighbours, which is broadcast.
-BLOCK = 2000
+#: Test rows of one block of nearest neighbours, which is broadcast as one row.
+BLOCK = 20_000
 
 
 def featureless_classif(train: DataFrame, label: str) -> DataFrame:
@@ -69,30 +70,21 @@ def knn(train: DataFrame, test: DataFrame, row_id: str, features: Sequence[str],
     """k nearest training rows by euclidean or manhattan distance, ties by id: the
     majority label (least on a tie) or the mean, each neighbour counting once or, with
     ``weights`` distance, by the reciprocal of its distance (1e10 at none). ``test`` goes in blocks of about ``BLOCK`` rows
-    by hash, a block at a time broadcast to every training row, of which each
-    task keeps its k best, so that no pair is shuffled that can't matter.
+    by hash, each compared with the chunks of training rows that can hold a neighbour (see ``nearest``).
 
     Training rows with a null or NaN feature, or without target, are nobody's neighbours;
     a row of ``test`` with such a feature has no neighbours and a null response."""
     nan = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
-    train = train.filter(F.col(target).isNotNull()).withColumns({f: nan(f) for f in features}).dropna(subset=list(features))
-    test = test.withColumns({f: nan(f) for f in features})
-    asked = test.select(F.col(row_id).alias("_q"), *[F.col(f).alias(f"_q_{f}") for f in features])
-    blocks = max(1, -(-asked.count() // BLOCK))
-    gap = [F.col(f) - F.col(f"_q_{f}") for f in features]
-    far = F.sqrt(sum((F.pow(g, F.lit(2)) for g in gap), F.lit(0.0))) if metric == "euclidean" else sum((F.abs(g) for g in gap), F.lit(0.0))
-    weight = F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1e10) if weights == "distance" else F.lit(1.0)
-    w = Window.partitionBy("_q").orderBy("d", row_id)
-    best = None
-    for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
-        near = train.select(row_id, *features, target).join(F.broadcast(part)).select("_q", row_id, target, far.alias("d"))
-        one = near.filter("d is not null").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        best = one if best is None else best.unionByName(one)
+    names = [f"_x{i}" for i in range(len(features))]
+    at = [nan(f).alias(x) for f, x in zip(features, names, strict=True)]
+    rows = train.select(F.col(row_id).alias("_id"), F.col(target).alias("_y"), *at).filter("_y is not null").dropna(subset=names)
+    asked = test.select(F.col(row_id).alias("_q"), *at)
+    best = nearest(rows, asked.dropna(subset=names), names, k, metric, BLOCK)
+    weight = F.when(F.col("_d") > 0, 1 / F.col("_d")).otherwise(1e10) if weights == "distance" else F.lit(1.0)
     if not classify:
-        found = best.groupBy("_q").agg((F.sum(F.col(target) * weight) / F.sum(weight)).alias("response"))
+        found = best.groupBy("_q").agg((F.sum(F.col("_y") * weight) / F.sum(weight)).alias("response"))
     else:
-        votes = best.groupBy("_q", F.col(target).alias("_l")).agg(F.sum(weight).alias("_n"))
+        votes = best.groupBy("_q", F.col("_y").alias("_l")).agg(F.sum(weight).alias("_n"))
         found = votes.groupBy("_q").agg(F.min_by("_l", F.struct(-F.col("_n"), F.col("_l"))).alias("response"))
     every = asked.select("_q", F.lit(None).cast(found.schema["response"].dataType).alias("response")).unionByName(found)
     return every.groupBy(F.col("_q").alias(row_id)).agg(F.max("response").alias("response"))  # null where there is no neighbour

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.operators import measures
+from lathework.operators import measures, models, nearest
 
 
 def test_mcc_of_many_rows(spark):
@@ -23,3 +24,57 @@ def test_mcc_of_many_rows(spark):
     got = measures.multiclass(df, "t", "p").first()
     assert got["mcc"] == pytest.approx((hits * n - sum(t[x] * p[x] for x in p)) / low**0.5, abs=1e-12)
     assert got["n"] == n and got["acc"] == hits / n
+
+
+def made_by_joins(df):
+    """Rows that the joins of a collected table made."""
+
+    def walk(plan):
+        kids = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            kids = [plan.executedPlan()]
+        elif plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            kids = [plan.plan()]
+        own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+        return own + sum(map(walk, kids))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def neighbours(train, test, k, metric):
+    """{query: [(distance, id, target)]} over all pairs, in Python's floats."""
+    out = {}
+    for q, *at in test:
+        gaps = [([a - b for a, b in zip(x, at, strict=True)], i, y) for i, *x, y in train]
+        far = [((sum(g * g for g in gap) ** 0.5 if metric == "euclidean" else sum(map(abs, gap))), i, y) for gap, i, y in gaps]
+        out[q] = sorted((x for x in far), key=lambda x: (x[0] != x[0], x[:2]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("metric", ["euclidean"])
+def test_knn_compares_near_chunks_only(spark, monkeypatch, metric):
+    monkeypatch.setattr(nearest, "ROWS", 100)
+    rng = random.Random(4)
+    spot = lambda: rng.choice([(3.0, 4.0), (rng.uniform(-5, 5), rng.uniform(-5, 5)), (rng.randrange(4), rng.randrange(4)), (1e9 * rng.random(), 0.0), (float("inf"), 1.0), (-float("inf"), 2.0)])
+    train = [(i, *map(float, spot()), rng.uniform(0, 9)) for i in range(3000)]
+    test = [(9000 + i, *map(float, spot())) for i in range(150)]
+    a, b = spark.createDataFrame(train, "id long, x double, y double, v double"), spark.createDataFrame(test, "id long, x double, y double")
+    got = models.knn(a, b, "id", ["x", "y"], "v", k=7, classify=False, metric=metric)
+    found = {r["id"]: r["response"] for r in got.collect()}
+    want = {q: sum(y for _, _, y in near) / 7 for q, near in neighbours(train, test, 7, metric).items()}
+    assert found == pytest.approx(want, rel=1e-12)
+    assert made_by_joins(got) < 1000  # chunks and blocks, not the 450,000 pairs
+
+
+def test_knn_of_many_features_text_ids_and_few_rows(spark):
+    rng = random.Random(5)
+    train = [(f"t{i}", *[rng.choice([0.0, 1.0, rng.random()]) for _ in range(70)], float(i)) for i in range(300)]
+    test = [(f"q{i}", *[rng.choice([0.0, 1.0, rng.random()]) for _ in range(70)]) for i in range(20)]
+    names = [f"x{i}" for i in range(70)]
+    kinds = ", ".join(f"{x} double" for x in names)
+    b = spark.createDataFrame(test, f"id string, {kinds}")
+    for n in (300, 3, 0):
+        a = spark.createDataFrame(train[:n], f"id string, {kinds}, v double")
+        found = {r["id"]: r["response"] for r in models.knn(a, b, "id", names, "v", k=4, classify=False).collect()}
+        want = {q: sum(y for _, _, y in near) / len(near) if near else None for q, near in neighbours(train[:n], test, 4, "euclidean").items()}
+        assert found == (pytest.approx(want, rel=1e-12) if n else want)
