@@ -51,7 +51,7 @@ def neighbours(train, test, k, metric):
     return out
 
 
-@pytest.mark.parametrize("metric", ["euclidean"])
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_knn_compares_near_chunks_only(spark, monkeypatch, metric):
     monkeypatch.setattr(nearest, "ROWS", 100)
     rng = random.Random(4)
