@@ -78,3 +78,16 @@ def test_knn_of_many_features_text_ids_and_few_rows(spark):
         found = {r["id"]: r["response"] for r in models.knn(a, b, "id", names, "v", k=4, classify=False).collect()}
         want = {q: sum(y for _, _, y in near) / len(near) if near else None for q, near in neighbours(train[:n], test, 4, "euclidean").items()}
         assert found == (pytest.approx(want, rel=1e-12) if n else want)
+
+
+def test_weighted_knn_at_copies(spark):
+    train = [(i, float(i % 10), float(i % 7)) for i in range(700)]
+    test = [(1000 + i, i / 2) for i in range(21)]
+    a, b = spark.createDataFrame(train, "id long, x double, v double"), spark.createDataFrame(test, "id long, x double")
+    got = models.knn(a, b, "id", ["x"], "v", k=3, classify=False, weights="distance")
+    want = {}
+    for q, near in neighbours(train, test, 3, "euclidean").items():
+        weights = [1 / d if d else 1e10 for d, _, _ in near]
+        want[q] = sum(w * y for w, (_, _, y) in zip(weights, near, strict=True)) / sum(weights)
+    assert {r["id"]: r["response"] for r in got.collect()} == pytest.approx(want, rel=1e-12)
+    assert made_by_joins(got) < 100  # not the 14,700 pairs
