@@ -91,3 +91,17 @@ def test_weighted_knn_at_copies(spark):
         want[q] = sum(w * y for w, (_, _, y) in zip(weights, near, strict=True)) / sum(weights)
     assert {r["id"]: r["response"] for r in got.collect()} == pytest.approx(want, rel=1e-12)
     assert made_by_joins(got) < 100  # not the 14,700 pairs
+
+
+def test_knn_votes_of_copies(spark):
+    rng = random.Random(6)
+    train = [(i, float(rng.randrange(3)), float(rng.randrange(2)), rng.choice("abc")) for i in range(900)]
+    test = [(2000 + i, rng.randrange(7) / 3, rng.randrange(7) / 3) for i in range(40)]
+    a, b = spark.createDataFrame(train, "id long, x double, y double, v string"), spark.createDataFrame(test, "id long, x double, y double")
+    got = models.knn(a, b, "id", ["x", "y"], "v", k=6)
+    want = {}
+    for q, near in neighbours(train, test, 6, "euclidean").items():
+        votes = Counter(y for _, _, y in near)
+        want[q] = min(votes, key=lambda v: (-votes[v], v))
+    assert {r["id"]: r["response"] for r in got.collect()} == want
+    assert made_by_joins(got) < 100  # not the 36,000 pairs
