@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.operators import measures, models, nearest
+from lathework.operators import measures, models, nearest, retrieval
 
 
 def test_mcc_of_many_rows(spark):
@@ -105,3 +107,51 @@ def test_knn_votes_of_copies(spark):
         want[q] = min(votes, key=lambda v: (-votes[v], v))
     assert {r["id"]: r["response"] for r in got.collect()} == want
     assert made_by_joins(got) < 100  # not the 36,000 pairs
+
+
+def scored(a, b, metric):
+    """Summed in order; None where a vector or component is missing, lengths differ or there is no direction."""
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    dot = lambda x, y: functools.reduce(lambda t, z: t + z[0] * z[1], zip(x, y, strict=True), 0.0)  # noqa: E731  sum() would compensate
+    if metric == "dot":
+        return dot(a, b)
+    if metric == "euclidean":
+        gap = [i - j for i, j in zip(a, b, strict=True)]
+        return -math.sqrt(dot(gap, gap))
+    size = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+    return dot(a, b) / size if size else None
+
+
+def best_of(rows, queries, k, metric):
+    out = []
+    for q, b in queries:
+        found = [(scored(a, b, metric), i) for i, a in rows if i != q]
+        order = sorted(found, key=lambda x: (x[0] is None, x[0] is not None and x[0] == x[0], -(x[0] if x[0] is not None and x[0] == x[0] else 0), x[1]))
+        out += [(q, i, s) for s, i in order[:k]]
+    return sorted(out, key=lambda x: x[:2])
+
+
+def same_scores(got, want):
+    got = sorted(((r["query_id"], r["id"], r["score"]) for r in got.collect()), key=lambda x: x[:2])
+    text = lambda rows: [(q, i, s if s is None else repr(s + 0.0)) for q, i, s in rows]
+    assert text(got) == text(want)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("metric", ["dot"])
+def test_top_k_scores_few_pairs(spark, monkeypatch, metric, kind):
+    monkeypatch.setattr(retrieval, "CELLS", 64 * 8 * 2)
+    rng = random.Random(7)
+    one = lambda: [float(rng.randrange(-8, 9)) / 4 for _ in range(8)]
+    hot = one()
+    odd = [None, [0.0] * 8, [None, *[1.0] * 7], [1.0] * 3, [2.0] * 3, [], [float("nan")] * 8, [float("inf"), *[1.0] * 7], [-float("inf"), *[1.0] * 7], [1e30] * 8]
+    if kind == "double":
+        odd += [[1e200] * 8, [1e-200] * 8, [1e-170, *[0.0] * 7], [5e160, *[-5e160] * 7]]
+    rows = [(i, hot if i % 3 == 0 else odd[i // 50 % len(odd)] if i % 50 == 1 else one()) for i in range(1200)]
+    table = spark.createDataFrame(rows, f"id long, v array<{kind}>")
+    asked = table.filter("id % 40 = 0 or id % 50 = 1")
+    got = retrieval.top_k(table, asked, "id", "v", 5, metric)
+    real = {r["id"]: r["v"] for r in table.collect()}
+    same_scores(got, best_of(list(real.items()), [(i, v) for i, v in real.items() if i % 40 == 0 or i % 50 == 1], 5, metric))
+    assert made_by_joins(got) < 1000  # not the 60,000 pairs
