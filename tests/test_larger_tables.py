@@ -139,7 +139,7 @@ def same_scores(got, want):
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
-@pytest.mark.parametrize("metric", ["dot", "cosine"])
+@pytest.mark.parametrize("metric", ["dot", "cosine", "euclidean"])
 def test_top_k_scores_few_pairs(spark, monkeypatch, metric, kind):
     monkeypatch.setattr(retrieval, "CELLS", 64 * 8 * 2)
     rng = random.Random(7)
