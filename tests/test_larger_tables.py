@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.operators import measures, models, nearest, retrieval
+from lathework.operators import measures, models, nearest, resample, retrieval
 
 
 def test_mcc_of_many_rows(spark):
@@ -155,3 +155,20 @@ def test_top_k_scores_few_pairs(spark, monkeypatch, metric, kind):
     real = {r["id"]: r["v"] for r in table.collect()}
     same_scores(got, best_of(list(real.items()), [(i, v) for i, v in real.items() if i % 40 == 0 or i % 50 == 1], 5, metric))
     assert made_by_joins(got) < 1000  # not the 60,000 pairs
+
+
+def test_near_pairs_at_edges_crowds_and_infinity(spark, monkeypatch):
+    monkeypatch.setattr(resample, "CROWD", 30, raising=False)
+    rng = random.Random(8)
+    spots = [(8.0, 0.0), (-1e-17, 0.0), (16.0, 0.0), (0.0, -8.0), (float("inf"), 0.0), (-float("inf"), 0.0), (float("nan"), 1.0), (None, 1.0), (1e12, 1e12), (1e12 + 8, 1e12)]
+    spots += [(3.0, 3.0)] * 100 + [(rng.uniform(-30, 30), rng.choice([-8.0, 0.0, 4.0, 8.0, rng.uniform(-30, 30)])) for _ in range(250)]
+    rows = [(i, *s) for i, s in enumerate(spots)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    want = []
+    for i, a, b in rows:
+        for j, c, d in rows:
+            if None not in (a, c) and (a - c) * (a - c) + (b - d) * (b - d) <= 64:
+                want.append((i, j, (a - c) * (a - c) + (b - d) * (b - d)))
+    got = resample.near(p, p, "x", "y", 8.0, ("id", "id"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert (0, 1, 64.0) in want
